@@ -58,7 +58,7 @@ BLOCK_SIGNS = (
     "_sec_cpt", "Just a moment",
 )
 LIST_STATE_MARK = "__INITIAL_STATE__"
-LIST_PAGE_MARKS = ("searchresultitems", "item-list")
+LIST_PAGE_MARKS = ("item-list",)
 DETAIL_STATE_MARK = "item-page-app-data"
 SHORT_PAGE_CHARS = 1000
 BLOCK_SCAN_CHARS = 5000

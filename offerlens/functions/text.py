@@ -25,6 +25,11 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _ascii_digits(text) -> Column:
+    """Full-width digits count as digits."""
+    return F.translate(_col(text), "０１２３４５６７８９", "0123456789")
+
+
 def found(text, pattern: str, group: int = 1) -> Column:
     """One group of the first match, NULL without a match."""
     return F.nullif(F.regexp_extract(_col(text), pattern, group), F.lit(""))
@@ -35,12 +40,12 @@ def whole(text) -> Column:
 
 
 def price_from_text(text) -> Column:
-    return F.nullif(F.regexp_replace(_col(text), r"[^0-9]", ""), F.lit("")).try_cast("bigint")
+    return F.nullif(F.regexp_replace(_ascii_digits(text), r"[^0-9]", ""), F.lit("")).try_cast("bigint")
 
 
 def card_points(text) -> Column:
     """Point text of a listing card → count, point back, multipliers."""
-    text = _col(text)
+    text = _ascii_digits(text)
     back = found(text, POINT_BACK).try_cast("double")
     base = F.when(back.isNull(), found(text, CARD_BASE).try_cast("int"))
     up = F.when(back.isNull(), found(text, CARD_UP).try_cast("int"))
@@ -57,7 +62,7 @@ def card_points(text) -> Column:
 
 def point_rate_from_text(text) -> Column:
     """(rate, back) of one point text of a detail page; point back wins."""
-    text = _col(text)
+    text = _ascii_digits(text)
     back = found(text, POINT_BACK).try_cast("double")
     bracketed = F.coalesce(found(text, PAGE_BASE).try_cast("double"), F.lit(0.0)) + F.coalesce(
         found(text, PAGE_UP).try_cast("double"), F.lit(0.0)
@@ -79,7 +84,7 @@ def best_point_rate(texts) -> Column:
 
 
 def card_coupon(text) -> Column:
-    text = _col(text)
+    text = _ascii_digits(text)
     yen, percent = whole(found(text, CARD_YEN_OFF)), found(text, CARD_PERCENT_OFF).try_cast("bigint")
     return F.struct(
         F.coalesce(yen, percent).alias("coupon_discount"),
@@ -92,8 +97,8 @@ def page_coupon(texts, html) -> Column:
     embedded coupon object."""
     html = _col(html)
     kind, amount = found(html, COUPON_JSON, 2), found(html, COUPON_JSON, 1).try_cast("bigint")
-    yen = F.array_max(F.transform(texts, lambda t: whole(found(t, PAGE_YEN))))
-    percent = F.array_max(F.transform(texts, lambda t: found(t, PAGE_PERCENT).try_cast("double")))
+    yen = F.array_max(F.transform(texts, lambda t: whole(found(_ascii_digits(t), PAGE_YEN))))
+    percent = F.array_max(F.transform(texts, lambda t: found(_ascii_digits(t), PAGE_PERCENT).try_cast("double")))
     return F.struct(
         F.greatest(yen, F.when(kind == "exact", amount)).cast("int").alias("coupon_yen"),
         F.greatest(percent, F.when(kind == "percentage", amount.cast("double"))).alias("coupon_percent"),
@@ -140,7 +145,7 @@ def coupon_text(discount, kind) -> Column:
 
 def shipping_days(text) -> Column:
     """翌日 → 1..1, N日以内 → 1..N, a～b日 → a..b; the last rule that matches wins."""
-    text = _col(text)
+    text = _ascii_digits(text)
     low, high = (found(text, DAYS_RANGE, g).try_cast("int") for g in (1, 2))
     within = found(text, DAYS_WITHIN).try_cast("int")
     next_day = F.when(text.contains("翌日"), F.lit(1))
@@ -215,9 +220,9 @@ def extra_fields(attributes, review_count, review_rating) -> Column:
     )
     two = F.get(seconds, F.lit(0))
     series = first_of((("シリーズ", "シリーズ"),))
-    count, rating = _col(review_count), _col(review_rating)
-    reviews = F.when(count != 0, F.struct(F.lit("review_count").alias("key"), count.cast("string").alias("value")))
-    stars = F.when(rating != 0, F.struct(F.lit("review_rating").alias("key"), rating.cast("string").alias("value")))
+    count, rating = _col(review_count).cast("string"), _col(review_rating).cast("string")
+    reviews = F.when(count.try_cast("double") != 0, F.struct(F.lit("review_count").alias("key"), count.alias("value")))
+    stars = F.when(rating.try_cast("double") != 0, F.struct(F.lit("review_rating").alias("key"), rating.alias("value")))
     first, second = F.coalesce(one, series, reviews), F.coalesce(two, stars)
     return F.struct(
         first["key"].alias("extra1_key"),

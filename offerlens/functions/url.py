@@ -43,37 +43,48 @@ def _encode(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def _let(value: Column, body) -> Column:
+    """Bind a value once for use at several places of an expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def query_pairs(url) -> Column:
     """Array of (k, v) in order; parameters without a value are left out."""
     raw = F.split(_part(_col(url), 4), "&")
-    valued = F.filter(raw, lambda p: p.rlike(r"^[^=]*=.+"))
+    valued = F.filter(raw, lambda p: F.instr(p, "=").between(1, F.length(p) - 1))
     return F.transform(
         valued,
-        lambda p: F.struct(
-            _decode(F.regexp_extract(p, r"^([^=]*)=", 1)).alias("k"),
-            _decode(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),
-        ),
+        lambda p: _let(F.instr(p, "="), lambda at: F.struct(
+            _decode(F.substring(p, F.lit(1), at - 1)).alias("k"),
+            _decode(F.substring(p, at + 1, F.length(p))).alias("v"),
+        )),
     )
 
 
 def _rebuilt(url, drop: Iterable[str], drop_exact: Iterable[str]) -> Column:
-    pairs = query_pairs(url)
+    url = _col(url)
     dropped = F.array(*[F.lit(d) for d in drop])
     exact = F.array(*[F.lit(d) for d in drop_exact]) if drop_exact else F.array().cast("array<string>")
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    kept = F.filter(names, lambda k: ~F.array_contains(dropped, F.lower(k)) & ~F.array_contains(exact, k))
-    grouped = F.flatten(
-        F.transform(
-            kept,
-            lambda k: F.transform(
-                F.filter(pairs, lambda p: p["k"] == k),
-                lambda p: F.concat(_encode(k), F.lit("="), _encode(p["v"])),
-            ),
-        )
-    )
     base = F.concat(scheme(url), F.lit("://"), host(url), F.rtrim(path(url), F.lit("/")), F.lit("/"))
-    tail = F.when(F.size(grouped) > 0, F.concat(F.lit("?"), F.array_join(grouped, "&"))).otherwise(F.lit(""))
-    return F.concat(base, tail)
+
+    def kept(names):
+        return F.filter(names, lambda k: ~F.array_contains(dropped, F.lower(k)) & ~F.array_contains(exact, k))
+
+    def tail(pairs):
+        names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+        grouped = F.flatten(
+            F.transform(
+                kept(names),
+                lambda k: F.transform(
+                    F.filter(pairs, lambda p: p["k"] == k),
+                    lambda p: F.concat(_encode(k), F.lit("="), _encode(p["v"])),
+                ),
+            )
+        )
+        return F.array_join(grouped, "&")
+
+    query = F.nullif(_let(query_pairs(url), tail), F.lit(""))
+    return F.concat(base, F.when(url.contains("?"), F.coalesce(F.concat(F.lit("?"), query), F.lit(""))).otherwise(F.lit("")))
 
 
 def canonical_url(url, tracking: Iterable[str] = TRACKING_PARAMS) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.functions.url import product_uid, variant_uid
+from offerlens.session import spread
 
 ITEM_URL = "https://item.example.com/"
 
@@ -21,6 +22,10 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def lines(self) -> DataFrame:
+        """Line items for work that costs CPU per row."""
+        return spread(self.table("lineitem"))
+
     # observations ----------------------------------------------------------
     def observations(self, grain: str = "catalogue") -> DataFrame:
         li = self.table("lineitem")

@@ -448,3 +448,186 @@ ORACLE["tiered_sample"] = _with(V.ITEMS, body="""
 ORACLE["best_covered_sample"] = _with(V.ITEMS, """t AS (SELECT *, CASE seen_in_api::INTEGER + seen_in_list::INTEGER + seen_in_detail::INTEGER
     WHEN 3 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS tier FROM items)""", body="""
   SELECT product_uid, tier FROM t WHERE tier = (SELECT min(tier) FROM t) ORDER BY updated_at DESC, product_uid LIMIT 25""")
+
+# ingest ----------------------------------------------------------------------------------
+
+_P = "CAST(floor(l_extendedprice / l_quantity) AS BIGINT)"
+_QT = "CAST(l_quantity AS BIGINT)"
+_TAX = "CAST(round(l_tax * 100) AS INTEGER)"
+_ITEM_URL = "'https://item.example.com/' || l_suppkey || '/' || l_partkey || '/'"
+ORACLE["api_ingest"] = f"""
+  SELECT CAST(l_suppkey AS VARCHAR) AS shop_code, 'shop ' || l_suppkey AS shop_name, 'http://www.example.com/' || l_suppkey || '/' AS shop_url,
+    CAST(l_partkey AS VARCHAR) AS item_code, l_suppkey || ':' || l_partkey AS api_item_code,
+    {_ITEM_URL} || CASE n WHEN 0 THEN '?color=a+b' ELSE '' END AS canonical_url, 'item ' || l_partkey AS item_name,
+    CASE WHEN l_linenumber % 2 <> 0 THEN 'copy' END AS catchcopy,
+    CASE WHEN l_linenumber % 3 = 0 OR l_partkey = 0 THEN 'ctx' ELSE CAST(l_partkey AS VARCHAR) END AS genre_id,
+    CASE n WHEN 0 THEN CAST(l_linenumber AS VARCHAR) ELSE 'default' END AS variant_code, {_P} AS price, CAST({_TAX} AS DOUBLE) AS point_rate,
+    CASE WHEN l_linenumber % 3 = 0 THEN '送料無料' END AS shipping_text_raw,
+    CASE n WHEN 0 THEN 'https://img.example.com/' || l_partkey || '.jpg' ELSE 'https://img.example.com/plain.jpg' END AS image_url,
+    CASE WHEN {_QT} % 4 > 0 THEN 'review_count' END AS extra1_key, CASE WHEN {_QT} % 4 > 0 THEN CAST({_QT} % 4 AS VARCHAR) END AS extra1_value,
+    CASE WHEN {_QT} % 4 > 0 THEN 'review_average' END AS extra2_key, CASE WHEN {_QT} % 4 > 0 THEN '4.5' END AS extra2_value,
+    'api' AS source, {_ts('l_shipdate')} AS fetched_at FROM lineitem, range(0, 2) r(n)"""
+ORACLE["api_paging"] = """
+  SELECT l_orderkey AS seq, 4 AS total_count, l_linenumber AS page_count, unnest(range(1, least(l_linenumber, 5) + 1)) AS page FROM lineitem"""
+
+_UPS = f"(l_linenumber + {_TAX})"
+_COMMA = "format('{{:,}}', {})"
+_LISTED = f"""listed AS (
+  SELECT l_suppkey || ':' || l_partkey AS product_uid, {_ITEM_URL} AS canonical_url, CASE WHEN l_linenumber <> 5 THEN '9' END AS url_variant_id,
+    'item ' || l_partkey AS item_name, 'sub' AS item_subtitle, {_P} AS observed_price, CAST({_P} AS VARCHAR) AS price_range,
+    CAST(l_linenumber AS VARCHAR) AS variant_id, l_linenumber = 3 AS is_sold_out, 'https://img.example.com/1.jpg' AS image_url, '/0/5/7' AS genre_ids,
+    CAST(l_partkey AS VARCHAR) AS leaf_genre_id, 'shop ' || l_suppkey AS shop_name, 'https://www.example.com/' || l_suppkey || '/' AS shop_url,
+    {_QT} * 100 AS point_count, 1 AS point_base_multiplier, l_linenumber AS point_shop_multiplier, {_TAX} AS point_up_multiplier,
+    1 + {_UPS} AS point_total_multiplier, l_linenumber = 4 AS is_point_back, CASE WHEN l_linenumber = 4 THEN 20.0::DOUBLE END AS point_back_rate,
+    {_COMMA.format(f'{_QT} * 100')} || 'ポイント(' || CASE WHEN l_linenumber = 4 THEN '20%ポイントバック' ELSE '1倍+' || {_UPS} || '倍UP' END || ')' AS point_text_raw,
+    CASE WHEN l_linenumber <> 1 THEN {_QT} * 50 END AS coupon_discount,
+    CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber % 2 = 0 THEN 'exact' ELSE 'percentage' END AS coupon_type,
+    CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber % 2 = 0 THEN {_COMMA.format(f'{_QT} * 50')} || '円OFFクーポンあり'
+      ELSE {_QT} * 50 || '%OFFクーポンあり' END AS coupon_text_raw,
+    CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 550 END AS shipping_cost, '明日' AS delivery_text, l_linenumber % 2 = 0 AS is_free_shipping,
+    4.5::DOUBLE AS review_score, {_QT} AS review_count, l_linenumber = 2 AS is_super_deal, true AS is_shop39, l_linenumber = 1 AS has_multi_sku,
+    'json' AS data_source FROM lineitem WHERE l_linenumber <= 5
+  UNION ALL
+  SELECT 's' || l_suppkey || ':' || l_partkey, {_ITEM_URL}, NULL, 'card ' || l_partkey || ' & co', NULL, {_P}, NULL, CAST(l_linenumber AS VARCHAR), false,
+    'https://img.example.com/c.jpg', NULL, NULL, 'shop ' || l_suppkey, 'https://www.example.com/s' || l_suppkey || '/', {_QT} * 100,
+    CASE WHEN {_QT} % 3 <> 0 THEN 1 END, NULL, CASE WHEN {_QT} % 3 <> 0 THEN CAST({_QT} % 9 AS INTEGER) END,
+    CASE WHEN {_QT} % 3 <> 0 THEN CAST(1 + {_QT} % 9 AS INTEGER) END, {_QT} % 3 = 0, CASE WHEN {_QT} % 3 = 0 THEN 20.0 END,
+    {_COMMA.format(f'{_QT} * 100')} || 'ポイント(' || CASE WHEN {_QT} % 3 = 0 THEN '20%ポイントバック' ELSE '1倍+' || {_QT} % 9 || '倍UP' END || ')',
+    CASE WHEN {_QT} % 2 = 0 THEN {_QT} * 50 ELSE {_QT} END, CASE WHEN {_QT} % 2 = 0 THEN 'exact' ELSE 'percentage' END,
+    CASE WHEN {_QT} % 2 = 0 THEN {_COMMA.format(f'{_QT} * 50')} || '円OFFクーポンあり' ELSE {_QT} || '%OFFクーポンあり' END,
+    CASE WHEN {_QT} % 2 = 0 THEN 0 END, '明日', {_QT} % 2 = 0, 4.75, {_QT}, false, false, false, 'html' FROM lineitem WHERE l_linenumber > 5)"""
+ORACLE["list_ingest"] = _with(_LISTED, body="SELECT * FROM listed")
+ORACLE["list_totals"] = f"""
+  SELECT {_QT} * 45 AS total_found, 45 AS page_size, CAST(least({_QT}, 150) AS INTEGER) AS pages, count(*) AS documents FROM lineitem
+  WHERE l_linenumber <= 5 GROUP BY ALL"""
+
+_RATE = "CAST(1 + round(l_tax * 100) AS DOUBLE)"
+_COMMON = f"""CAST(l_suppkey AS VARCHAR) AS shop_code, CAST(l_partkey AS VARCHAR) AS item_code, {_ITEM_URL} AS canonical_url"""
+ORACLE["detail_ingest"] = f"""
+  SELECT {_COMMON}, 'item ' || l_partkey AS item_name, k || l_partkey AS variant_code,
+    CASE WHEN k = 'a' THEN lpad(CAST(l_partkey AS VARCHAR), 13, '4') END AS jan_code, '黒 / ' || k || l_partkey AS variant_name,
+    {_P} + CASE k WHEN 'b' THEN 100 ELSE 0 END AS price, CASE WHEN l_linenumber = 1 THEN 5.0 ELSE {_RATE} END AS point_rate,
+    CASE WHEN l_linenumber = 2 THEN 30.0::DOUBLE ELSE 20.0 END AS point_back_percent, {_QT} * 1000 AS coupon_yen, 5.0::DOUBLE AS coupon_percent,
+    CASE WHEN l_linenumber = 1 AND k = 'a' THEN '送料込み / 明日お届け' WHEN l_linenumber = 1 THEN '送料込み' WHEN l_linenumber = 2 AND k = 'a' THEN '送料 550円 / 明日お届け'
+      WHEN l_linenumber = 2 THEN '送料 550円' WHEN k = 'a' THEN '明日お届け' END AS shipping_text_raw,
+    CASE k WHEN 'a' THEN 1 END AS shipping_days_min, CASE k WHEN 'a' THEN 3 END AS shipping_days_max,
+    CASE WHEN l_linenumber = 1 THEN 'https://img.example.com/v.jpg' ELSE 'https://img.example.com/m.jpg' END AS image_url,
+    CASE WHEN l_linenumber = 3 THEN 'review_count' ELSE 'ブランド' END AS extra1_key, CASE WHEN l_linenumber = 3 THEN CAST({_QT} AS VARCHAR) ELSE 'EDW' END AS extra1_value,
+    'カラー' AS extra2_key, '黒' AS extra2_value, 'shop ' || l_suppkey AS shop_name, 'https://www.example.com/s' || l_suppkey || '/' AS shop_url,
+    CAST(l_partkey AS VARCHAR) AS genre_id,
+    '{{"selectorValues":["黒","' || k || l_partkey || '"],"attributes":[{{"title":"ブランド名","value":"' || CASE WHEN l_linenumber = 3 THEN '-' ELSE 'EDW' END
+      || '"}},{{"title":"カラー","value":"黒"}}]}}' AS selector_values
+  FROM lineitem, (VALUES ('a'), ('b')) t(k) WHERE l_linenumber <= 3
+  UNION ALL
+  SELECT {_COMMON}, 'item ' || l_partkey, '77', lpad(CAST(l_partkey AS VARCHAR), 13, '0'), NULL, {_P} + 500, {_RATE}, 20.0, {_QT} * 1000, 5.0, '送料込み', NULL, NULL,
+    'https://img.example.com/m.jpg', 'review_count', CAST({_QT} AS VARCHAR), 'review_rating', '4.65', 'shop ' || l_suppkey,
+    'https://www.example.com/s' || l_suppkey || '/', CAST(l_partkey AS VARCHAR), NULL FROM lineitem WHERE l_linenumber = 4
+  UNION ALL
+  SELECT {_COMMON}, 'mark ' || l_partkey, '77', lpad(CAST(l_partkey AS VARCHAR), 13, '0'), NULL, {_P}, {_RATE}, 20.0, {_QT} * 1000, 5.0,
+    '1～' || l_linenumber || '日以内に発送', 1, l_linenumber, 'https://img.example.com/i.jpg', 'ブランド', 'ブラ', 'メーカー型番', 'M-' || l_partkey,
+    NULL, NULL, NULL, NULL FROM lineitem WHERE l_linenumber > 4"""
+
+
+def _told(code: str, jan: str, price: str, name: str, sold: str, stock: str, msg: str) -> str:
+    return (f"""'{{"variantId":"' || {code} || '","jan":' || {jan} || ',"price":' || {price} || ',"name":"' || {name} || '","soldOut":' || {sold} """
+            f"""|| ',"stock":' || {stock} || ',"deliveryMsg":' || {msg} || '}}'""")
+
+
+_JA = """'"' || lpad(CAST(l_partkey AS VARCHAR), 13, '4') || '"'"""
+_J0 = """'"' || lpad(CAST(l_partkey AS VARCHAR), 13, '0') || '"'"""
+_SUMMARY = f"""CASE WHEN l_linenumber <= 3 THEN '[' || {_told("'a' || l_partkey", _JA, _P, "'黒 / a' || l_partkey", f"CASE WHEN {_QT} = 1 THEN 'true' ELSE 'false' END", f'({_QT} - 1)', "'" + '"明日お届け"' + "'")}
+    || ',' || {_told("'b' || l_partkey", "'null'", f'({_P} + 100)', "'黒 / b' || l_partkey", "'true'", _QT, "'null'")} || ']'
+  WHEN l_linenumber > 4 THEN '[' || {_told("'77'", _J0, _P, "'mark ' || l_partkey", "'false'", "'null'", '''\'"1～\' || l_linenumber || \'日以内に発送"\'''')} || ']' END"""
+ORACLE["detail_observed"] = f"""
+  SELECT l_suppkey || ':' || l_partkey AS product_uid, CASE WHEN doc THEN 'item ' ELSE 'mark ' END || l_partkey AS item_name,
+    CASE WHEN doc THEN 'shop ' || l_suppkey END AS shop_name, CASE WHEN doc THEN 's' || l_suppkey END AS shop_url_code, {_P} AS price_min,
+    {_P} + CASE WHEN doc THEN 500 ELSE 0 END AS price_max, CASE WHEN doc THEN {_QT} END AS review_count, CASE WHEN doc THEN 4.65::DOUBLE END AS review_rating,
+    l_linenumber = 4 AS is_39_shop, l_linenumber = 2 AS is_super_deal, CASE WHEN l_linenumber <= 3 THEN 'multiple' ELSE 'single' END AS inventory_type,
+    {_QT} * 1000 AS coupon_yen, 5.0::DOUBLE AS coupon_percent, CASE WHEN l_linenumber <= 3 THEN 2 WHEN doc THEN 0 ELSE 1 END AS variant_count,
+    {_SUMMARY} AS variant_data_json, CASE WHEN doc THEN CAST(l_partkey AS VARCHAR) END AS ancestor_genre_id,
+    CASE WHEN doc THEN 'json' ELSE 'html' END AS data_source FROM (SELECT *, l_linenumber <= 4 AS doc FROM lineitem)"""
+ORACLE["variant_json_summary"] = """
+  SELECT CASE WHEN l_linenumber <= 4 THEN 'json' ELSE 'html' END AS data_source, CASE WHEN l_linenumber <= 3 THEN 2 WHEN l_linenumber > 4 THEN 1 END AS variants,
+    CASE WHEN l_linenumber <> 4 THEN 1 END AS with_jan, CASE WHEN l_linenumber <= 3 THEN 2 WHEN l_linenumber > 4 THEN 1 END AS with_price,
+    CASE WHEN l_linenumber <= 3 THEN 2 WHEN l_linenumber > 4 THEN 0 END AS with_stock, count(*) AS rows FROM lineitem GROUP BY 1, 2, 3, 4, 5"""
+
+_EV = """ev AS (SELECT event_id, ts, CAST(user_id AS VARCHAR) AS u, event_type AS kind, json_extract_string(props, '$.k') AS k, CAST(floor(value) AS BIGINT) AS v FROM events)"""
+ORACLE["browse_ingest"] = _with(_EV, body="""
+  SELECT event_id, k AS shop_code, u AS item_code, 'https://item.example.com/' || k || '/' || u || '/' AS canonical_url, 'item ' || k AS item_name,
+    CASE kind WHEN 'purchase' THEN 'v' || (n + 1) WHEN 'click' THEN 'c' WHEN 'view' THEN 'p' ELSE 'default' END AS variant_code,
+    lpad(k, 13, CASE kind WHEN 'purchase' THEN '0' ELSE '9' END) AS jan_code, v + CASE WHEN n = 1 THEN 10 ELSE 0 END AS price, 2.0::DOUBLE AS point_rate,
+    v % 7 AS coupon_yen, CASE WHEN n = 1 THEN 'https://img.example.com/v2.jpg' ELSE 'https://img.example.com/e.jpg' END AS image_url, 'extension' AS source,
+    n AS variant_place FROM ev, range(0, 2) r(n) WHERE kind <> 'error' AND (kind = 'purchase' OR n = 0)""")
+ORACLE["browse_event_rows"] = _with(_EV, body=f"""
+  SELECT event_id, u AS user_id, k || ':' || u AS product_uid,
+    k || ':' || u || ':' || CASE kind WHEN 'purchase' THEN 'v1' WHEN 'click' THEN 'c' WHEN 'view' THEN 'p' ELSE 'default' END AS variant_uid, k AS shop_code,
+    'https://item.example.com/' || k || '/' || u || '/' || CASE kind WHEN 'click' THEN '?variantId=c&l-id=q' ELSE '' END AS page_url, {_ts('ts')} AS browsed_at
+  FROM ev WHERE kind <> 'error'""")
+ORACLE["browse_rejected"] = _with(_EV, body="SELECT event_id, 'https://item.example.com/' || k AS page_url FROM ev WHERE kind = 'error'")
+ORACLE["feeds_to_catalogue"] = _with(_EV, body="""
+  SELECT seen_in_api, seen_in_list, seen_in_detail, seen_in_ext, seen_in_api OR seen_in_list OR seen_in_detail AS in_server_crawl,
+    count(*) AS items, CAST(sum(views) AS BIGINT) AS views FROM (
+    SELECT s, i, bool_or(src = 'api') AS seen_in_api, bool_or(src = 'list') AS seen_in_list, bool_or(src = 'detail') AS seen_in_detail,
+      bool_or(src = 'ext') AS seen_in_ext, count(*) FILTER (src = 'ext') AS views FROM (
+      SELECT CAST(l_suppkey AS VARCHAR) AS s, CAST(l_partkey AS VARCHAR) AS i, unnest(['api', 'detail']) AS src FROM lineitem
+      UNION ALL SELECT CASE WHEN l_linenumber <= 5 THEN '' ELSE 's' END || l_suppkey, CAST(l_partkey AS VARCHAR), 'list' FROM lineitem
+      UNION ALL SELECT k, u, 'ext' FROM ev WHERE kind <> 'error') GROUP BY 1, 2) GROUP BY 1, 2, 3, 4, 5""")
+
+# expressions --------------------------------------------------------------------------------
+
+_URLS = """u AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host,
+    regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+    list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]*=.+')) AS q FROM pages)"""
+_BASE = "scheme || '://' || host || rtrim(path, '/') || '/'"
+
+
+def _kept(drop: str) -> str:
+    kept = f"list_filter(q, lambda x: lower(split_part(x, '=', 1)) NOT IN ({drop}))"
+    return f"CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END"
+
+
+ORACLE["url_canonical"] = _with(_URLS, body=f"""
+  SELECT page_id, {_BASE} || {_kept("'rafcid', 'scid', 's-id', 'l-id', 'ref', 'iasid', 'noel', 'tag', 'force-hierarchical', 'pf', 'wsc_i_is', 'wsc_i_is_c'")} AS canonical,
+    {_BASE} || {_kept("'utm_source', 'ref'")} AS cleaned, split_part(list_filter(q, lambda x: x LIKE 'page=%')[1], '=', 2) AS page, CAST(NULL AS VARCHAR) AS variant_id FROM u""")
+ORACLE["url_codes"] = _with(_URLS, """p AS (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS a FROM u),
+  c AS (SELECT page_id, CASE WHEN len(a) >= 2 THEN a[1] END AS s, CASE WHEN len(a) >= 2 THEN a[2] END AS i FROM p)""", body="""
+  SELECT page_id, s AS shop_code, i AS item_code, s AS store, s || ':' || i AS product_uid, s || ':' || i || ':default' AS variant_uid, i AS api_item,
+    'https://www.example.com/' || s || '/' AS shop_url FROM c""")
+_SIGNS = " OR ".join(f"contains(head, '{s}')" for s in ("access denied", "cf-browser-verification", "challenge-platform", "_sec_cpt", "just a moment"))
+ORACLE["page_class"] = f"""SELECT page_id,
+    CASE WHEN length(html) < 1000 THEN 'short' WHEN contains(html, '__INITIAL_STATE__') OR contains(lower(html), 'item-list') THEN 'ok' WHEN {_SIGNS} THEN 'blocked' ELSE 'ok' END AS as_list,
+    CASE WHEN length(html) < 1000 THEN 'short' WHEN contains(html, 'item-page-app-data') OR (contains(html, 'itemprop') AND contains(lower(html), 'example')) THEN 'ok'
+      WHEN {_SIGNS} THEN 'blocked' ELSE 'ok' END AS as_detail
+  FROM (SELECT *, lower(substring(html, 1, 5000)) AS head FROM pages)"""
+ORACLE["page_titles"] = """SELECT page_id, trim(regexp_replace(trim(nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '')), '\\s*:\\s*[^:]+$', '')) AS name FROM pages"""
+_COUNT = _COMMA.format("qty * 100")
+ORACLE["text_round_trip"] = f"""
+  WITH l AS (SELECT CAST(l_quantity AS BIGINT) AS qty, {_TAX} AS up, l_linenumber AS line FROM lineitem),
+  t AS (SELECT *, CASE WHEN line = 7 THEN '20%ポイントバック' ELSE CASE WHEN line <> 6 THEN '1倍' ELSE '' END || CASE WHEN up > 0 THEN '+' || up || '倍UP' ELSE '' END END AS inner_text FROM l)
+  SELECT {_COUNT} || 'ポイント' || CASE WHEN inner_text <> '' THEN '(' || inner_text || ')' ELSE '' END AS point_text,
+    CASE line % 3 WHEN 0 THEN {_COMMA.format('qty * 50')} || '円OFFクーポンあり' WHEN 1 THEN qty * 50 || '%OFFクーポンあり' ELSE qty * 50 || 'クーポンあり' END AS coupon_text,
+    CASE line WHEN 1 THEN '翌日配送' WHEN 2 THEN '３日以内に発送' ELSE line || '～9日' END AS ship_text, qty * 100 AS point_count,
+    CASE WHEN line = 7 THEN NULL ELSE nullif(CASE WHEN line <> 6 THEN 1 ELSE 0 END + up, 0) END AS total_multiplier, line = 7 AS is_point_back,
+    CASE line % 3 WHEN 2 THEN NULL ELSE qty * 50 END AS coupon_discount, CASE line % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'percentage' END AS coupon_type,
+    CASE WHEN line <= 2 THEN 1 ELSE line END AS days_min, CASE line WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 9 END AS days_max,
+    CASE WHEN line = 7 THEN NULL ELSE nullif(CAST(CASE WHEN line <> 6 THEN 1 ELSE 0 END + up AS DOUBLE), 0) END AS rate, CASE WHEN line = 7 THEN 20.0::DOUBLE END AS back,
+    qty * 50 AS digits, count(*) AS rows FROM t GROUP BY ALL"""
+
+
+def _json(name: str, value: str, quoted: bool = False) -> str:
+    text = f"""'"' || {value} || '"'""" if quoted else f"CAST({value} AS VARCHAR)"
+    return f"""'"{name}":' || COALESCE({text}, 'null')"""
+
+
+_HASHED = " || ',' || ".join([
+    _json("coupon_percent", "CAST(coupon_percent AS DECIMAL(5,1))"), _json("coupon_yen", "coupon_yen"), """'"extra1_key":null,"extra1_value":null,"extra2_key":null,"extra2_value":null'""",
+    _json("image_url", "image_url", True), _json("point_back_percent", "CAST(point_back_percent AS DECIMAL(5,1))"), _json("point_rate", "CAST(point_rate AS DECIMAL(5,1))"),
+    _json("price", "price"), _json("shipping_days_max", "shipping_days_max"), _json("shipping_days_min", "shipping_days_min"), _json("shipping_text_raw", "shipping_text_raw", True)])
+ORACLE["content_hashes"] = _with(V.OBS_PART, V.SNAP, body=f"SELECT variant_uid, sha256('{{' || {_HASHED} || '}}') AS content_hash FROM snap")
+ORACLE["record_dates"] = _with(V.BROWSE, body=f"SELECT {_day('browsed_at + INTERVAL 9 HOUR')} AS record_date, count(*) AS events FROM browse GROUP BY 1")
+ORACLE["display_columns"] = _with(V.OBS_PART, V.SNAP, body=f"""
+  SELECT variant_uid, '¥' || {_COMMA.format('price')} AS yen, {_COMMA.format('price // 25')} || 'pt' AS points,
+    CASE WHEN length(image_url) > 28 THEN substring(image_url, 1, 28) || '...' ELSE image_url END AS short_url, strftime(fetched_at, '%Y/%m/%d %H:%M') AS shown_date,
+    CASE WHEN days = 0 THEN 'たった今' ELSE days || '日前' END AS age,
+    CASE WHEN shipping_days_min IS NOT NULL AND shipping_days_min <> shipping_days_max THEN shipping_days_min || '〜' || shipping_days_max || '日' ELSE shipping_days_max || '日' END AS shipping,
+    COALESCE(contains(shipping_text_raw, '送料無料'), false) AS free_shipping FROM (SELECT *, date_diff('day', fetched_at, {_AS_OF}) AS days FROM snap)""")

@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from offerlens.fixed import SPARSE_DETAIL_COLUMNS, SPARSE_LIST_COLUMNS
+from offerlens.functions import display as Y
+from offerlens.functions import text as X
+from offerlens.functions import url as U
+from offerlens.functions.keys import content_hash, record_date, source_flags
 from offerlens.functions.price import offer_value
 from offerlens.operators import history as H
 from offerlens.operators import jan as J
@@ -19,7 +24,9 @@ from offerlens.operators import ranking as R
 from offerlens.operators import retention as K
 from offerlens.operators import search as S
 from offerlens.operators.ordered import latest_per_key
+from offerlens.plans import documents as T
 from offerlens.plans.domain import Domain
+from offerlens.sources import api_json, browse, detail_pages, list_pages, offers
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -294,8 +301,6 @@ def _item_batch(d: Domain) -> DataFrame:
     c, line = F.col, F.col("l_linenumber")
     source = F.when(line == 7, F.lit("extension")).when(c("l_returnflag") == "A", F.lit("api")).when(
         c("l_returnflag") == "N", F.lit("list")).otherwise(F.lit("detail"))
-    from offerlens.functions.keys import source_flags
-
     rows = d.table("lineitem").select(
         c("l_suppkey").cast("string").alias("shop_code"), c("l_partkey").cast("string").alias("item_code"),
         source.alias("source"), c("l_shipdate").alias("fetched_at"),
@@ -588,15 +593,11 @@ _LIST_CHECKED = ("observed_price", "point_count", "point_base_multiplier", "poin
 
 @query
 def quality_fill(d: Domain) -> DataFrame:
-    from offerlens.fixed import SPARSE_LIST_COLUMNS
-
     return Q.fill_rates(d.list_observations(), _LIST_CHECKED, flags=("is_free_shipping", "is_super_deal"), sparse=SPARSE_LIST_COLUMNS)
 
 
 @query
 def quality_fill_detail(d: Domain) -> DataFrame:
-    from offerlens.fixed import SPARSE_DETAIL_COLUMNS
-
     return Q.fill_rates(d.detail_observations(), ("price_min", "price_max", "variant_count", "variant_data_json", "coupon_yen", "coupon_percent"),
                         positive=("variant_count",), sparse=SPARSE_DETAIL_COLUMNS)
 
@@ -702,3 +703,177 @@ def tiered_sample(d: Domain) -> DataFrame:
 @query
 def best_covered_sample(d: Domain) -> DataFrame:
     return Q.best_covered_tier(d.items(), 25).select("product_uid", "tier")
+
+
+# ingest: documents that Spark derives from the tables, read back ---------------------
+
+
+@query
+def api_ingest(d: Domain) -> DataFrame:
+    rows = api_json.api_offers(T.api_documents(d), genre_context="genre", keep=("fetched_at",))
+    return shown(rows.select("shop_code", "shop_name", "shop_url", "item_code", "api_item_code", "canonical_url", "item_name", "catchcopy",
+                             "genre_id", "variant_code", "price", "point_rate", "shipping_text_raw", "image_url", "extra1_key",
+                             "extra1_value", "extra2_key", "extra2_value", "source", "fetched_at"))
+
+
+@query
+def api_paging(d: Domain) -> DataFrame:
+    pages = api_json.api_pages(T.api_documents(d)).select("seq", "total_count", "page_count")
+    return P.api_pages(pages, most=5)
+
+
+_LIST_SHOWN = ("product_uid", "canonical_url", "url_variant_id", "item_name", "item_subtitle", "observed_price", "price_range", "variant_id",
+               "is_sold_out", "image_url", "genre_ids", "leaf_genre_id", "shop_name", "shop_url", "point_count", "point_base_multiplier",
+               "point_shop_multiplier", "point_up_multiplier", "point_total_multiplier", "is_point_back", "point_back_rate", "point_text_raw",
+               "coupon_discount", "coupon_type", "coupon_text_raw", "shipping_cost", "delivery_text", "is_free_shipping", "review_score",
+               "review_count", "is_super_deal", "is_shop39", "has_multi_sku", "data_source")
+
+
+@query
+def list_ingest(d: Domain) -> DataFrame:
+    return list_pages.observations(list_pages.list_rows(T.list_documents(d))).select(*_LIST_SHOWN)
+
+
+@query
+def list_totals(d: Domain) -> DataFrame:
+    """Stated totals of each listing page and the pages that follow from them."""
+    totals = list_pages.page_totals(T.list_documents(d)).filter(F.col("total_found").isNotNull())
+    paged = totals.withColumn("pages", F.size(P.page_numbers(F.col("total_found"), F.col("page_size"), 150)))
+    return paged.groupBy("total_found", "page_size", "pages").agg(F.count("*").alias("documents"))
+
+
+_OFFER_SHOWN = ("shop_code", "item_code", "canonical_url", "item_name", "variant_code", "jan_code", "variant_name", "price", "point_rate",
+                "point_back_percent", "coupon_yen", "coupon_percent", "shipping_text_raw", "shipping_days_min", "shipping_days_max",
+                "image_url", "extra1_key", "extra1_value", "extra2_key", "extra2_value")
+
+
+@query
+def detail_ingest(d: Domain) -> DataFrame:
+    parsed = detail_pages.parse_pages(T.detail_documents(d))
+    return detail_pages.detail_offers(parsed).select(*_OFFER_SHOWN, "shop_name", "shop_url", "genre_id", "selector_values")
+
+
+@query
+def detail_observed(d: Domain) -> DataFrame:
+    parsed = detail_pages.parse_pages(T.detail_documents(d))
+    rows = detail_pages.detail_observations(parsed)
+    return rows.select("product_uid", "item_name", "shop_name", "shop_url_code", "price_min", "price_max", "review_count", "review_rating",
+                       "is_39_shop", "is_super_deal", "inventory_type", "coupon_yen", "coupon_percent", "variant_count", "variant_data_json",
+                       "ancestor_genre_id", "data_source")
+
+
+@query
+def variant_json_summary(d: Domain) -> DataFrame:
+    parsed = detail_pages.parse_pages(T.detail_documents(d))
+    rows = Q.variant_json_coverage(detail_pages.detail_observations(parsed))
+    return rows.groupBy("data_source", "variants", "with_jan", "with_price", "with_stock").agg(F.count("*").alias("rows"))
+
+
+@query
+def browse_ingest(d: Domain) -> DataFrame:
+    rows = browse.event_offers(browse.parse_events(T.browse_documents(d)), keep=("event_id",))
+    return rows.select("event_id", "shop_code", "item_code", "canonical_url", "item_name", "variant_code", "jan_code", "price", "point_rate",
+                       "coupon_yen", "image_url", "source", "variant_place")
+
+
+@query
+def browse_event_rows(d: Domain) -> DataFrame:
+    return shown(browse.event_rows(browse.parse_events(T.browse_documents(d)), "ts", keep=("event_id",)))
+
+
+@query
+def browse_rejected(d: Domain) -> DataFrame:
+    rows = browse.rejected(browse.parse_events(T.browse_documents(d)))
+    return rows.select("event_id", F.col("p.page_url").alias("page_url"))
+
+
+@query
+def feeds_to_catalogue(d: Domain) -> DataFrame:
+    """Four feeds, one item table: the merge over the union of all sources."""
+    seen = list_pages.observations(list_pages.list_rows(T.list_documents(d), keep=("observed_at",))).withColumnRenamed("observed_at", "fetched_at")
+    feeds = offers.union_offers(
+        api_json.api_offers(T.api_documents(d), genre_context="genre", keep=("fetched_at",)),
+        list_pages.list_offers(seen, keep=("fetched_at",)),
+        detail_pages.detail_offers(detail_pages.parse_pages(T.detail_documents(d), keep=("observed_at",)), keep=("observed_at",)).withColumnRenamed("observed_at", "fetched_at"),
+        browse.event_offers(browse.parse_events(T.browse_documents(d)), keep=("ts",)).withColumnRenamed("ts", "fetched_at"),
+    )
+    batch = offers.item_batch(feeds).withColumn("seq", F.col("fetched_at"))
+    items = M.merge_items(None, batch)
+    return items.groupBy("seen_in_api", "seen_in_list", "seen_in_detail", "seen_in_ext", "in_server_crawl").agg(
+        F.count("*").alias("items"), F.sum("ext_view_count").alias("views"))
+
+
+# expressions over whole tables -----------------------------------------------------------
+
+
+@query
+def url_canonical(d: Domain) -> DataFrame:
+    return d.table("pages").select("page_id", U.canonical_url("url").alias("canonical"), U.clean_tracking("url", ("utm_source", "ref")).alias("cleaned"),
+                                   U.query_value("url", "page").alias("page"), U.url_variant_id("url").alias("variant_id"))
+
+
+@query
+def url_codes(d: Domain) -> DataFrame:
+    codes = U.shop_item_code("url")
+    return d.table("pages").select(
+        "page_id", codes["shop_code"].alias("shop_code"), codes["item_code"].alias("item_code"), U.store_code("url").alias("store"),
+        U.product_uid(codes["shop_code"], codes["item_code"]).alias("product_uid"),
+        U.variant_uid(codes["shop_code"], codes["item_code"], F.lit("")).alias("variant_uid"),
+        U.parse_api_item_code(U.product_uid(codes["shop_code"], codes["item_code"]))["item_code"].alias("api_item"),
+        U.shop_url(codes["shop_code"]).alias("shop_url"),
+    )
+
+
+@query
+def page_class(d: Domain) -> DataFrame:
+    rows = d.table("pages").select("page_id", list_pages.page_class().alias("as_list"), detail_pages.page_class().alias("as_detail"))
+    return rows
+
+
+@query
+def page_titles(d: Domain) -> DataFrame:
+    title = F.nullif(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), F.lit(""))
+    return d.table("pages").select("page_id", X.title_name(title).alias("name"))
+
+
+@query
+def text_round_trip(d: Domain) -> DataFrame:
+    """Point, coupon and shipping texts built from the lines and read back."""
+    up, qty, line = F.round(F.col("l_tax") * 100).cast("int"), F.col("l_quantity").cast("bigint"), F.col("l_linenumber")
+    none = F.lit(None).cast("int")
+    rows = d.lines().select(
+        X.point_text(qty * 100, line == 7, F.lit(20.0), F.when(line != 6, F.lit(1)), none, up, none, none).alias("point_text"),
+        X.coupon_text(qty * 50, F.when(line % 3 == 0, F.lit("exact")).when(line % 3 == 1, F.lit("percentage"))).alias("coupon_text"),
+        F.when(line == 1, F.lit("翌日配送")).when(line == 2, F.lit("３日以内に発送")).otherwise(F.concat(line.cast("string"), F.lit("～9日"))).alias("ship_text"),
+    )
+    read = rows.withColumns({"pt": X.card_points("point_text"), "cp": X.card_coupon("coupon_text"), "sd": X.shipping_days("ship_text"),
+                             "pr": X.point_rate_from_text("point_text")})
+    return read.groupBy(
+        "point_text", "coupon_text", "ship_text", F.col("pt.point_count").alias("point_count"), F.col("pt.point_total_multiplier").alias("total_multiplier"),
+        F.col("pt.is_point_back").alias("is_point_back"), F.col("cp.coupon_discount").alias("coupon_discount"), F.col("cp.coupon_type").alias("coupon_type"),
+        F.col("sd.shipping_days_min").alias("days_min"), F.col("sd.shipping_days_max").alias("days_max"),
+        F.col("pr.point_rate").alias("rate"), F.col("pr.point_back_percent").alias("back"),
+        X.price_from_text("coupon_text").alias("digits"),
+    ).agg(F.count("*").alias("rows"))
+
+
+@query
+def content_hashes(d: Domain) -> DataFrame:
+    snaps = d.snapshots("part")
+    return snaps.select("variant_uid", content_hash(snaps.columns).alias("content_hash"))
+
+
+@query
+def record_dates(d: Domain) -> DataFrame:
+    """Events per local calendar day, nine hours ahead of UTC."""
+    return shown(d.browse_events().groupBy(record_date("browsed_at", "Asia/Tokyo").alias("record_date")).agg(F.count("*").alias("events")))
+
+
+@query
+def display_columns(d: Domain) -> DataFrame:
+    snaps = d.snapshots("part")
+    return snaps.select(
+        "variant_uid", Y.yen("price").alias("yen"), Y.points(F.floor(F.col("price") / 25)).alias("points"),
+        Y.truncated("image_url", 28).alias("short_url"), Y.shown_date("fetched_at").alias("shown_date"), Y.age("fetched_at", d.as_of()).alias("age"),
+        Y.shipping_range("shipping_days_min", "shipping_days_max").alias("shipping"), X.is_free_shipping("shipping_text_raw").alias("free_shipping"),
+    )

@@ -58,3 +58,10 @@ def durable(df: DataFrame) -> DataFrame:
     executor neither recomputes nor changes what later steps read."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files give fewer tasks than there are cores,
+    as one unsplittable file does. Larger inputs are left as they are scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

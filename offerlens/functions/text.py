@@ -43,66 +43,82 @@ def price_from_text(text) -> Column:
     return F.nullif(F.regexp_replace(_ascii_digits(text), r"[^0-9]", ""), F.lit("")).try_cast("bigint")
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once for use at several places of an expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _or_zero(col: Column) -> Column:
+    return F.coalesce(col, F.lit(0))
+
+
 def card_points(text) -> Column:
     """Point text of a listing card → count, point back, multipliers."""
-    text = _ascii_digits(text)
-    back = found(text, POINT_BACK).try_cast("double")
-    base = F.when(back.isNull(), found(text, CARD_BASE).try_cast("int"))
-    up = F.when(back.isNull(), found(text, CARD_UP).try_cast("int"))
-    total = F.coalesce(base, F.lit(0)) + F.coalesce(up, F.lit(0))
-    return F.struct(
-        whole(found(text, POINT_COUNT)).alias("point_count"),
-        back.isNotNull().alias("is_point_back"),
-        back.alias("point_back_rate"),
-        base.alias("point_base_multiplier"),
-        up.alias("point_up_multiplier"),
-        F.when(total > 0, total).alias("point_total_multiplier"),
-    )
+    def read(t):
+        return F.struct(
+            whole(found(t, POINT_COUNT)).alias("n"), found(t, POINT_BACK).try_cast("double").alias("back"),
+            found(t, CARD_BASE).try_cast("int").alias("base"), found(t, CARD_UP).try_cast("int").alias("up"))
+
+    def shaped(r):
+        plain = r["back"].isNull()
+        total = _or_zero(r["base"]) + _or_zero(r["up"])
+        return F.struct(
+            r["n"].alias("point_count"), r["back"].isNotNull().alias("is_point_back"), r["back"].alias("point_back_rate"),
+            F.when(plain, r["base"]).alias("point_base_multiplier"), F.when(plain, r["up"]).alias("point_up_multiplier"),
+            F.when(plain & (total > 0), total).alias("point_total_multiplier"))
+
+    return let(let(_ascii_digits(text), read), shaped)
 
 
 def point_rate_from_text(text) -> Column:
     """(rate, back) of one point text of a detail page; point back wins."""
-    text = _ascii_digits(text)
-    back = found(text, POINT_BACK).try_cast("double")
-    bracketed = F.coalesce(found(text, PAGE_BASE).try_cast("double"), F.lit(0.0)) + F.coalesce(
-        found(text, PAGE_UP).try_cast("double"), F.lit(0.0)
-    )
-    rate = F.when(bracketed != 0, bracketed).otherwise(found(text, PAGE_PLAIN).try_cast("double"))
-    return F.struct(
-        F.when(back.isNull() & (rate > 0), rate).alias("point_rate"),
-        back.alias("point_back_percent"),
-    )
+    def read(t):
+        number = lambda pattern: found(t, pattern).try_cast("double")
+        return F.struct(number(POINT_BACK).alias("back"), (_or_zero(number(PAGE_BASE)) + _or_zero(number(PAGE_UP))).alias("sum"),
+                        number(PAGE_PLAIN).alias("plain"))
+
+    def shaped(r):
+        rate = F.when(r["sum"] != 0, r["sum"]).otherwise(r["plain"])
+        return F.struct(F.when(r["back"].isNull() & (rate > 0), rate).alias("point_rate"), r["back"].alias("point_back_percent"))
+
+    return let(let(_ascii_digits(text), read), shaped)
 
 
 def best_point_rate(texts) -> Column:
     """Highest rate and highest point back over an array of texts."""
-    read = F.transform(texts, point_rate_from_text)
-    return F.struct(
+    return let(F.transform(texts, point_rate_from_text), lambda read: F.struct(
         F.array_max(F.transform(read, lambda r: r["point_rate"])).alias("point_rate"),
         F.array_max(F.transform(read, lambda r: r["point_back_percent"])).alias("point_back_percent"),
-    )
+    ))
 
 
 def card_coupon(text) -> Column:
-    text = _ascii_digits(text)
-    yen, percent = whole(found(text, CARD_YEN_OFF)), found(text, CARD_PERCENT_OFF).try_cast("bigint")
-    return F.struct(
-        F.coalesce(yen, percent).alias("coupon_discount"),
-        F.when(yen.isNotNull(), F.lit("exact")).when(percent.isNotNull(), F.lit("percentage")).alias("coupon_type"),
-    )
+    def read(t):
+        return F.struct(whole(found(t, CARD_YEN_OFF)).alias("yen"), found(t, CARD_PERCENT_OFF).try_cast("bigint").alias("percent"))
+
+    def shaped(r):
+        kind = F.when(r["yen"].isNotNull(), F.lit("exact")).when(r["percent"].isNotNull(), F.lit("percentage"))
+        return F.struct(F.coalesce(r["yen"], r["percent"]).alias("coupon_discount"), kind.alias("coupon_type"))
+
+    return let(let(_ascii_digits(text), read), shaped)
 
 
 def page_coupon(texts, html) -> Column:
     """Highest fixed and percentage coupon over the page's coupon texts and an
     embedded coupon object."""
     html = _col(html)
-    kind, amount = found(html, COUPON_JSON, 2), found(html, COUPON_JSON, 1).try_cast("bigint")
-    yen = F.array_max(F.transform(texts, lambda t: whole(found(_ascii_digits(t), PAGE_YEN))))
-    percent = F.array_max(F.transform(texts, lambda t: found(_ascii_digits(t), PAGE_PERCENT).try_cast("double")))
-    return F.struct(
-        F.greatest(yen, F.when(kind == "exact", amount)).cast("int").alias("coupon_yen"),
-        F.greatest(percent, F.when(kind == "percentage", amount.cast("double"))).alias("coupon_percent"),
-    )
+    # The pattern is only tried on pages that name a coupon object at all.
+    embedded = F.when(html.contains('"coupon"'), F.struct(
+        found(html, COUPON_JSON, 2).alias("kind"), found(html, COUPON_JSON, 1).try_cast("bigint").alias("amount")))
+
+    def shaped(e):
+        yen = F.array_max(F.transform(texts, lambda t: whole(found(_ascii_digits(t), PAGE_YEN))))
+        percent = F.array_max(F.transform(texts, lambda t: found(_ascii_digits(t), PAGE_PERCENT).try_cast("double")))
+        return F.struct(
+            F.greatest(yen, F.when(e["kind"] == "exact", e["amount"])).cast("int").alias("coupon_yen"),
+            F.greatest(percent, F.when(e["kind"] == "percentage", e["amount"].cast("double"))).alias("coupon_percent"))
+
+    return let(embedded, shaped)
 
 
 def _grouped(number: Column) -> Column:
@@ -145,14 +161,14 @@ def coupon_text(discount, kind) -> Column:
 
 def shipping_days(text) -> Column:
     """翌日 → 1..1, N日以内 → 1..N, a～b日 → a..b; the last rule that matches wins."""
-    text = _ascii_digits(text)
-    low, high = (found(text, DAYS_RANGE, g).try_cast("int") for g in (1, 2))
-    within = found(text, DAYS_WITHIN).try_cast("int")
-    next_day = F.when(text.contains("翌日"), F.lit(1))
-    return F.struct(
-        F.coalesce(low, F.when(within.isNotNull(), F.lit(1)), next_day).alias("shipping_days_min"),
-        F.coalesce(high, within, next_day).alias("shipping_days_max"),
-    )
+    def read(t):
+        return F.struct(
+            found(t, DAYS_RANGE, 1).try_cast("int").alias("low"), found(t, DAYS_RANGE, 2).try_cast("int").alias("high"),
+            found(t, DAYS_WITHIN).try_cast("int").alias("within"), F.when(t.contains("翌日"), F.lit(1)).alias("next"))
+
+    return let(let(_ascii_digits(text), read), lambda r: F.struct(
+        F.coalesce(r["low"], F.when(r["within"].isNotNull(), F.lit(1)), r["next"]).alias("shipping_days_min"),
+        F.coalesce(r["high"], r["within"], r["next"]).alias("shipping_days_max")))
 
 
 def sku_shipping_text(included, cost, message) -> Column:
@@ -195,41 +211,44 @@ def title_name(title, site_tag: str = "") -> Column:
 def extra_fields(attributes, review_count, review_rating) -> Column:
     """Two extra (key, value) pairs from an array of (title, value) attributes:
     brand or maker, then model number or colour; series, then reviews, fill gaps."""
-    usable = F.filter(attributes, lambda a: (a["value"] != "-") & (a["value"] != ""))
-
-    def kind(a, pairs):
-        expr = None
-        for word, key in pairs:
-            expr = F.when(a["title"].contains(word), F.lit(key)) if expr is None else expr.when(
-                a["title"].contains(word), F.lit(key)
-            )
-        return F.struct(expr.alias("key"), a["value"].alias("value"))
-
-    def first_of(pairs):
-        hits = F.filter(F.transform(usable, lambda a: kind(a, pairs)), lambda h: h["key"].isNotNull())
-        return F.get(hits, F.lit(0))
-
-    one = first_of((("ブランド", "ブランド"), ("メーカー", "メーカー")))
-    # An attribute taken for the first pair is not looked at for the second.
-    makers = F.transform(usable, lambda a: a["title"].contains("ブランド") | a["title"].contains("メーカー"))
-    taken = F.array_position(makers, True).cast("int")
-    rest = F.filter(usable, lambda a, i: i != taken - 1)
-    seconds = F.filter(
-        F.transform(F.when(taken > 0, rest).otherwise(usable), lambda a: kind(a, (("型番", "型番"), ("カラー", "カラー")))),
-        lambda h: h["key"].isNotNull(),
-    )
-    two = F.get(seconds, F.lit(0))
-    series = first_of((("シリーズ", "シリーズ"),))
     count, rating = _col(review_count).cast("string"), _col(review_rating).cast("string")
-    reviews = F.when(count.try_cast("double") != 0, F.struct(F.lit("review_count").alias("key"), count.alias("value")))
-    stars = F.when(rating.try_cast("double") != 0, F.struct(F.lit("review_rating").alias("key"), rating.alias("value")))
-    first, second = F.coalesce(one, series, reviews), F.coalesce(two, stars)
-    return F.struct(
-        first["key"].alias("extra1_key"),
-        first["value"].alias("extra1_value"),
-        second["key"].alias("extra2_key"),
-        second["value"].alias("extra2_value"),
-    )
+
+    def pair(key, value):
+        return F.struct(key.alias("key"), value.alias("value"))
+
+    def word(title, pairs):
+        """Key of the first word the title holds."""
+        expr = F.when(title.contains(pairs[0][0]), F.lit(pairs[0][1]))
+        for text, key in pairs[1:]:
+            expr = expr.when(title.contains(text), F.lit(key))
+        return expr
+
+    def tagged(a):
+        return F.struct(
+            word(a["title"], (("ブランド", "ブランド"), ("メーカー", "メーカー"))).alias("one"),
+            word(a["title"], (("型番", "型番"), ("カラー", "カラー"))).alias("two"),
+            word(a["title"], (("シリーズ", "シリーズ"),)).alias("series"), a["value"].alias("value"))
+
+    def chosen(rows):
+        maker = F.get(F.filter(rows, lambda r: r["one"].isNotNull()), F.lit(0))
+        series = F.get(F.filter(rows, lambda r: r["series"].isNotNull()), F.lit(0))
+        # The attribute taken for the first pair is not looked at for the second.
+        place = F.array_position(F.transform(rows, lambda r: r["one"].isNotNull()), True).cast("int")
+        model = F.get(F.filter(rows, lambda r, i: r["two"].isNotNull() & (i != place - 1)), F.lit(0))
+        return F.struct(
+            F.when(maker.isNotNull(), pair(maker["one"], maker["value"])).when(series.isNotNull(), pair(series["series"], series["value"])).alias("first"),
+            F.when(model.isNotNull(), pair(model["two"], model["value"])).alias("second"))
+
+    def shaped(c):
+        reviews = F.when(count.try_cast("double") != 0, pair(F.lit("review_count"), count))
+        stars = F.when(rating.try_cast("double") != 0, pair(F.lit("review_rating"), rating))
+        return let(F.struct(F.coalesce(c["first"], reviews).alias("a"), F.coalesce(c["second"], stars).alias("b")), lambda p: F.struct(
+            p["a"]["key"].alias("extra1_key"), p["a"]["value"].alias("extra1_value"),
+            p["b"]["key"].alias("extra2_key"), p["b"]["value"].alias("extra2_value")))
+
+    usable = F.filter(F.coalesce(attributes, F.array().cast("array<struct<title:string,value:string>>")),
+                      lambda a: (a["value"] != "-") & (a["value"] != ""))
+    return let(let(F.transform(usable, tagged), chosen), shaped)
 
 
 def page_class(html, state_mark: str, any_marks=(), all_marks=()) -> Column:

@@ -9,30 +9,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerlens.fixed import DEFAULT_VARIANT, TRACKING_PARAMS, VARIANT_PARAM, Marketplace
+from offerlens.functions.text import let
 
-_URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+_URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/]*))?(.*)"
 
 
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _part(url: Column, group: int) -> Column:
-    tidy = F.regexp_replace(F.ltrim(url), r"[\t\r\n]", "")
-    return F.regexp_extract(tidy, _URL, group)
+def _pieces(url: Column) -> Column:
+    """(scheme, address, path, query) of a URL. Addresses of the usual form are cut
+    by position; the pattern is the rule for all others."""
+    def cut(u):
+        front = F.substring_index(F.substring_index(u, "#", 1), "?", 1)
+        query = F.substring(F.substring_index(u, "#", 1), F.length(front) + 2, F.length(u))
+        return let(F.struct(front.alias("f"), query.alias("q")), usual)
+
+    def usual(s):
+        rest = F.substring(s["f"], F.instr(s["f"], "://") + 3, F.length(s["f"]))
+        address = F.substring_index(rest, "/", 1)
+        return F.when(
+            s["f"].rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"),
+            F.struct(
+                F.substring_index(s["f"], "://", 1).alias("scheme"), address.alias("address"),
+                F.substring(rest, F.length(address) + 1, F.length(rest)).alias("path"), s["q"].alias("query")),
+        ).otherwise(F.struct(
+            F.regexp_extract(s["f"], _URL, 1).alias("scheme"), F.regexp_extract(s["f"], _URL, 2).alias("address"),
+            F.regexp_extract(s["f"], _URL, 3).alias("path"), s["q"].alias("query")))
+
+    return let(F.translate(F.ltrim(url), "\t\r\n", ""), cut)
+
+
+def _host(address: Column) -> Column:
+    plain = F.when(address.contains("@"), F.substring_index(address, "@", -1)).otherwise(address)
+    return F.lower(F.when(plain.contains(":"), F.regexp_replace(plain, r":\d*$", "")).otherwise(plain))
+
+
+def _path(path: Column) -> Column:
+    return F.when(path.contains(";"), F.regexp_replace(path, r";[^/]*$", "")).otherwise(path)
 
 
 def scheme(url) -> Column:
-    return F.lower(_part(_col(url), 1))
+    return F.lower(_pieces(_col(url))["scheme"])
 
 
 def host(url) -> Column:
-    address = F.regexp_replace(_part(_col(url), 2), r"^.*@", "")
-    return F.lower(F.regexp_replace(address, r":\d*$", ""))
+    return _host(_pieces(_col(url))["address"])
 
 
 def path(url) -> Column:
-    return F.regexp_replace(_part(_col(url), 3), r";[^/]*$", "")
+    return _path(_pieces(_col(url))["path"])
 
 
 def _decode(text: Column) -> Column:
@@ -43,18 +70,17 @@ def _encode(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def _let(value: Column, body) -> Column:
-    """Bind a value once for use at several places of an expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def query_pairs(url) -> Column:
     """Array of (k, v) in order; parameters without a value are left out."""
-    raw = F.split(_part(_col(url), 4), "&")
+    return _pairs(_pieces(_col(url))["query"])
+
+
+def _pairs(query: Column) -> Column:
+    raw = F.split(query, "&")
     valued = F.filter(raw, lambda p: F.instr(p, "=").between(1, F.length(p) - 1))
     return F.transform(
         valued,
-        lambda p: _let(F.instr(p, "="), lambda at: F.struct(
+        lambda p: let(F.instr(p, "="), lambda at: F.struct(
             _decode(F.substring(p, F.lit(1), at - 1)).alias("k"),
             _decode(F.substring(p, at + 1, F.length(p))).alias("v"),
         )),
@@ -65,7 +91,6 @@ def _rebuilt(url, drop: Iterable[str], drop_exact: Iterable[str]) -> Column:
     url = _col(url)
     dropped = F.array(*[F.lit(d) for d in drop])
     exact = F.array(*[F.lit(d) for d in drop_exact]) if drop_exact else F.array().cast("array<string>")
-    base = F.concat(scheme(url), F.lit("://"), host(url), F.rtrim(path(url), F.lit("/")), F.lit("/"))
 
     def kept(names):
         return F.filter(names, lambda k: ~F.array_contains(dropped, F.lower(k)) & ~F.array_contains(exact, k))
@@ -83,8 +108,12 @@ def _rebuilt(url, drop: Iterable[str], drop_exact: Iterable[str]) -> Column:
         )
         return F.array_join(grouped, "&")
 
-    query = F.nullif(_let(query_pairs(url), tail), F.lit(""))
-    return F.concat(base, F.when(url.contains("?"), F.coalesce(F.concat(F.lit("?"), query), F.lit(""))).otherwise(F.lit("")))
+    def whole(u):
+        base = F.concat(F.lower(u["scheme"]), F.lit("://"), _host(u["address"]), F.rtrim(_path(u["path"]), F.lit("/")), F.lit("/"))
+        query = F.when(u["query"] != "", F.nullif(let(_pairs(u["query"]), tail), F.lit("")))
+        return F.concat(base, F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
+
+    return let(_pieces(url), whole)
 
 
 def canonical_url(url, tracking: Iterable[str] = TRACKING_PARAMS) -> Column:
@@ -111,11 +140,10 @@ def path_parts(url) -> Column:
 def shop_item_code(url) -> Column:
     """(shop_code, item_code) from the first two path parts, NULL if there are
     fewer than two."""
-    parts = path_parts(url)
-    return F.when(
+    return let(path_parts(url), lambda parts: F.when(
         F.size(parts) >= 2,
         F.struct(F.get(parts, F.lit(0)).alias("shop_code"), F.get(parts, F.lit(1)).alias("item_code")),
-    )
+    ))
 
 
 def store_code(url) -> Column:

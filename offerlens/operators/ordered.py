@@ -49,17 +49,19 @@ def group_is_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame
     return None if hot.isEmpty() else hot
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys in which NULL equals NULL; the right keys leave no column."""
+    other = right.select(*[F.col(k).alias(f"_other_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     cond = F.lit(True)
-    for key in keys:
-        cond = cond & left[key].eqNullSafe(right[key])
-    return cond
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_other_{k}"))
+    return left.join(other, cond, how).drop(*[f"_other_{k}" for k in keys])
 
 
 def _split(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     if not keys:
         return df, None
-    return df.join(hot, _same(df, hot, keys), "left_semi"), df.join(hot, _same(df, hot, keys), "left_anti")
+    return _join(df, hot, keys, "left_semi"), _join(df, hot, keys, "left_anti")
 
 
 def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts: int | None) -> DataFrame:
@@ -97,9 +99,8 @@ def number_rows(
             F.lit(0),
         ).alias("_before"),
     )
-    numbered = (
-        local.join(before, _same(local, before, [*keys, "_range"]), "left")
-        .select(*[local[c] for c in df.columns], (local[name] + before["_before"]).cast("bigint").alias(name))
+    numbered = _join(local, before, [*keys, "_range"], "left").select(
+        *df.columns, (F.col(name) + F.col("_before")).cast("bigint").alias(name)
     )
     if rest is None:
         return numbered
@@ -133,12 +134,8 @@ def previous_row(
     carried = ends.select(
         *keys, (F.lead("_range").over(Window.partitionBy(*keys).orderBy("_range"))).alias("_range"), "_end"
     ).filter(F.col("_range").isNotNull())
-    filled = (
-        local.join(carried, _same(local, carried, [*keys, "_range"]), "left")
-        .select(
-            *[local[c] for c in df.columns],
-            F.when(local["_place"] == 1, carried["_end"]).otherwise(local[name]).alias(name),
-        )
+    filled = _join(local, carried, [*keys, "_range"], "left").select(
+        *df.columns, F.when(F.col("_place") == 1, F.col("_end")).otherwise(F.col(name)).alias(name)
     )
     if rest is None:
         return filled

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.functions.url import product_uid, variant_uid
+from offerlens.operators.ordered import latest_per_key
 from offerlens.session import spread
 
 ITEM_URL = "https://item.example.com/"
@@ -24,45 +25,61 @@ class Domain:
 
     def lines(self) -> DataFrame:
         """Line items for work that costs CPU per row."""
-        return spread(self.table("lineitem"))
+        return spread(self.table("lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
 
     # observations ----------------------------------------------------------
-    def observations(self, grain: str = "catalogue") -> DataFrame:
-        li = self.table("lineitem")
-        shop, item = F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")
-        code = F.col("l_linenumber").cast("string")
-        key = variant_uid(shop, item, code) if grain == "catalogue" else item
-        line = F.col("l_linenumber")
-        return li.select(
-            key.alias("variant_uid"),
-            product_uid(shop, item).alias("product_uid"),
-            shop.alias("shop_code"),
-            item.alias("item_code"),
-            code.alias("variant_code"),
-            F.lpad(item, 13, "0").alias("jan_code"),
+    # Order that is total up to rows equal in every column used.
+    ORDER = ("fetched_at", "seq", "l_linenumber", "quantity", "price", "coupon_percent", "point_rate", "l_suppkey",
+             "l_returnflag", "l_linestatus")
+
+    def raw(self) -> DataFrame:
+        """The numbers of each observation. Folds run on these few columns; texts
+        are derived from what is left."""
+        return self.lines().select(
+            "l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus",
+            F.col("l_shipdate").alias("fetched_at"), F.col("l_orderkey").alias("seq"), F.col("l_quantity").cast("bigint").alias("quantity"),
             F.floor(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-            F.round(F.col("l_tax") * 100).alias("point_rate"),
-            F.when((F.col("l_linestatus") == "F") & (line == 7), F.lit(10.0)).alias("point_back_percent"),
-            F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("bigint") * 10).alias("coupon_yen"),
-            F.round(F.col("l_discount") * 100).alias("coupon_percent"),
-            F.when(line % 3 == 0, F.lit("送料無料")).when(line % 3 == 1, F.lit("送料 550円")).alias("shipping_text_raw"),
-            F.when(F.col("l_linestatus") == "O", F.lit(1)).alias("shipping_days_min"),
-            line.alias("shipping_days_max"),
-            F.concat(F.lit("https://img.example.com/"), item, F.lit(".jpg")).alias("image_url"),
-            F.lit(None).cast("string").alias("extra1_key"),
-            F.lit(None).cast("string").alias("extra1_value"),
-            F.lit(None).cast("string").alias("extra2_key"),
-            F.lit(None).cast("string").alias("extra2_value"),
-            F.col("l_shipdate").alias("fetched_at"),
-            F.when(F.col("l_returnflag") == "A", F.lit("api")).when(F.col("l_returnflag") == "N", F.lit("list"))
-            .otherwise(F.lit("detail")).alias("source"),
-            F.col("l_orderkey").alias("seq"),
-            F.col("l_quantity").cast("bigint").alias("quantity"),
+            F.round(F.col("l_tax") * 100).alias("point_rate"), F.round(F.col("l_discount") * 100).alias("coupon_percent"),
         )
 
-    # Order that is total up to rows equal in every column used.
-    ORDER = ("fetched_at", "seq", "variant_code", "quantity", "price", "coupon_percent", "point_rate",
-             "product_uid", "source", "shipping_days_min")
+    @staticmethod
+    def dress(raw: DataFrame, grain: str) -> DataFrame:
+        """Raw observations with keys, texts and the other measures. The grain is
+        the variant, or the part alone (few variants, long histories)."""
+        shop, item = F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")
+        line, flag = F.col("l_linenumber"), F.col("l_returnflag")
+        code, none = line.cast("string"), F.lit(None).cast("string")
+        return raw.withColumns({
+            "variant_uid": variant_uid(shop, item, code) if grain == "catalogue" else item,
+            "product_uid": product_uid(shop, item), "shop_code": shop, "item_code": item, "variant_code": code,
+            "jan_code": F.lpad(item, 13, "0"),
+            "point_back_percent": F.when((F.col("l_linestatus") == "F") & (line == 7), F.lit(10.0)),
+            "coupon_yen": F.when(flag == "R", F.col("quantity") * 10),
+            "shipping_text_raw": F.when(line % 3 == 0, F.lit("送料無料")).when(line % 3 == 1, F.lit("送料 550円")),
+            "shipping_days_min": F.when(F.col("l_linestatus") == "O", F.lit(1)), "shipping_days_max": line,
+            "image_url": F.concat(F.lit("https://img.example.com/"), item, F.lit(".jpg")),
+            "extra1_key": none, "extra1_value": none, "extra2_key": none, "extra2_value": none,
+            "source": F.when(flag == "A", F.lit("api")).when(flag == "N", F.lit("list")).otherwise(F.lit("detail")),
+        })
+
+    _KEYS = {"catalogue": ("l_suppkey", "l_partkey", "l_linenumber"), "part": ("l_partkey",)}
+    _RAW = ("l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "seq", "quantity")
+
+    def observations(self, grain: str = "catalogue") -> DataFrame:
+        return self.dress(self.raw(), grain)
+
+    def snapshots(self, grain: str = "catalogue") -> DataFrame:
+        """The last observation of each variant."""
+        keys = self._KEYS[grain]
+        last = latest_per_key(self.raw(), keys, [c for c in self.ORDER if c not in keys])
+        rows = self.dress(last, grain).drop(*self._RAW)
+        return rows.drop("product_uid", "shop_code", "item_code", "variant_code", "jan_code") if grain == "catalogue" else rows
+
+    def history(self) -> DataFrame:
+        """Last observation of each day per part."""
+        dated = self.raw().withColumn("record_date", F.to_date("fetched_at"))
+        last = latest_per_key(dated, ["l_partkey", "record_date"], self.ORDER)
+        return self.dress(last, "part").drop(*self._RAW)
 
     def as_of(self) -> Column:
         """Latest observation time, as a scalar subquery: results do not depend on
@@ -110,18 +127,8 @@ class Domain:
             (F.col("l_linenumber") != 6).alias("is_active"),
         )
 
-    def snapshots(self, grain: str = "catalogue") -> DataFrame:
-        from offerlens.operators.history import latest_snapshot
-
-        rows = self.observations(grain)
-        if grain == "catalogue":
-            rows = rows.drop("product_uid", "shop_code", "item_code", "jan_code")
-            order = [c for c in self.ORDER if c != "product_uid"]
-            return latest_snapshot(rows, order).drop("seq", "quantity", "variant_code")
-        return latest_snapshot(rows, self.ORDER)
-
     def list_observations(self) -> DataFrame:
-        li = self.table("lineitem").filter(F.col("l_returnflag") == "N")
+        li = self.lines().filter(F.col("l_returnflag") == "N")
         shop, item = F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")
         line = F.col("l_linenumber")
         count = F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 100)
@@ -147,7 +154,7 @@ class Domain:
         )
 
     def detail_observations(self) -> DataFrame:
-        li = self.table("lineitem").filter(F.col("l_returnflag") == "R")
+        li = self.lines().filter(F.col("l_returnflag") == "R")
         shop, item = F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")
         line = F.col("l_linenumber")
         return li.select(

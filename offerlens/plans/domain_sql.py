@@ -16,7 +16,7 @@ OBS_COLUMNS = """
   'https://img.example.com/' || CAST(l_partkey AS VARCHAR) || '.jpg' AS image_url,
   l_shipdate AS fetched_at,
   CASE l_returnflag WHEN 'A' THEN 'api' WHEN 'N' THEN 'list' ELSE 'detail' END AS source,
-  l_orderkey AS seq, CAST(l_quantity AS BIGINT) AS quantity
+  l_orderkey AS seq, CAST(l_quantity AS BIGINT) AS quantity, l_suppkey, l_linenumber, l_returnflag, l_linestatus
 """
 
 OBS = f"""obs AS (SELECT
@@ -24,10 +24,9 @@ OBS = f"""obs AS (SELECT
   {OBS_COLUMNS} FROM lineitem)"""
 OBS_PART = f"""obs AS (SELECT CAST(l_partkey AS VARCHAR) AS variant_uid, {OBS_COLUMNS} FROM lineitem)"""
 
-LAST_FIRST = """fetched_at DESC, seq DESC, variant_code DESC, quantity DESC, price DESC, coupon_percent DESC,
-  point_rate DESC, product_uid DESC, source DESC, shipping_days_min DESC NULLS LAST"""
-FIRST_FIRST = """fetched_at, seq, variant_code, quantity, price, coupon_percent, point_rate, product_uid, source,
-  shipping_days_min NULLS FIRST"""
+_ORDER = ("fetched_at", "seq", "l_linenumber", "quantity", "price", "coupon_percent", "point_rate", "l_suppkey", "l_returnflag", "l_linestatus")
+LAST_FIRST = ", ".join(f"{c} DESC" for c in _ORDER)
+FIRST_FIRST = ", ".join(_ORDER)
 
 SNAP = f"""snap AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY variant_uid ORDER BY {LAST_FIRST}) = 1)"""
 DAILY = f"""hist AS (SELECT *, CAST(fetched_at AS DATE) AS record_date FROM obs

@@ -130,7 +130,7 @@ ORACLE["change_log"] = _with(V.OBS_PART, _WRITTEN, body=f"""
 
 ORACLE["change_log_coarse"] = _with(V.OBS_PART, body=f"""
   SELECT variant_uid, {_ts('fetched_at')} AS fetched_at, step AS price FROM (
-    SELECT *, lag(step) OVER (PARTITION BY variant_uid ORDER BY fetched_at, seq, variant_code, quantity, step, product_uid, source) AS before
+    SELECT *, lag(step) OVER (PARTITION BY variant_uid ORDER BY fetched_at, seq, l_linenumber, quantity, step, l_suppkey, l_returnflag) AS before
     FROM (SELECT *, price // 2000 AS step FROM obs)) WHERE step IS DISTINCT FROM before""")
 
 _HALF = "TIMESTAMP '1999-01-01'"

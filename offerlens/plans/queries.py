@@ -210,7 +210,7 @@ def snapshot_latest(d: Domain) -> DataFrame:
 
 
 def _daily(d: Domain) -> DataFrame:
-    return H.daily_history(d.observations("part"), d.ORDER)
+    return d.history()
 
 
 @query
@@ -231,7 +231,7 @@ def change_log_coarse(d: Domain) -> DataFrame:
     obs = d.observations("part").withColumns({
         "price": F.floor(F.col("price") / 2000), **{m: F.lit(None) for m in ("point_rate", "point_back_percent", "coupon_yen", "coupon_percent",
         "shipping_text_raw", "shipping_days_min", "shipping_days_max")}})
-    order = ("fetched_at", "seq", "variant_code", "quantity", "price", "product_uid", "source")
+    order = ("fetched_at", "seq", "l_linenumber", "quantity", "price", "l_suppkey", "l_returnflag")
     written = H.changed_only(H.with_hash(obs), order)
     return shown(written.select("variant_uid", "fetched_at", "price"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.fixed import RANKING_HOURS_RANGE, RANKING_TARGET_PRIORITY, Marketplace
 from offerlens.functions.keys import hours_before
-from offerlens.operators.join import join_shops
+from offerlens.operators.join import held, join_shops
 from offerlens.operators.merge import add_ranked_targets
 from offerlens.operators.ordered import HOT_ROWS, number_rows
 
@@ -26,10 +26,10 @@ def _order() -> list[Column]:
 
 def live_ranking(events: DataFrame, shops: DataFrame, as_of: Column, limit: int = 20, hours: int = 24) -> DataFrame:
     """Top shops of the trailing hours. Cut to the top first; at most 100 rows are
-    then numbered and named."""
+    then held, numbered and named."""
     if not 1 <= limit <= 100:
         raise ValueError("limit lies in 1..100")
-    top = browse_counts(events, as_of, hours).orderBy(*_order()).limit(limit)
+    top = held(browse_counts(events, as_of, hours).orderBy(*_order()).limit(limit))
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*_order())))
     return join_shops(ranked, shops.select("shop_code", "shop_name"), page_side=True).select(
         "rank", "shop_code", "shop_name", "browse_count"
@@ -61,7 +61,7 @@ def daily_ranking(rankings: DataFrame, shops: DataFrame, limit: int = 20, date:
     else:
         rows = rankings.filter(F.col("ranking_date") == F.lit(date).cast("date"))
     order = [F.col("rank_position").asc_nulls_first(), F.col("shop_code").asc()]
-    top = rows.orderBy(*order).limit(limit)
+    top = held(rows.orderBy(*order).limit(limit))
     place = F.row_number().over(Window.orderBy(*order))
     ranked = top.withColumn("rank", F.coalesce(F.nullif(F.col("rank_position"), F.lit(0)), place).cast("bigint"))
     return join_shops(ranked, shops.select("shop_code", "shop_name"), page_side=True).select(

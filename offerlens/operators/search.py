@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.keys import hours_before
+from offerlens.operators.join import held, join_shops, pick
 from offerlens.operators.ordered import page_rows
 
 # Columns of a search result.
@@ -137,17 +138,15 @@ _SORT_COLUMNS = {
 
 
 def widen(page: DataFrame, items: DataFrame, variants: DataFrame, snapshots: DataFrame, shops: DataFrame) -> DataFrame:
-    """Full result columns for a page of at most 100 variants; the page is the
-    small side by construction, so it is what travels to the tables."""
-    from offerlens.operators.join import join_shops
-
-    keys = F.broadcast(page.select("variant_uid", "product_uid"))
-    rows = variants.drop("is_active").join(keys, ["variant_uid", "product_uid"])
-    few = F.broadcast(rows)
-    with_snapshot = snapshots.drop("source").join(few, "variant_uid", "right")
-    few = F.broadcast(with_snapshot)
-    with_item = items.select("product_uid", "shop_code", "item_code", "item_name", "canonical_url").join(few, "product_uid")
-    wide = join_shops(with_item, shops, page_side=True)
+    """Full result columns for a page of at most 100 variants, whose keys travel to
+    the tables."""
+    keys = held(page.select("variant_uid", "product_uid"))
+    found = items.select("product_uid", "shop_code", "item_code", "item_name", "canonical_url")
+    # Each side holds one row per key of the page.
+    rows = keys.join(F.broadcast(pick(variants.drop("is_active", "product_uid"), "variant_uid", keys)), "variant_uid", "left")
+    rows = rows.join(F.broadcast(pick(snapshots.drop("source"), "variant_uid", keys)), "variant_uid", "left")
+    rows = rows.join(F.broadcast(pick(found, "product_uid", keys)), "product_uid", "left")
+    wide = join_shops(rows, shops)
     return wide.select(*[c for c in RESULT_COLUMNS if c in wide.columns])
 
 

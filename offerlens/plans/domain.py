@@ -23,19 +23,20 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def lines(self) -> DataFrame:
-        """Line items for work that costs CPU per row."""
-        return spread(self.table("lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    def lines(self, *by: str) -> DataFrame:
+        """Line items for work that costs CPU per row; if they have to be spread,
+        then by the keys the work groups by."""
+        return spread(self.table("lineitem"), *(by or ("l_orderkey", "l_linenumber", "l_partkey")))
 
     # observations ----------------------------------------------------------
     # Order that is total up to rows equal in every column used.
     ORDER = ("fetched_at", "seq", "l_linenumber", "quantity", "price", "coupon_percent", "point_rate", "l_suppkey",
              "l_returnflag", "l_linestatus")
 
-    def raw(self) -> DataFrame:
+    def raw(self, grain: str = "catalogue") -> DataFrame:
         """The numbers of each observation. Folds run on these few columns; texts
         are derived from what is left."""
-        return self.lines().select(
+        return self.lines(*self._KEYS[grain]).select(
             "l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus",
             F.col("l_shipdate").alias("fetched_at"), F.col("l_orderkey").alias("seq"), F.col("l_quantity").cast("bigint").alias("quantity"),
             F.floor(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
@@ -66,18 +67,18 @@ class Domain:
     _RAW = ("l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "seq", "quantity")
 
     def observations(self, grain: str = "catalogue") -> DataFrame:
-        return self.dress(self.raw(), grain)
+        return self.dress(self.raw(grain), grain)
 
     def snapshots(self, grain: str = "catalogue") -> DataFrame:
         """The last observation of each variant."""
         keys = self._KEYS[grain]
-        last = latest_per_key(self.raw(), keys, [c for c in self.ORDER if c not in keys])
+        last = latest_per_key(self.raw(grain), keys, [c for c in self.ORDER if c not in keys])
         rows = self.dress(last, grain).drop(*self._RAW)
         return rows.drop("product_uid", "shop_code", "item_code", "variant_code", "jan_code") if grain == "catalogue" else rows
 
     def history(self) -> DataFrame:
         """Last observation of each day per part."""
-        dated = self.raw().withColumn("record_date", F.to_date("fetched_at"))
+        dated = self.raw("part").withColumn("record_date", F.to_date("fetched_at"))
         last = latest_per_key(dated, ["l_partkey", "record_date"], self.ORDER)
         return self.dress(last, "part").drop(*self._RAW)
 

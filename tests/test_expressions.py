@@ -91,11 +91,11 @@ def test_urls_follow_the_rule(spark):
 
 
 def test_codes_and_search_urls(spark):
-    assert one(spark, U.shop_item_code(F.lit("https://host/horiman/10009058/"))) == ("horiman", "10009058")
+    assert one(spark, U.shop_item_code(F.lit("https://host/shopx/10009058/"))) == ("shopx", "10009058")
     assert one(spark, U.shop_item_code(F.lit("https://host/only/"))) is None
     assert one(spark, U.store_code(F.lit("https://host/s24/69008/?a=1"))) == "s24"
     assert one(spark, U.shop_from_search_url(F.lit("https://host/search/mall/?sid=261122&p=1"))) == "261122"
-    assert one(spark, U.parse_api_item_code(F.lit("horiman:10009058"))) == ("horiman", "10009058")
+    assert one(spark, U.parse_api_item_code(F.lit("shopx:10009058"))) == ("shopx", "10009058")
     assert one(spark, U.parse_api_item_code(F.lit("plain"))) == ("", "plain")
     assert one(spark, U.variant_uid(F.lit("s"), F.lit("i"), F.lit(None).cast("string"))) == "s:i:default"
     base = "https://search.example.com/search/mall/"

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.llm import packing, quality
+from offerlens.llm import jaccard, packing, quality
 from offerlens.llm.queries import table, tokenizer_path
 from offerlens.session import checkpoint_folder
 
@@ -22,13 +22,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, model)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links join stays, the one of least key."""
+    return jaccard.keep_first(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in padded sequences."""
     return packing.pack_documents(docs, tokenizer_path()).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality_rules), ("packing", pack),
+    ("quality_rules", quality_rules), ("ngram_jaccard", near_copies), ("packing", pack),
 ]
 
 # A classifier, chains of matches and keyed surrogates have no SQL form.

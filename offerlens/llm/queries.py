@@ -42,6 +42,12 @@ def op4_site_posteriors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    from offerlens.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op6_tree_scored_text(spark: SparkSession, folder: str) -> DataFrame:
     from offerlens.llm.tree_extract import extract
 
@@ -61,6 +67,12 @@ def op8_segment_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return digests(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op9_lattice_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from offerlens.llm.lattice import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
 def op10_tiered_packing(spark: SparkSession, folder: str) -> DataFrame:
     from offerlens.llm.packing import pack_documents
 
@@ -69,7 +81,10 @@ def op10_tiered_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_hash_tree_shards, op4_site_posteriors, op6_tree_scored_text, op7_ngram_quality, op8_segment_tree_bpe, op10_tiered_packing)
+    for f in (
+        op1_hash_tree_shards, op4_site_posteriors, op5_jaccard_components, op6_tree_scored_text, op7_ngram_quality,
+        op8_segment_tree_bpe, op9_lattice_vectors, op10_tiered_packing,
+    )
 }
 
 # What SQL can express; the others are held against brute force in tests/llm.

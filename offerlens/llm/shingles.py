@@ -45,11 +45,10 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
         return hashes
     width = min(k, len(hashes))
     count = len(hashes) - width + 1
-    total = np.full(count, np.uint64(width) * _GOLD, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(width):
-            total = mix(total * _GOLD + hashes[i : i + count])
-    return total
+    total = np.full(count, np.uint64(width), np.uint64)
+    for i in range(width):
+        total = total * _GOLD + hashes[i : i + count]
+    return mix(total)
 
 
 def shingle_set(text: bytes, k: int = 5) -> np.ndarray:

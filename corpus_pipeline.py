@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.llm import jaccard, packing, quality
+from offerlens.llm import chaining, jaccard, packing, quality, surrogates
 from offerlens.llm.queries import table, tokenizer_path
 from offerlens.session import checkpoint_folder
 
@@ -27,13 +27,24 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.keep_first(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages stay in the document that holds them first and are cut elsewhere."""
+    return chaining.drop_repeated(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates in place of personal data and secrets."""
+    return surrogates.pseudonymize(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in padded sequences."""
     return packing.pack_documents(docs, tokenizer_path()).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality_rules), ("ngram_jaccard", near_copies), ("packing", pack),
+    ("quality_rules", quality_rules), ("ngram_jaccard", near_copies), ("substring_dedup", repeated_passages),
+    ("pii", personal_data), ("packing", pack),
 ]
 
 # A classifier, chains of matches and keyed surrogates have no SQL form.

@@ -29,6 +29,20 @@ def op1_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_chained_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words and more that a document repeats from an earlier one."""
+    from offerlens.llm.chaining import repeated_passages
+
+    return repeated_passages(table(spark, folder, "documents"))
+
+
+def op3_surrogate_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with surrogates in place of personal data and secrets."""
+    from offerlens.llm.surrogates import pseudonymize
+
+    return pseudonymize(table(spark, folder, "documents").select("doc_id", "text"), counts=True)
+
+
 def op4_site_posteriors(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its evidence and the posteriors of its source (host) and
     of its language within it (path)."""
@@ -82,7 +96,8 @@ def op10_tiered_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_hash_tree_shards, op4_site_posteriors, op5_jaccard_components, op6_tree_scored_text, op7_ngram_quality,
+        op1_hash_tree_shards, op2_chained_passages, op3_surrogate_texts, op4_site_posteriors, op5_jaccard_components,
+        op6_tree_scored_text, op7_ngram_quality,
         op8_segment_tree_bpe, op9_lattice_vectors, op10_tiered_packing,
     )
 }

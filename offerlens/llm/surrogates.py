@@ -24,6 +24,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offerlens.llm.arrow import map_batches
 
@@ -286,7 +287,8 @@ def pseudonymize(df: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text", co
             raise ValueError(f"surrogates are not distinct for {sorted({r['kind'] for r in bad})}")
     columns, schema = df.columns, df.schema
     at = columns.index(text)
-    out_schema = schema.add("n_entities", "int").add("kinds", "array<string>") if counts else schema
+    more = [T.StructField("n_entities", T.IntegerType()), T.StructField("kinds", T.ArrayType(T.StringType()))]
+    out_schema = T.StructType([*schema.fields, *more]) if counts else schema
     names = [*columns, "n_entities", "kinds"] if counts else columns
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:

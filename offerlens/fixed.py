@@ -61,7 +61,6 @@ LIST_STATE_MARK = "__INITIAL_STATE__"
 LIST_PAGE_MARKS = ("item-list",)
 DETAIL_STATE_MARK = "item-page-app-data"
 SHORT_PAGE_CHARS = 1000
-BLOCK_SCAN_CHARS = 5000
 
 # Names in the listing state document.
 STATE_SEARCH_KEY = "ichibaSearch"

@@ -12,19 +12,19 @@ MODES = ("server", "client", "chart")
 
 def _num(col: Column | str) -> Column:
     col = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(col.cast("double"), F.lit(0.0))
+    return F.coalesce(col.try_cast("double"), F.lit(0.0))
 
 
 def clamp_multiplier(multiplier: Column | float) -> Column:
     low, high = MULTIPLIER_RANGE
     value = multiplier if isinstance(multiplier, Column) else F.lit(float(multiplier))
-    return F.least(F.greatest(value.cast("double"), F.lit(low)), F.lit(high))
+    return F.least(F.greatest(value.try_cast("double"), F.lit(low)), F.lit(high))
 
 
 def coupon_value(price, coupon_yen, coupon_percent) -> Column:
     """The better of the fixed coupon and the floored percentage coupon."""
     by_percent = F.floor(_num(price) * _num(coupon_percent) / 100)
-    return F.greatest(_num(coupon_yen).cast("bigint"), by_percent)
+    return F.greatest(_num(coupon_yen).try_cast("bigint"), by_percent)
 
 
 def base_points(price, point_rate, multiplier=DEFAULT_MULTIPLIER) -> Column:
@@ -34,7 +34,7 @@ def base_points(price, point_rate, multiplier=DEFAULT_MULTIPLIER) -> Column:
 
 def point_back_factor(point_back_percent) -> Column:
     back = _num(point_back_percent)
-    return F.when(back == 0, F.lit(1)).otherwise(back.cast("int"))
+    return F.when(back == 0, F.lit(1)).otherwise(back.try_cast("int"))
 
 
 def offer_value(
@@ -54,10 +54,10 @@ def offer_value(
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    whole = _num(price).cast("bigint")
+    whole = _num(price).try_cast("bigint")
     coupon = coupon_value(price, coupon_yen, coupon_percent)
     points = base_points(price, point_rate, multiplier)
-    back = F.lit(0).cast("bigint")
+    back = F.lit(0).try_cast("bigint")
     if mode == "server":
         points = points * point_back_factor(point_back_percent)
     elif mode == "client":
@@ -77,7 +77,7 @@ def net_price(mode: str = "server", multiplier: Column | float = DEFAULT_MULTIPL
 
 def single_product_price(price_max, price_min) -> Column:
     """Highest price, else the lowest; zero counts as absent."""
-    return F.coalesce(F.nullif(price_max, F.lit(0)), F.nullif(price_min, F.lit(0))).cast("int")
+    return F.coalesce(F.nullif(price_max, F.lit(0)), F.nullif(price_min, F.lit(0))).try_cast("int")
 
 
 def sold_out(condition, quantity) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerlens.fixed import FREE_SHIPPING_SIGNS, SHIPPING_INCLUDED
+from offerlens.fixed import BLOCK_SIGNS, FREE_SHIPPING_SIGNS, SHIPPING_INCLUDED, SHORT_PAGE_CHARS
 
 # Patterns of the shown texts.
 POINT_COUNT = r"([\d,]+)\s*ポイント"
@@ -115,8 +115,8 @@ def page_coupon(texts, html) -> Column:
         yen = F.array_max(F.transform(texts, lambda t: whole(found(_ascii_digits(t), PAGE_YEN))))
         percent = F.array_max(F.transform(texts, lambda t: found(_ascii_digits(t), PAGE_PERCENT).try_cast("double")))
         return F.struct(
-            F.greatest(yen, F.when(e["kind"] == "exact", e["amount"])).cast("int").alias("coupon_yen"),
-            F.greatest(percent, F.when(e["kind"] == "percentage", e["amount"].cast("double"))).alias("coupon_percent"))
+            F.greatest(yen, F.when(e["kind"] == "exact", e["amount"])).try_cast("int").alias("coupon_yen"),
+            F.greatest(percent, F.when(e["kind"] == "percentage", e["amount"].try_cast("double"))).alias("coupon_percent"))
 
     return let(embedded, shaped)
 
@@ -128,12 +128,12 @@ def _grouped(number: Column) -> Column:
 def point_text(count, is_back, back_rate, base, shop, up, deal, item) -> Column:
     """'780ポイント(1倍+9倍UP)' or '2,520ポイント(20%ポイントバック)'."""
     count = _col(count)
-    back = _col(back_rate).cast("double")
+    back = _col(back_rate).try_cast("double")
     back_shown = F.when(back == F.floor(back), F.floor(back).cast("string")).otherwise(back.cast("string"))
-    extra = [_col(x).cast("int") for x in (shop, up, deal, item)]
+    extra = [_col(x).try_cast("int") for x in (shop, up, deal, item)]
     extra_sum = sum((F.when(x > 0, x).otherwise(F.lit(0)) for x in extra[1:]), F.when(extra[0] > 0, extra[0]).otherwise(F.lit(0)))
     inner = F.concat(
-        F.coalesce(F.concat(_col(base).cast("int").cast("string"), F.lit("倍")), F.lit("")),
+        F.coalesce(F.concat(_col(base).try_cast("int").cast("string"), F.lit("倍")), F.lit("")),
         F.when(extra_sum > 0, F.concat(F.lit("+"), extra_sum.cast("string"), F.lit("倍UP"))).otherwise(F.lit("")),
     )
     head = F.concat(_grouped(count), F.lit("ポイント"))
@@ -180,7 +180,7 @@ def sku_shipping_text(included, cost, message) -> Column:
 
 def delivery_days(longest) -> Column:
     """(min, max) days from the usual delivery time; at least one day."""
-    longest = _col(longest).cast("int")
+    longest = _col(longest).try_cast("int")
     return F.struct(
         F.when(longest.isNotNull(), F.lit(1)).alias("shipping_days_min"), longest.alias("shipping_days_max")
     )
@@ -205,7 +205,9 @@ def title_name(title, site_tag: str = "") -> Column:
     text = F.trim(_col(title))
     if site_tag:
         text = F.replace(text, F.lit(site_tag), F.lit(""))
-    return F.trim(F.regexp_replace(text, r"\s*:\s*[^:]+$", ""))
+    head, last = F.substring_index(text, ":", -1), F.length(F.substring_index(text, ":", -1))
+    has_shop = text.contains(":") & (F.length(F.trim(head)) > 0)
+    return F.trim(F.when(has_shop, F.left(text, F.length(text) - last - 1)).otherwise(text))
 
 
 def extra_fields(attributes, review_count, review_rating) -> Column:
@@ -251,10 +253,11 @@ def extra_fields(attributes, review_count, review_rating) -> Column:
     return let(let(F.transform(usable, tagged), chosen), shaped)
 
 
-def page_class(html, state_mark: str, any_marks=(), all_marks=()) -> Column:
-    """'short', 'ok' or 'blocked' for one page. The block signs are looked for at
-    the head of the page only, as that is what the rule says."""
-    from offerlens.fixed import BLOCK_SCAN_CHARS, BLOCK_SIGNS, SHORT_PAGE_CHARS
+def page_class(
+    html, state_mark: str, any_marks=(), all_marks=(), scan_chars: int | None = None, short_chars: int = SHORT_PAGE_CHARS
+) -> Column:
+    """'short', 'ok' or 'blocked' for one page. Block signs are looked for in the whole
+    page, or in its first ``scan_chars`` where the caller says so."""
 
     html = _col(html)
     lowered = F.lower(html)
@@ -266,12 +269,12 @@ def page_class(html, state_mark: str, any_marks=(), all_marks=()) -> Column:
         for mark in all_marks:
             both = both & (html.contains(mark) if mark == "itemprop" else lowered.contains(mark))
         good = good | both
-    head = F.lower(F.substring(html, 1, BLOCK_SCAN_CHARS))
+    head = lowered if scan_chars is None else F.lower(F.substring(html, 1, scan_chars))
     blocked = F.lit(False)
     for sign in BLOCK_SIGNS:
         blocked = blocked | head.contains(sign.lower())
     return (
-        F.when(F.length(html) < SHORT_PAGE_CHARS, F.lit("short"))
+        F.when(F.length(html) < short_chars, F.lit("short"))
         .when(good, F.lit("ok"))
         .when(blocked, F.lit("blocked"))
         .otherwise(F.lit("ok"))

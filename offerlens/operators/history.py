@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from offerlens.fixed import HISTORY_DAYS_RANGE
 from offerlens.functions.keys import content_hash, record_date
 from offerlens.functions.price import offer_value
-from offerlens.operators.ordered import HOT_ROWS, latest_per_key, number_rows, previous_row
+from offerlens.operators.ordered import latest_per_key, number_rows, previous_row
 
 KEY = "variant_uid"
 
@@ -26,12 +26,11 @@ def latest_snapshot(observations: DataFrame, order: Sequence[str], key: str = KE
 
 def changed_only(
     observations: DataFrame, order: Sequence[str], key: str = KEY, compare: str = "content_hash",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows that differ from the row before them. The stored row a write is
     compared with equals the previous distinct row, so one pass over the ordered
     observations gives what one-by-one writing would keep."""
-    seen = previous_row(observations, [key], [F.col(c) for c in order], [compare], "_before", hot_rows=hot_rows)
+    seen = previous_row(observations, [key], [F.col(c) for c in order], [compare], "_before")
     differs = F.col("_before").isNull() | ~F.col("_before")[compare].eqNullSafe(F.col(compare))
     return seen.filter(differs).drop("_before")
 
@@ -141,11 +140,11 @@ def history_arrays(history: DataFrame, key: str = KEY) -> DataFrame:
 CHANGE_COLUMNS = ("price", "coupon_yen", "coupon_percent", "point_rate")
 
 
-def display_changes(history: DataFrame, key: str = KEY, hot_rows: int = HOT_ROWS) -> DataFrame:
+def display_changes(history: DataFrame, key: str = KEY) -> DataFrame:
     """Changed-only view of a newest-first list: a row stays if it differs from
     the next newer one; the newest always stays."""
     newest_first = [F.col("record_date").desc()]
-    seen = previous_row(history, [key], newest_first, list(CHANGE_COLUMNS), "_newer", hot_rows=hot_rows)
+    seen = previous_row(history, [key], newest_first, list(CHANGE_COLUMNS), "_newer")
     same = F.col("_newer").isNotNull()
     for c in CHANGE_COLUMNS:
         same = same & F.col("_newer")[c].eqNullSafe(F.col(c))

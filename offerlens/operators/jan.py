@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions.price import offer_value
 from offerlens.operators.join import join_shops
-from offerlens.operators.ordered import HOT_ROWS, number_rows
+from offerlens.operators.ordered import number_rows
 from offerlens.operators.search import RESULT_COLUMNS
 
 
@@ -33,10 +33,10 @@ def jan_offers(
     ).drop("_value")
 
 
-def ranked_by_jan(offers: DataFrame, by: str = "effective_price", hot_rows: int = HOT_ROWS) -> DataFrame:
+def ranked_by_jan(offers: DataFrame, by: str = "effective_price") -> DataFrame:
     """Position of every offer within its JAN, 1 = cheapest. One JAN may hold a
     large share of all offers; see ``ordered``."""
-    return number_rows(offers, ["jan_code"], [F.col(by), F.col("variant_uid")], "position", hot_rows=hot_rows)
+    return number_rows(offers, ["jan_code"], [F.col(by), F.col("variant_uid")], "position")
 
 
 def cheapest_per_jan(offers: DataFrame, by: str = "effective_price") -> DataFrame:

@@ -1,9 +1,9 @@
 """Positions and neighbours in ordered groups, safe when one group is huge.
 
-A plain window sends a whole group to one task. That is right while groups are
-small, which is checked; rows of larger groups are range-partitioned over group
-and order together, numbered inside each range, and joined with the (few) ranges'
-totals. Both ways give the same rows.
+A plain window sends a whole group to one task. Here rows are range-partitioned over
+group and order together, so a group of any size spreads over as many ranges as it
+needs; rows are numbered inside each range and joined with the (few) ranges' totals.
+All inputs take this one way.
 """
 
 from __future__ import annotations
@@ -15,33 +15,6 @@ from pyspark.sql import functions as F
 
 from offerlens.session import durable
 
-# A task sorts this many narrow rows of one group without trouble.
-HOT_ROWS = 5_000_000
-# Inputs whose scans are smaller than this cannot hold a hot group.
-SMALL_BYTES = 128 * 1024 * 1024
-
-
-def scan_bytes(df: DataFrame) -> int:
-    """Bytes of the tables a frame reads, as Spark knows them for its own choice of
-    joins; -1 if it gives none. No job runs and no file names travel."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:
-        return -1
-
-
-def group_is_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """The keys with more than ``hot_rows`` rows, or None if there are none. At
-    most (rows / hot_rows) keys can qualify."""
-    if hot_rows >= HOT_ROWS:
-        size = scan_bytes(df)
-        if 0 <= size <= SMALL_BYTES:
-            return None
-    counts = df.groupBy(*keys).count() if keys else df.select(F.count("*").alias("count"))
-    hot = counts.filter(F.col("count") > hot_rows).select(*keys) if keys else counts.filter(F.col("count") > hot_rows)
-    return None if hot.isEmpty() else hot
-
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on keys in which NULL equals NULL; the right keys leave no column."""
@@ -52,12 +25,6 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> D
     return left.join(other, cond, how).drop(*[f"_other_{k}" for k in keys])
 
 
-def _split(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    if not keys:
-        return df, None
-    return _join(df, hot, keys, "left_semi"), _join(df, hot, keys, "left_anti")
-
-
 def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts: int | None) -> DataFrame:
     spark = df.sparkSession
     parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -71,16 +38,10 @@ def number_rows(
     keys: Sequence[str],
     order: Sequence[Column],
     name: str = "position",
-    hot_rows: int = HOT_ROWS,
     parts: int | None = None,
 ) -> DataFrame:
     """1-based position of each row within its group. ``order`` must be total."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    hot = group_is_hot(df, keys, hot_rows)
-    if hot is None:
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    big, rest = _split(df, hot, keys)
-    placed = _ranged(big, keys, order, parts)
+    placed = _ranged(df, keys, order, parts)
     local = placed.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
     totals = placed.groupBy(*keys, "_range").count()
     before = totals.select(
@@ -93,12 +54,9 @@ def number_rows(
             F.lit(0),
         ).alias("_before"),
     )
-    numbered = _join(local, before, [*keys, "_range"], "left").select(
+    return _join(local, before, [*keys, "_range"], "left").select(
         *df.columns, (F.col(name) + F.col("_before")).cast("bigint").alias(name)
     )
-    if rest is None:
-        return numbered
-    return numbered.unionByName(rest.withColumn(name, F.row_number().over(window).cast("bigint")))
 
 
 def previous_row(
@@ -107,17 +65,11 @@ def previous_row(
     order: Sequence[Column],
     columns: Sequence[str],
     name: str = "previous",
-    hot_rows: int = HOT_ROWS,
     parts: int | None = None,
 ) -> DataFrame:
     """Struct of the given columns of the row just before, NULL for the first."""
-    window = Window.partitionBy(*keys).orderBy(*order)
     value = F.struct(*columns)
-    hot = group_is_hot(df, keys, hot_rows)
-    if hot is None:
-        return df.withColumn(name, F.lag(value).over(window))
-    big, rest = _split(df, hot, keys)
-    placed = _ranged(big, keys, order, parts)
+    placed = _ranged(df, keys, order, parts)
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     local = placed.withColumn(name, F.lag(value).over(inside)).withColumn("_place", F.row_number().over(inside))
     ends = (
@@ -128,12 +80,9 @@ def previous_row(
     carried = ends.select(
         *keys, (F.lead("_range").over(Window.partitionBy(*keys).orderBy("_range"))).alias("_range"), "_end"
     ).filter(F.col("_range").isNotNull())
-    filled = _join(local, carried, [*keys, "_range"], "left").select(
+    return _join(local, carried, [*keys, "_range"], "left").select(
         *df.columns, F.when(F.col("_place") == 1, F.col("_end")).otherwise(F.col(name)).alias(name)
     )
-    if rest is None:
-        return filled
-    return filled.unionByName(rest.withColumn(name, F.lag(value).over(window)))
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -146,14 +95,16 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return folded.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
-def page_rows(df: DataFrame, order: Sequence[Column], page: int, per_page: int, deep_after: int = 10_000) -> DataFrame:
-    """One page of an ordered frame. A top-k while the page is near the start; far
-    pages are cut out of distributed positions, so no task or driver ever holds
-    all the rows before them."""
+def first_page(df: DataFrame, order: Sequence[Column], per_page: int) -> DataFrame:
+    """The first rows of an ordered frame, a top-k: no task holds more of them."""
+    return df.orderBy(*order).limit(per_page)
+
+
+def page_rows(df: DataFrame, order: Sequence[Column], page: int, per_page: int) -> DataFrame:
+    """Any page of an ordered frame, cut out of distributed positions, so no task and
+    no driver holds the rows before it. A page after a known row is cheaper by key."""
     if page < 1 or not 1 <= per_page <= 100:
         raise ValueError("page starts at 1 and per_page lies in 1..100")
     offset = (page - 1) * per_page
-    if offset + per_page <= deep_after:
-        return df.orderBy(*order).offset(offset).limit(per_page)
-    placed = number_rows(df, [], order, "_position", hot_rows=deep_after)
+    placed = number_rows(df, [], order, "_position")
     return placed.filter(F.col("_position").between(offset + 1, offset + per_page)).orderBy("_position").drop("_position")

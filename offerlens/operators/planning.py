@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.fixed import API_MAX_PAGE, API_SLICE_CAP, DEFAULT_MAX_PRICE, LIST_MAX_PAGE, LIST_PAGE_SIZE, Marketplace
+from offerlens.fixed import API_SLICE_CAP, DEFAULT_MAX_PRICE, LIST_MAX_PAGE, LIST_PAGE_SIZE, Marketplace
 from offerlens.functions.url import search_url
 
-# Prices are below 2^32, so 32 halvings reach a single price.
-_DEPTH = 32
-
 
 def price_bounds(rows: DataFrame, group: str = "genre_id", price: str = "price") -> DataFrame:
     """First range of each group: 1 to its highest price."""
@@ -20,29 +17,21 @@ def price_bounds(rows: DataFrame, group: str = "genre_id", price: str = "price")
     )
 
 
-def _range(low: Column, high: Column) -> Column:
-    """A price range as one number, which groups and sorts faster than a struct."""
-    return F.shiftleft(low.cast("bigint"), 32).bitwiseOR(high.cast("bigint"))
-
-
-def _low(code: Column) -> Column:
-    return F.shiftrightunsigned(code, 32)
-
-
-def _high(code: Column) -> Column:
-    return code.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-
-
 def _descent(price: Column, low: Column, high: Column) -> Column:
-    """All ranges of the halving tree that hold a price, from the whole range
-    down to the single price."""
+    """All ranges (lo, hi) of the halving tree that hold a price, from the whole range
+    down to the single price. The group's own bound sets the depth."""
+    def pair(lo: Column, hi: Column) -> Column:
+        return F.struct(lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
+
     def half(acc, _):
         last = F.element_at(acc, -1)
-        mid = F.shiftright(_low(last) + _high(last), 1)
-        child = F.when(price <= mid, _range(_low(last), mid)).otherwise(_range(mid + 1, _high(last)))
-        return F.when(_low(last) < _high(last), F.concat(acc, F.array(child))).otherwise(acc)
+        # Overflow-free for any two bigints of one sign.
+        mid = last["lo"] + F.shiftright(last["hi"] - last["lo"], 1)
+        child = pair(F.when(price <= mid, last["lo"]).otherwise(mid + 1), F.when(price <= mid, mid).otherwise(last["hi"]))
+        return F.when(last["lo"] < last["hi"], F.concat(acc, F.array(child))).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_DEPTH)), F.array(_range(low, high)), half)
+    depth = F.length(F.bin(high - low)) + 1
+    return F.aggregate(F.sequence(F.lit(1), depth), F.array(pair(low, high)), half)
 
 
 def price_slices(
@@ -65,12 +54,11 @@ def price_slices(
             "n",
             F.posexplode(_descent(F.col(price).cast("bigint"), F.col("min_price"), F.col("max_price"))).alias("depth", "r"),
         )
-        .groupBy(group, "depth", "r")
+        .groupBy(group, "depth", F.col("r.lo").alias("min_price"), F.col("r.hi").alias("max_price"))
         .agg(F.sum("n").alias("estimated_count"))
-        .select(group, "depth", _low(F.col("r")).alias("min_price"), _high(F.col("r")).alias("max_price"), "estimated_count")
     )
     over = nodes.filter((F.col("estimated_count") > cap) & (F.col("min_price") < F.col("max_price")))
-    mid = F.floor((F.col("min_price") + F.col("max_price")) / 2)
+    mid = F.col("min_price") + F.shiftright(F.col("max_price") - F.col("min_price"), 1)
     # Both halves of a split range are slices, also one that holds no row.
     children = over.select(
         group,
@@ -119,18 +107,20 @@ def discovery_ranges(targets: DataFrame, slices: DataFrame) -> DataFrame:
     )
 
 
-def page_numbers(total: Column, page_size: Column | int, most: int, has_rows: Column | None = None) -> Column:
-    """Array 1..n of pages; NULL where there is nothing. An unknown total with rows
-    on the first page means all pages up to the limit."""
+def page_numbers(total: Column, page_size: Column | int, most: int | None = None, has_rows: Column | None = None) -> Column:
+    """Array 1..n of pages; NULL where there is nothing. A limit holds only where the
+    caller names one (the marketplace shows no more). An unknown total with rows on
+    the first page means all pages up to the limit, or that page alone."""
     size = page_size if isinstance(page_size, Column) else F.lit(page_size)
     known = F.coalesce(total, F.lit(0))
     rows = F.coalesce(has_rows, F.lit(False)) if has_rows is not None else F.lit(False)
-    pages = F.when((known > 0) & (size > 0), F.least(F.ceil(known / size), F.lit(most))).when(rows, F.lit(most))
+    pages = F.when((known > 0) & (size > 0), F.ceil(known / size)).when(rows, F.lit(most or 1))
+    pages = pages if most is None else F.least(pages, F.when(pages.isNotNull(), F.lit(most)))
     return F.when(pages >= 1, F.sequence(F.lit(1), pages.cast("int")))
 
 
 def page_frontier(
-    targets: DataFrame, total: str = "total_found", page_size: Column | int = LIST_PAGE_SIZE, most: int = LIST_MAX_PAGE,
+    targets: DataFrame, total: str = "total_found", page_size: Column | int = LIST_PAGE_SIZE, most: int | None = None,
     has_rows: Column | None = None, market: Marketplace = Marketplace(),
 ) -> DataFrame:
     """One row and address per page of each (genre, keyword, shop, range) target."""
@@ -147,9 +137,9 @@ def page_frontier(
     return paged.withColumn("url", url)
 
 
-def api_pages(counts: DataFrame, page_count: str = "page_count", most: int = API_MAX_PAGE) -> DataFrame:
-    """API pages 1..min(page_count, most) of each row."""
-    last = F.least(F.col(page_count), F.lit(most)).cast("int")
+def api_pages(counts: DataFrame, page_count: str = "page_count", most: int | None = None) -> DataFrame:
+    """API pages 1..page_count of each row, or up to a limit that the caller names."""
+    last = F.col(page_count).cast("int") if most is None else F.least(F.col(page_count), F.lit(most)).cast("int")
     return counts.withColumn("page", F.explode(F.when(last >= 1, F.sequence(F.lit(1), last))))
 
 

@@ -9,7 +9,7 @@ from offerlens.fixed import RANKING_HOURS_RANGE, RANKING_TARGET_PRIORITY, Market
 from offerlens.functions.keys import hours_before
 from offerlens.operators.join import held, join_shops
 from offerlens.operators.merge import add_ranked_targets
-from offerlens.operators.ordered import HOT_ROWS, number_rows
+from offerlens.operators.ordered import number_rows
 
 
 def browse_counts(events: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
@@ -36,19 +36,19 @@ def live_ranking(events: DataFrame, shops: DataFrame, as_of: Column, limit: int
     )
 
 
-def rank_all(counts: DataFrame, ranking_date: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_all(counts: DataFrame, ranking_date: Column) -> DataFrame:
     """Rank positions of all shops of one day, the rows of the ranking table."""
-    return number_rows(counts, [], _order(), "rank_position", hot_rows=hot_rows).select(
+    return number_rows(counts, [], _order(), "rank_position").select(
         ranking_date.alias("ranking_date"), "shop_code", "browse_count", "rank_position"
     )
 
 
-def rank_per_day(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_per_day(events: DataFrame) -> DataFrame:
     """Ranking rows for every calendar day in the events."""
     counts = events.groupBy(F.to_date("browsed_at").alias("ranking_date"), "shop_code").agg(
         F.count("*").alias("browse_count")
     )
-    return number_rows(counts, ["ranking_date"], _order(), "rank_position", hot_rows=hot_rows)
+    return number_rows(counts, ["ranking_date"], _order(), "rank_position")
 
 
 def daily_ranking(rankings: DataFrame, shops: DataFrame, limit: int = 20, date: str | None = None) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from copy import copy
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.keys import hours_before
+from offerlens.functions.price import offer_value
 from offerlens.operators.join import held, join_shops, pick
-from offerlens.operators.ordered import page_rows
+from offerlens.operators.ordered import first_page, page_rows
 
 # Columns of a search result.
 RESULT_COLUMNS = (
@@ -21,13 +23,16 @@ RESULT_COLUMNS = (
 SORTS = ("price_asc", "price_desc", "updated", "name", "effective")
 
 
+NAME_COLLATION = "UNICODE_CI_AI"
+
+
 def sort_order(sort_by: str) -> list[Column]:
     """Every order ends in the variant's key, so that pages never overlap."""
     first = {
         "price_asc": F.col("price").asc_nulls_first(),
         "price_desc": F.col("price").desc_nulls_last(),
         "updated": F.col("fetched_at").desc_nulls_last(),
-        "name": F.col("item_name").asc_nulls_first(),
+        "name": F.collate("item_name", NAME_COLLATION).asc_nulls_first(),
         "effective": F.col("effective_price").asc_nulls_last(),
     }
     if sort_by not in first:
@@ -35,7 +40,7 @@ def sort_order(sort_by: str) -> list[Column]:
     return [first[sort_by], F.col("variant_uid").asc()]
 
 
-def name_contains(column: str, text: str, collation: str | None = "UNICODE_CI_AI") -> Column:
+def name_contains(column: str, text: str, collation: str | None = NAME_COLLATION) -> Column:
     """Substring test; by default without regard to case and accents."""
     if collation is None:
         return F.col(column).contains(text)
@@ -76,11 +81,10 @@ class Search:
     def __init__(
         self, q=None, jan=None, shop_code=None, want_jan=False, want_coupon=False, want_variants=False,
         updated_since: Column | None = None, price_min=None, price_max=None, shipping_max_days=None,
-        collation: str | None = "UNICODE_CI_AI", active_only: bool = True, require_price: bool = True,
+        collation: str | None = NAME_COLLATION, active_only: bool = True, require_price: bool = False,
     ):
         self.item, self.variant, self.snapshot = [], [], []
         self.want_variants = want_variants
-        self.require_price = require_price
         if active_only:
             self.item.append(F.col("is_active"))
             self.variant.append(F.col("is_active"))
@@ -106,6 +110,14 @@ class Search:
         if require_price:
             self.snapshot.append(F.col("price").isNotNull())
 
+    def sorted_by(self, sort_by: str) -> Search:
+        """With what an order asks of its rows: a price to sort by price, a time to sort
+        by time. Other orders also show offers that have none."""
+        out = copy(self)
+        need = {"price_asc": ["price"], "price_desc": ["price"], "updated": ["fetched_at"]}.get(sort_by, [])
+        out.snapshot = [*self.snapshot, *[F.col(c).isNotNull() for c in need]]
+        return out
+
     @staticmethod
     def updated_24h(as_of: Column) -> Column:
         return hours_before(as_of, 24)
@@ -132,11 +144,43 @@ class Search:
         return self.narrow(items, variants, snapshots).agg(F.count("*").alias("total"))
 
 
+def count_searches(items: DataFrame, variants: DataFrame, snapshots: DataFrame, searches: dict[str, Search]) -> DataFrame:
+    """(kind, total) of several searches in one pass: each table tells which searches
+    its rows meet, and one star join counts the rows that meet all of one."""
+    def flags(df: DataFrame, key: list[str], part: str) -> DataFrame:
+        met = {k: _all(getattr(s, part)) for k, s in searches.items()}
+        return df.select(*key, *[(F.lit(True) if c is None else F.coalesce(c, F.lit(False))).alias(f"{part}_{k}") for k, c in met.items()])
+
+    rows = flags(variants, ["variant_uid", "product_uid"], "variant").join(flags(items, ["product_uid"], "item"), "product_uid")
+    rows = rows.join(flags(snapshots, ["variant_uid"], "snapshot"), "variant_uid", "left")
+    if any(s.want_variants for s in searches.values()):
+        many = multi_variant_items(variants).select("product_uid", F.lit(True).alias("many"))
+        rows = rows.join(many, "product_uid", "left")
+    totals = []
+    for k, s in searches.items():
+        met = F.col(f"variant_{k}") & F.col(f"item_{k}")
+        if s.snapshot:
+            met = met & F.col(f"snapshot_{k}")
+        if s.want_variants:
+            met = met & F.col("many")
+        totals.append(F.struct(F.lit(k).alias("kind"), F.count_if(met).alias("total")))
+    return rows.agg(F.array(*totals).alias("t")).select(F.inline("t"))
+
+
 _SORT_COLUMNS = {
     "price_asc": ("price",), "price_desc": ("price",), "updated": ("fetched_at",), "name": ("item_name",),
+    "effective": ("price", "point_rate", "point_back_percent", "coupon_yen", "coupon_percent"),
 }
 
 
+def _with_net(rows: DataFrame, sort_by: str) -> DataFrame:
+    """The net price, where rows are sorted by it; offers without price have none."""
+    if sort_by != "effective":
+        return rows
+    net = F.when(F.col("price").isNotNull(), offer_value(mode="server")["effective_price"])
+    return rows.withColumn("effective_price", net)
+
+
 def widen(page: DataFrame, items: DataFrame, variants: DataFrame, snapshots: DataFrame, shops: DataFrame) -> DataFrame:
     """Full result columns for a page of at most 100 variants, whose keys travel to
     the tables."""
@@ -156,11 +200,11 @@ def search_products(
 ) -> tuple[DataFrame, DataFrame]:
     """(page of wide rows, one-row total). The page is chosen on narrow rows
     first; the wide columns are read for the chosen variants only."""
-    search = search or Search()
     order = sort_order(sort_by)
-    narrow = search.narrow(items, variants, snapshots, keep=_SORT_COLUMNS[sort_by])
-    chosen = page_rows(narrow, order, page, per_page)
-    rows = widen(chosen, items, variants, snapshots, shops).orderBy(*order)
+    search = (search or Search()).sorted_by(sort_by)
+    narrow = _with_net(search.narrow(items, variants, snapshots, keep=_SORT_COLUMNS[sort_by]), sort_by)
+    chosen = first_page(narrow, order, per_page) if page == 1 else page_rows(narrow, order, page, per_page)
+    rows = _with_net(widen(chosen, items, variants, snapshots, shops), sort_by).orderBy(*order)
     return rows, search.count(items, variants, snapshots)
 
 

@@ -75,8 +75,18 @@ def _page(where: str, order: str, limit: int, offset: int = 0, price: bool = Tru
 _UP, _DOWN = "price ASC NULLS FIRST", "price DESC NULLS LAST"
 ORACLE["search_price_asc"] = _with(*_SEARCH, body=_page("true", _UP, 50))
 ORACLE["search_price_desc"] = _with(*_SEARCH, body=_page("true", _DOWN, 50, 100))
-ORACLE["search_updated"] = _with(*_SEARCH, body=_page("true", "seen_at DESC NULLS LAST", 50))
-ORACLE["search_name"] = _with(*_SEARCH, body=_page("item_name ILIKE '%ring%'", "item_name ASC NULLS FIRST", 100, price=False))
+# Names in mixed case and offers without a price.
+_GAPS = (V.OBS, V.SNAP.replace("snap AS", "snap0 AS", 1), V.ITEMS.replace("items AS", "items0 AS", 1),
+         "snap AS (SELECT * REPLACE (CASE WHEN variant_uid NOT LIKE '%:5' THEN price END AS price) FROM snap0)",
+         "items AS (SELECT * REPLACE (CASE WHEN CAST(item_code AS BIGINT) % 3 = 0 THEN upper(item_name) ELSE item_name END AS item_name) FROM items0)",
+         V.VARIANTS, V.SHOPS, _WIDE)
+_NET = f"net AS (SELECT *, CASE WHEN price IS NOT NULL THEN {S['net']} END AS effective_price FROM wide)"
+ORACLE["search_updated"] = _with(*_GAPS, body=_page("seen_at IS NOT NULL", "seen_at DESC NULLS LAST", 50, price=False))
+ORACLE["search_effective"] = _with(*_GAPS, _NET, body=_page(
+    "jan_code IS NOT NULL", "effective_price ASC NULLS LAST", 100, price=False).replace("FROM wide", "FROM net"))
+ORACLE["search_effective_unpriced"] = _with(*_GAPS, _NET, body="SELECT variant_uid, price, effective_price FROM (" + _page(
+    "shop_code = '7'", "effective_price ASC NULLS LAST", 100, price=False).replace("FROM wide", "FROM net") + ")")
+ORACLE["search_name"] = _with(*_GAPS, body=_page("item_name ILIKE '%ring%'", "lower(item_name) ASC NULLS FIRST", 100, price=False))
 ORACLE["search_filters"] = _with(*_SEARCH, body=_page(
     "jan_code IS NOT NULL AND (coupon_yen > 0 OR coupon_percent > 0) AND price BETWEEN 1000 AND 1500 AND shipping_days_min <= 1", _UP, 100))
 ORACLE["search_updated_24h"] = _with(*_SEARCH, body=_page(
@@ -95,6 +105,9 @@ ORACLE["search_count"] = _with(*_SEARCH, body=f"""
     UNION ALL SELECT 'name', count(*) FROM wide WHERE {_ACTIVE} AND item_name ILIKE '%widget%' AND price <= 2000)""")
 ORACLE["search_keyset_page"] = _with(*_SEARCH, body=f"SELECT variant_uid, product_uid, price FROM ({_page('true', _UP, 50, 50)})")
 
+ORACLE["search_far_page"] = _with(*_SEARCH, body=_page("true", _UP, 50).replace(
+    "LIMIT 50 OFFSET 0", f"LIMIT 50 OFFSET (SELECT greatest(count(*) // 50 - 1, 0) * 50 FROM wide WHERE {_ACTIVE} AND price IS NOT NULL)"))
+
 # product detail -----------------------------------------------------------------
 
 _PRODUCT = """p AS (SELECT i.product_uid, h.shop_name, i.item_name, i.canonical_url, v.variant_uid, v.variant_code, v.jan_code,
@@ -204,8 +217,8 @@ ORACLE["merge_variants_coalesce"] = """
   FROM lineitem GROUP BY 1, 2, 3"""
 ORACLE["mark_for_crawl"] = _with(V.ITEMS, V.BROWSE, body="""
   SELECT product_uid, seen_in_detail OR product_uid IN (SELECT shop_code || ':' || shop_code FROM browse) AS in_server_crawl FROM items""")
-ORACLE["merge_targets_manual"] = _with(V.TARGETS, """t AS (SELECT * FROM targets WHERE target_type = 'shop' AND id % 2 = 0)""",
-    """w AS (SELECT CAST(c_nationkey AS VARCHAR) AS target_value, CAST(count(*) AS INTEGER) AS priority FROM customer GROUP BY 1)""", body="""
+ORACLE["merge_targets_manual"] = _with(V.TARGETS, """t AS (SELECT * FROM targets WHERE target_type = 'shop')""",
+    """w AS (SELECT k || c_nationkey AS target_value, CAST(count(*) AS INTEGER) AS priority FROM customer, (VALUES (''), ('n')) v(k) GROUP BY 1)""", body="""
   SELECT 'shop' AS target_type, target_value, CASE WHEN w.priority IS NOT NULL THEN true ELSE t.is_active END AS is_active,
     COALESCE(w.priority, t.priority) AS priority, 'manual' AS added_by,
     CASE WHEN w.priority IS NOT NULL THEN 'u' || target_value END AS base_url FROM t FULL JOIN w USING (target_value)""")
@@ -230,8 +243,7 @@ ORACLE["targets_deactivated"] = _with(V.TARGETS, body=f"""
   SELECT target_type, target_value, is_active AND id NOT IN (1, 5, 7) AS is_active,
     CASE WHEN target_type = 'shop' AND is_active AND id NOT IN (1, 5, 7) THEN {_day(_AS_OF)} END AS last_crawled_at FROM targets""")
 ORACLE["targets_listed"] = _with(V.TARGETS, body="""
-  SELECT row_number() OVER (ORDER BY priority DESC, id) AS place, id, priority FROM targets WHERE target_type = 'shop' AND is_active
-  ORDER BY place LIMIT 100""")
+  SELECT row_number() OVER (ORDER BY priority DESC, id) AS place, id, priority FROM targets WHERE target_type = 'shop' AND is_active""")
 
 # ranking ----------------------------------------------------------------------------
 
@@ -326,7 +338,7 @@ def _slices(cap: int, where: str = "true") -> tuple[str, ...]:
 
 ORACLE["price_slices"] = _with(*_slices(3000), body="SELECT * FROM slices", recursive=True)
 ORACLE["price_slices_fine"] = _with(*_slices(5), body="SELECT * FROM slices", recursive=True)
-ORACLE["discovery_ranges"] = _with(*_slices(3000, "p_type < 'P'"), body="""
+ORACLE["discovery_ranges"] = _with(*_slices(3000), body="""
   SELECT g.genre_id, COALESCE(min_price, 0) AS min_price, max_price, min_price IS NOT NULL AS from_slice
   FROM (SELECT DISTINCT p_type AS genre_id FROM part) g LEFT JOIN (SELECT * FROM slices WHERE estimated_count <= 2000) s USING (genre_id)""", recursive=True)
 ORACLE["slice_status"] = _with(*_slices(500), """st AS (SELECT genre_id, CASE WHEN estimated_count = 0 THEN 'done' WHEN estimated_count < 200
@@ -336,11 +348,11 @@ ORACLE["slice_status"] = _with(*_slices(500), """st AS (SELECT genre_id, CASE WH
 ORACLE["page_frontier"] = """
   SELECT genre_id, keyword, page, 'https://search.example.com/search/mall/' || keyword || '/' || genre_id || '/?min=' || lo || '&max=' || hi
     || CASE WHEN page > 1 THEN '&p=' || page ELSE '' END AS url FROM (
-    SELECT *, unnest(range(1, CAST(least(ceil(n / 10.0), 4) AS INTEGER) + 1)) AS page FROM (
+    SELECT *, unnest(range(1, CAST(ceil(n / 10.0) AS INTEGER) + 1)) AS page FROM (
       SELECT p_type AS genre_id, p_brand AS keyword, count(*) AS n, CAST(min(floor(p_retailprice)) AS BIGINT) AS lo,
         CAST(max(floor(p_retailprice)) AS BIGINT) AS hi FROM part GROUP BY 1, 2))"""
 ORACLE["api_page_chain"] = """
-  SELECT shop, unnest(range(1, CAST(least(ceil(n / 30.0), 15) AS INTEGER) + 1)) AS page FROM (SELECT l_suppkey AS shop, count(*) AS n FROM lineitem GROUP BY 1)"""
+  SELECT shop, unnest(range(1, CAST(ceil(n / 30.0) AS INTEGER) + 1)) AS page FROM (SELECT l_suppkey AS shop, count(*) AS n FROM lineitem GROUP BY 1)"""
 ORACLE["shop_frontier"] = _with(V.TARGETS, body="""
   SELECT target_value AS shop_code, priority, 'https://search.example.com/search/mall/?sid=' || target_value AS url, 150 AS max_pages
   FROM targets WHERE target_type = 'shop' AND is_active""")
@@ -438,10 +450,13 @@ ORACLE["quality_report"] = _with(V.OBS, V.SNAP, V.LIST_OBS, _FILL, _SNAPFILL, _A
     UNION ALL SELECT status FROM api)""", body="""
   SELECT count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'WARN') AS warnings, count(*) FILTER (status = 'FAIL') AS failed,
     count(*) FILTER (status = 'PASS') * 100.0::DOUBLE / count(*) AS score, count(*) FILTER (status = 'FAIL') = 0 AS ok FROM a""")
-ORACLE["quality_tables"] = _with(V.SHOPS, V.ITEMS, V.VARIANTS, V.JOBS, V.BROWSE, V.LIST_OBS, V.DETAIL_OBS, body=" UNION ALL ".join(
+ORACLE["quality_tables"] = _with(V.SHOPS, V.ITEMS, V.VARIANTS, V.JOBS, V.BROWSE, V.LIST_OBS, V.DETAIL_OBS, V.TARGETS, *_slices(500), body=" UNION ALL ".join(
     f"SELECT '{n}' AS table_name, count(*) AS rows FROM {t}" for n, t in (
-        ("shops", "shops"), ("items", "items"), ("variants", "variants"), ("jobs", "jobs"), ("browse_events", "browse"),
-        ("list_observations", "list_obs"), ("detail_observations", "detail_obs"))))
+        ("shops", "shops"), ("items", "items"), ("variants", "variants"), ("crawl_jobs", "jobs"), ("user_browse_events", "browse"),
+        ("list_observations", "list_obs"), ("detail_observations", "detail_obs"), ("crawl_targets", "targets"), ("price_range_slices", "slices"),
+        ("variant_snapshots", "variants"), ("variant_daily_history", "(SELECT DISTINCT l_partkey, CAST(l_shipdate AS DATE) FROM lineitem)"),
+        ("shop_rankings", "(SELECT DISTINCT shop_code, CAST(browsed_at AS DATE) FROM browse)"),
+        ("crawl_stats", "(SELECT DISTINCT CAST(created_at AS DATE), job_type FROM jobs)"))), recursive=True)
 ORACLE["tiered_sample"] = _with(V.ITEMS, body="""
   SELECT product_uid, CASE WHEN seen_in_api AND seen_in_list THEN 0 WHEN seen_in_list THEN 1 ELSE 2 END AS tier FROM items WHERE NOT seen_in_detail
   ORDER BY tier, updated_at DESC, product_uid LIMIT 60""")
@@ -468,7 +483,7 @@ ORACLE["api_ingest"] = f"""
     CASE WHEN {_QT} % 4 > 0 THEN 'review_average' END AS extra2_key, CASE WHEN {_QT} % 4 > 0 THEN '4.5' END AS extra2_value,
     'api' AS source, {_ts('l_shipdate')} AS fetched_at FROM lineitem, range(0, 2) r(n)"""
 ORACLE["api_paging"] = """
-  SELECT l_orderkey AS seq, 4 AS total_count, l_linenumber AS page_count, unnest(range(1, least(l_linenumber, 5) + 1)) AS page FROM lineitem"""
+  SELECT l_orderkey AS seq, 4 AS total_count, l_linenumber AS page_count, unnest(range(1, l_linenumber + 1)) AS page FROM lineitem"""
 
 _UPS = f"(l_linenumber + {_TAX})"
 _COMMA = "format('{{:,}}', {})"
@@ -598,7 +613,7 @@ ORACLE["page_class"] = f"""SELECT page_id,
     CASE WHEN length(html) < 1000 THEN 'short' WHEN contains(html, '__INITIAL_STATE__') OR contains(lower(html), 'item-list') THEN 'ok' WHEN {_SIGNS} THEN 'blocked' ELSE 'ok' END AS as_list,
     CASE WHEN length(html) < 1000 THEN 'short' WHEN contains(html, 'item-page-app-data') OR (contains(html, 'itemprop') AND contains(lower(html), 'example')) THEN 'ok'
       WHEN {_SIGNS} THEN 'blocked' ELSE 'ok' END AS as_detail
-  FROM (SELECT *, lower(substring(html, 1, 5000)) AS head FROM pages)"""
+  FROM (SELECT *, lower(html) AS head FROM pages)"""
 ORACLE["page_titles"] = """SELECT page_id, trim(regexp_replace(trim(nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '')), '\\s*:\\s*[^:]+$', '')) AS name FROM pages"""
 _COUNT = _COMMA.format("qty * 100")
 ORACLE["text_round_trip"] = f"""

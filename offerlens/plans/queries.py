@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.fixed import SPARSE_DETAIL_COLUMNS, SPARSE_LIST_COLUMNS
@@ -23,7 +23,7 @@ from offerlens.operators import quality as Q
 from offerlens.operators import ranking as R
 from offerlens.operators import retention as K
 from offerlens.operators import search as S
-from offerlens.operators.ordered import latest_per_key
+from offerlens.operators.ordered import first_page, latest_per_key, number_rows
 from offerlens.plans import documents as T
 from offerlens.plans.domain import Domain
 from offerlens.sources import api_json, browse, detail_pages, list_pages, offers
@@ -94,8 +94,16 @@ def point_calculation(d: Domain) -> DataFrame:
 # search ------------------------------------------------------------------------
 
 
-def _search(d: Domain, search: S.Search | None, sort_by: str, page: int = 1, per_page: int = 50) -> DataFrame:
-    rows, _ = S.search_products(d.items(), d.variants(), d.snapshots(), d.shops(), search, sort_by, page, per_page)
+def _gappy(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """Items with names in mixed case, and snapshots some of which have no price."""
+    upper = F.when(F.col("item_code").cast("long") % 3 == 0, F.upper("item_name")).otherwise(F.col("item_name"))
+    price = F.when(~F.col("variant_uid").endswith(":5"), F.col("price"))
+    return d.items().withColumn("item_name", upper), d.snapshots().withColumn("price", price)
+
+
+def _search(d: Domain, search: S.Search | None, sort_by: str, page: int = 1, per_page: int = 50, gaps: bool = False) -> DataFrame:
+    items, snapshots = _gappy(d) if gaps else (d.items(), d.snapshots())
+    rows, _ = S.search_products(items, d.variants(), snapshots, d.shops(), search, sort_by, page, per_page)
     return shown(rows.drop("extra1_key", "extra1_value", "extra2_key", "extra2_value"))
 
 
@@ -111,12 +119,23 @@ def search_price_desc(d: Domain) -> DataFrame:
 
 @query
 def search_updated(d: Domain) -> DataFrame:
-    return _search(d, None, "updated")
+    return _search(d, None, "updated", gaps=True)
+
+
+@query
+def search_effective(d: Domain) -> DataFrame:
+    return _search(d, S.Search(want_jan=True), "effective", per_page=100, gaps=True)
+
+
+@query
+def search_effective_unpriced(d: Domain) -> DataFrame:
+    """Offers without price come last by net price."""
+    return _search(d, S.Search(shop_code="7"), "effective", per_page=100, gaps=True).select("variant_uid", "price", "effective_price")
 
 
 @query
 def search_name(d: Domain) -> DataFrame:
-    return _search(d, S.Search(q="Ring", require_price=False), "name", per_page=100)
+    return _search(d, S.Search(q="Ring"), "name", per_page=100, gaps=True)
 
 
 @query
@@ -149,26 +168,27 @@ def variant_counts(d: Domain) -> DataFrame:
 @query
 def search_count(d: Domain) -> DataFrame:
     items, variants, snaps = d.items(), d.variants(), d.snapshots()
-    unfiltered = snaps.filter(F.col("price").isNotNull()).agg(F.count("*").alias("total"))
-    kinds = {
-        "coupon": S.Search(want_coupon=True), "jan": S.Search(want_jan=True, require_price=False),
-        "variants": S.Search(want_variants=True, require_price=False), "name": S.Search(q="widget", price_max=2000),
-    }
-    rows = unfiltered.select(F.lit("all").alias("kind"), "total")
-    for kind, search in kinds.items():
-        rows = rows.unionByName(search.count(items, variants, snaps).select(F.lit(kind).alias("kind"), "total"))
-    return rows.withColumn("pages", S.page_count(F.col("total"), 50))
+    unfiltered = snaps.agg(F.count("price").alias("total")).select(F.lit("all").alias("kind"), "total")
+    filtered = S.count_searches(items, variants, snaps, {
+        "coupon": S.Search(want_coupon=True).sorted_by("price_asc"), "jan": S.Search(want_jan=True),
+        "variants": S.Search(want_variants=True), "name": S.Search(q="widget", price_max=2000),
+    })
+    return unfiltered.unionByName(filtered).withColumn("pages", S.page_count(F.col("total"), 50))
 
 
 @query
 def search_keyset_page(d: Domain) -> DataFrame:
     """Page 2 by key: the rows after the last one of page 1, found as its 50th."""
-    narrow = S.Search().narrow(d.items(), d.variants(), d.snapshots(), keep=("price",))
-    first = narrow.orderBy(*S.sort_order("price_asc")).limit(50)
-    last = first.agg(F.max(F.struct("price", "variant_uid")).alias("k"))
-    return S.after_key(narrow, last.select("k.price").scalar(), last.select("k.variant_uid").scalar(), 50).select(
-        "variant_uid", "product_uid", "price"
-    )
+    narrow = S.Search().sorted_by("price_asc").narrow(d.items(), d.variants(), d.snapshots(), keep=("price",))
+    last = first_page(narrow, S.sort_order("price_asc"), 50).select("price", "variant_uid").collect()[-1]
+    return S.after_key(narrow, last["price"], last["variant_uid"], 50).select("variant_uid", "product_uid", "price")
+
+
+@query
+def search_far_page(d: Domain) -> DataFrame:
+    """The last full page of all offers by price, cut out of distributed positions."""
+    pages = S.Search().sorted_by("price_asc").count(d.items(), d.variants(), d.snapshots()).first()["total"] // 50
+    return _search(d, None, "price_asc", page=max(1, pages))
 
 
 # product detail -----------------------------------------------------------------
@@ -187,7 +207,7 @@ def product_detail_rows(d: Domain) -> DataFrame:
 
 @query
 def product_detail_nested(d: Domain) -> DataFrame:
-    nested = D.nested_products(D.product_rows(d.items(), d.variants(), d.snapshots(), d.shops()))
+    nested = D.nested_products(D.product_rows(d.items(), d.variants(), d.snapshots(), d.shops()), per_row=1000)
     codes = F.array_join(F.transform("variants", lambda v: v["variant_code"]), ",")
     prices = F.array_join(F.transform("variants", lambda v: v["snapshot"]["price"].cast("string")), ",")
     return nested.select("product_uid", "shop_name", "part", codes.alias("codes"), prices.alias("prices"))
@@ -369,13 +389,12 @@ def mark_for_crawl(d: Domain) -> DataFrame:
 
 @query
 def merge_targets_manual(d: Domain) -> DataFrame:
-    """Shops of one region added by hand, new ones among them."""
+    """Shops added by hand to the stored ones, new ones among them."""
     stored = d.targets().withColumn("base_url", F.lit(None).cast("string"))
-    wanted = d.table("customer").groupBy(F.col("c_nationkey").cast("string").alias("target_value")).agg(
-        F.count("*").cast("int").alias("priority")
-    ).select(F.lit("shop").alias("target_type"), "target_value", F.concat(F.lit("u"), "target_value").alias("base_url"), "priority",
+    named = d.table("customer").select(F.explode(F.array(F.col("c_nationkey").cast("string"), F.concat(F.lit("n"), F.col("c_nationkey")))).alias("target_value"))
+    wanted = named.groupBy("target_value").agg(F.count("*").cast("int").alias("priority")).select(F.lit("shop").alias("target_type"), "target_value", F.concat(F.lit("u"), "target_value").alias("base_url"), "priority",
              F.lit(None).cast("bigint").alias("id"))
-    merged = M.add_targets(stored.filter("target_type = 'shop' and id % 2 = 0"), wanted)
+    merged = M.add_targets(stored.filter("target_type = 'shop'"), wanted)
     return merged.select("target_type", "target_value", "is_active", "priority", "added_by", "base_url")
 
 
@@ -413,8 +432,7 @@ def targets_deactivated(d: Domain) -> DataFrame:
 @query
 def targets_listed(d: Domain) -> DataFrame:
     rows = B.listed_targets(d.targets().withColumn("created_at", F.lit("2024-01-01")), "shop")
-    place = F.row_number().over(Window.orderBy(F.col("priority").desc(), "created_at", "id"))
-    return rows.orderBy(F.col("priority").desc(), "created_at", "id").limit(100).withColumn("place", place).select("place", "id", "priority")
+    return number_rows(rows, [], [F.col("priority").desc(), F.col("created_at"), F.col("id")], "place").select("place", "id", "priority")
 
 
 # ranking ----------------------------------------------------------------------------
@@ -545,7 +563,7 @@ def price_slices_fine(d: Domain) -> DataFrame:
 
 @query
 def discovery_ranges(d: Domain) -> DataFrame:
-    slices = P.price_slices(_priced_genres(d).filter("genre_id < 'P'"), cap=3000)
+    slices = P.price_slices(_priced_genres(d), cap=3000)
     ids = d.targets().filter("target_type = 'genre'").select(F.col("id").alias("crawl_target_id"), F.col("target_value").alias("genre_id"))
     stored = slices.join(ids, "genre_id").withColumn("status", F.lit("pending"))
     marked = P.mark_split(stored, stored.filter("estimated_count > 2000"))
@@ -564,13 +582,13 @@ def slice_status(d: Domain) -> DataFrame:
 def page_frontier(d: Domain) -> DataFrame:
     totals = d.table("part").groupBy(F.col("p_type").alias("genre_id"), F.col("p_brand").alias("keyword")).agg(
         F.count("*").alias("total_found"), F.min(F.floor("p_retailprice")).alias("min_price"), F.max(F.floor("p_retailprice")).alias("max_price"))
-    return P.page_frontier(totals, page_size=10, most=4).select("genre_id", "keyword", "page", "url")
+    return P.page_frontier(totals, page_size=10).select("genre_id", "keyword", "page", "url")
 
 
 @query
 def api_page_chain(d: Domain) -> DataFrame:
     totals = d.table("lineitem").groupBy(F.col("l_suppkey").alias("shop")).agg(F.ceil(F.count("*") / 30).alias("page_count"))
-    return P.api_pages(totals, most=15).select("shop", "page")
+    return P.api_pages(totals).select("shop", "page")
 
 
 @query
@@ -690,8 +708,12 @@ def quality_report(d: Domain) -> DataFrame:
 
 @query
 def quality_tables(d: Domain) -> DataFrame:
-    tables = {"shops": d.shops(), "items": d.items(), "variants": d.variants(), "jobs": d.jobs(), "browse_events": d.browse_events(),
-              "list_observations": d.list_observations(), "detail_observations": d.detail_observations()}
+    tables = {
+        "shops": d.shops(), "items": d.items(), "variants": d.variants(), "variant_snapshots": d.snapshots(), "variant_daily_history": d.history(),
+        "crawl_targets": d.targets(), "price_range_slices": P.price_slices(_priced_genres(d), cap=500), "crawl_jobs": d.jobs(),
+        "user_browse_events": d.browse_events(), "shop_rankings": R.rank_per_day(d.browse_events()),
+        "list_observations": d.list_observations(), "detail_observations": d.detail_observations(), "crawl_stats": B.daily_job_stats(d.jobs()),
+    }
     return Q.table_counts(tables)
 
 
@@ -719,7 +741,7 @@ def api_ingest(d: Domain) -> DataFrame:
 @query
 def api_paging(d: Domain) -> DataFrame:
     pages = api_json.api_pages(T.api_documents(d)).select("seq", "total_count", "page_count")
-    return P.api_pages(pages, most=5)
+    return P.api_pages(pages)
 
 
 _LIST_SHOWN = ("product_uid", "canonical_url", "url_variant_id", "item_name", "item_subtitle", "observed_price", "price_range", "variant_id",

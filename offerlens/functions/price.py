@@ -50,10 +50,12 @@ def offer_value(
 
     ``server`` multiplies the points by the whole point-back percentage;
     ``client`` subtracts the point-back share of the price instead;
-    ``chart`` is ``client`` without any point back.
+    ``chart`` is ``client`` without any point back. A multiplier outside its range
+    counts as the nearest one in it.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    multiplier = clamp_multiplier(multiplier)
     whole = _num(price).try_cast("bigint")
     coupon = coupon_value(price, coupon_yen, coupon_percent)
     points = base_points(price, point_rate, multiplier)

@@ -78,10 +78,10 @@ def upsert_history(history: DataFrame, written: DataFrame, order: Sequence[str],
 
 def touched_months(history: DataFrame, written: DataFrame, order: Sequence[str], zone: str = "UTC", key: str = KEY) -> DataFrame:
     """Only the months a batch touches, rewritten, for a partition overwrite. The
-    month filter prunes the stored partitions."""
+    months are few, so they are looked up once and reach the scan as literals."""
     fresh = daily_history(written, order, zone, key).withColumn("record_month", F.date_format("record_date", "yyyy-MM"))
-    months = fresh.select("record_month").distinct()
-    stored = history.join(months, "record_month", "left_semi")
+    months = [r[0] for r in fresh.select("record_month").distinct().collect()]
+    stored = history.filter(F.col("record_month").isin(*months)) if months else history.limit(0)
     return _over(stored, fresh.select(*[c for c in stored.columns if c in fresh.columns]), [key, "record_date"])
 
 

@@ -104,7 +104,7 @@ def discovery_ranges(targets: DataFrame, slices: DataFrame) -> DataFrame:
         F.coalesce("min_price", F.lit(0)).alias("min_price"),
         "max_price",
         F.col("min_price").isNotNull().alias("from_slice"),
-    )
+    ).orderBy("genre_id", "min_price")
 
 
 def page_numbers(total: Column, page_size: Column | int, most: int | None = None, has_rows: Column | None = None) -> Column:

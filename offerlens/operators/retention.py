@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.fixed import (
-    EVENT_RETENTION_DAYS, EXTENSION_ITEM_CAP, EXTENSION_PRUNE_EXTRA, EXTENSION_PRUNE_MONTHS, EXTENSION_PRUNE_MOST,
+    EVENT_RETENTION_DAYS, EXTENSION_ITEM_CAP, EXTENSION_PRUNE_EXTRA, EXTENSION_PRUNE_MONTHS,
     HISTORY_RETENTION_DAYS,
 )
 from offerlens.functions.keys import months_before
+from offerlens.operators.ordered import number_rows
 
 
 def keep_history(history: DataFrame, as_of: Column, days: int = HISTORY_RETENTION_DAYS) -> DataFrame:
@@ -28,25 +29,19 @@ def keep_events(events: DataFrame, as_of: Column, days: int = EVENT_RETENTION_DA
 
 def items_to_prune(
     items: DataFrame, as_of: Column, cap: int = EXTENSION_ITEM_CAP, extra: int = EXTENSION_PRUNE_EXTRA,
-    most: int = EXTENSION_PRUNE_MOST,
+    most: int | None = None,
 ) -> DataFrame:
     """Keys of the items to deactivate: if the active extension items exceed the
     cap, the least viewed and oldest of those first seen over two months ago and
-    not collected by the server, ``min(excess + extra, most)`` of them."""
+    not collected by the server: ``excess + extra`` of them, or ``most`` if the caller
+    limits a run."""
     ext = items.filter(F.col("seen_in_ext") & F.col("is_active"))
     excess = ext.agg((F.count("*") - cap).alias("_excess"))
     old = ext.filter(~F.col("in_server_crawl") & (F.col("ext_first_seen") < months_before(as_of, EXTENSION_PRUNE_MONTHS)))
-    first = old.orderBy("ext_view_count", "ext_first_seen", "product_uid").limit(most).select(
-        "product_uid", "ext_view_count", "ext_first_seen"
-    )
-    # At most ``most`` rows are left here, so one task may number them.
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy("ext_view_count", "ext_first_seen", "product_uid"))
-    numbered = first.withColumn("_place", place)
-    return numbered.join(F.broadcast(excess), (F.col("_excess") > 0) & (F.col("_place") <= F.col("_excess") + extra)).select(
-        "product_uid"
-    )
+    order = [F.col("ext_view_count"), F.col("ext_first_seen"), F.col("product_uid")]
+    numbered = number_rows(old.select("product_uid", "ext_view_count", "ext_first_seen"), [], order, "_place")
+    last = F.col("_excess") + extra if most is None else F.least(F.col("_excess") + extra, F.lit(most))
+    return numbered.join(F.broadcast(excess), (F.col("_excess") > 0) & (F.col("_place") <= last)).select("product_uid")
 
 
 def prune_items(items: DataFrame, as_of: Column, **limits: int) -> DataFrame:

@@ -284,7 +284,7 @@ ORACLE["retention_items"] = f"""WITH e AS (SELECT l_suppkey || ':' || l_partkey
   g AS (SELECT product_uid FROM (SELECT product_uid, row_number() OVER (ORDER BY views, first_seen, product_uid) AS n FROM e
       WHERE seen_in_ext AND is_active AND NOT in_crawl AND first_seen < {_AS_OF} - INTERVAL 2 MONTH),
       (SELECT count(*) - 100 AS excess FROM e WHERE seen_in_ext AND is_active)
-    WHERE excess > 0 AND n <= least(excess + 20, 50000))
+    WHERE excess > 0 AND n <= excess + 20)
   SELECT product_uid, seen_in_ext, is_active AND product_uid NOT IN (SELECT product_uid FROM g) AS is_active FROM e"""
 
 # jobs ----------------------------------------------------------------------------------

@@ -500,7 +500,7 @@ def _extension_items(d: Domain) -> DataFrame:
 
 @query
 def retention_items(d: Domain) -> DataFrame:
-    return K.prune_items(_extension_items(d), d.as_of(), cap=100, extra=20, most=50_000).select("product_uid", "seen_in_ext", "is_active")
+    return K.prune_items(_extension_items(d), d.as_of(), cap=100, extra=20).select("product_uid", "seen_in_ext", "is_active")
 
 
 # jobs ----------------------------------------------------------------------------------

@@ -73,9 +73,24 @@ def schema(table: str) -> StructType:
     return StructType.fromDDL(TABLES[table])
 
 
+# Partition columns that follow from another column.
+DERIVED = {
+    "observed_date": ("observed_at", lambda c: F.to_date(c)), "browse_date": ("browsed_at", lambda c: F.to_date(c)),
+    "record_month": ("record_date", lambda c: F.date_format(c, "yyyy-MM")),
+}
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Columns of the table in order and type; missing ones are NULL."""
+    """Columns of the table in order and type; missing ones are NULL, but partition
+    columns are derived, and it is an error if they can't be."""
     have = set(df.columns)
+    for part in PARTITIONS.get(table, []):
+        source, rule = DERIVED.get(part, (None, None))
+        if part not in have:
+            if source not in have:
+                raise ValueError(f"{table} needs {part}" + (f" or {source}" if source else ""))
+            df = df.withColumn(part, rule(F.col(source)))
+            have.add(part)
     return df.select(*[
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table).fields
     ])

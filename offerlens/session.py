@@ -59,8 +59,9 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the files give fewer tasks than there are cores,
-    as one unsplittable file does. Larger inputs are left as they are scanned."""
+    as one unsplittable file does; dealt in turns, so that no key gathers. Larger
+    inputs are left as they are scanned."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -20,9 +20,19 @@ class Tables:
             raise KeyError(table)
         return f"{self.root}/{table}"
 
+    def _files(self, path: str):
+        """The path as an object of its file system, and that file system."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        """Whether the table is stored. A swap that was broken off between its two
+        renames is taken back first."""
+        at, files = self._files(self.path(table))
+        if files.exists(at):
+            return True
+        old, _ = self._files(self.path(table) + "__old")
+        return files.exists(old) and files.rename(old, at)
 
     def read(self, table: str) -> DataFrame:
         """The stored rows; none before the first write. The schema is given, so no
@@ -54,10 +64,35 @@ class Tables:
         self._writer(staged, table, "overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path(table))
 
     def replace(self, df: DataFrame, table: str) -> None:
-        """Overwrite the whole table, also with rows derived from itself: they are
-        written to the checkpoint folder first."""
-        staged = durable(conform(df, table))
-        self._writer(staged, table, "overwrite").option("partitionOverwriteMode", "static").parquet(self.path(table))
+        """Swap in a new version of the whole table, which may derive from the stored
+        one: it is written beside it, then two renames exchange them. Until then
+        readers see the old version, and a failed write leaves it untouched."""
+        new, old, here = self.path(table) + "__new", self.path(table) + "__old", self.path(table)
+        stored = self.exists(table)
+        self._writer(df, table, "overwrite").option("partitionOverwriteMode", "static").parquet(new)
+        (at, files), (next_at, _), (old_at, _) = self._files(here), self._files(new), self._files(old)
+        files.delete(old_at, True)
+        if stored and not files.rename(at, old_at) or not files.rename(next_at, at):
+            raise OSError(f"{here} can't be swapped")
+        files.delete(old_at, True)
+        self.spark.catalog.refreshByPath(here)
+
+    def partitions(self, table: str) -> list:
+        """Values of the table's partition column, from its folders' names alone."""
+        (column,) = PARTITIONS[table]
+        at, files = self._files(self.path(table))
+        if not self.exists(table):
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(at)]
+        return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}="))
+
+    def drop_partitions(self, table: str, values: list) -> None:
+        """Delete whole partition folders; no row is read."""
+        (column,) = PARTITIONS[table]
+        for value in values:
+            at, files = self._files(f"{self.path(table)}/{column}={value}")
+            files.delete(at, True)
+        self.spark.catalog.refreshByPath(self.path(table))
 
     def scan_history(self, first_day, last_day=None) -> DataFrame:
         """History between two days; only the months between are read."""

@@ -13,6 +13,7 @@ from offerlens.operators import ranking as R
 from offerlens.operators import retention as K
 from offerlens.sources import browse
 from offerlens.sources.csv_export import write_csv
+from offerlens.sources.offers import as_offers, union_offers
 from offerlens.sources.tables import Tables
 from offerlens.streaming import catalogue, rankings
 
@@ -158,3 +159,47 @@ def test_daily_ranking_stream(spark, tmp_path):
     got = tables.read("shop_rankings").select("ranking_date", "shop_code", "browse_count", "rank_position")
     done = got.agg(F.max("ranking_date").alias("d")).first().d
     assert rows(got) == rows(want.filter(F.col("ranking_date") <= F.lit(done))) and got.count() > 0
+
+
+def test_stored_merge_stamps_rows_and_keeps_listings_out_of_variants(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+
+    def offers(day, *sources):
+        parts = []
+        for k, source in enumerate(sources):
+            row = spark.createDataFrame([(dt.datetime(2024, 5, day), k)], "fetched_at timestamp, seq long")
+            values = {"shop_code": F.lit("s"), "item_code": F.lit(f"i{k}"), "item_name": F.lit("n"), "price": F.lit(5)}
+            parts.append(as_offers(row, source, values, keep=("fetched_at", "seq")))
+        return union_offers(*parts)
+
+    catalogue.merge_offers(tables, offers(3, "list", "detail"), 0)
+    catalogue.merge_offers(tables, offers(9, "list", "api"), 1)
+    assert [r.variant_uid for r in tables.read("variants").collect()] == ["s:i1:default"]
+    for table, first in (("shops", "first_seen_at"), ("items", "created_at"), ("variants", "created_at")):
+        assert {(r[first].day, r.updated_at.day) for r in tables.read(table).collect()} == {(3, 9)}
+    assert all(r.updated_at is not None for r in tables.read("variant_snapshots").collect())
+
+
+def test_only_touched_months_are_read(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    days = spark.range(300).select(F.lit("v").alias("variant_uid"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("record_date"), F.col("id").alias("price"))
+    tables.append(days, "variant_daily_history")  # the month is derived
+    assert len(tables.partitions("variant_daily_history")) == 10
+    seen = spark.createDataFrame([("v", 7, dt.datetime(2024, 3, 4), 1)], "variant_uid string, price long, fetched_at timestamp, seq long")
+    stored = tables.read("variant_daily_history").select("variant_uid", "record_date", "price", "fetched_at", "record_month")
+    months = H.touched_months(stored, seen, ["fetched_at", "seq"])
+    assert {"2024-03"} == {r.record_month for r in months.select("record_month").distinct().collect()} and months.count() == 31
+    plan = months._jdf.queryExecution().executedPlan().toString()
+    assert "record_month" in plan and "= 2024-03" in plan.split("PartitionFilters:")[1].split("]")[0]
+    catalogue.trim_history(tables, F.lit("2024-10-20").cast("timestamp"), 60)
+    assert tables.partitions("variant_daily_history") == ["2024-08", "2024-09", "2024-10"]
+    assert tables.read("variant_daily_history").agg(F.min("record_date")).first()[0] == dt.date(2024, 8, 21)
+
+
+def test_observations_fall_on_their_day(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    seen = spark.createDataFrame([("s:i", 4, dt.datetime(2024, 2, d, 23)) for d in (1, 2)], "product_uid string, observed_price long, observed_at timestamp")
+    tables.append(seen, "list_observations")
+    assert tables.partitions("list_observations") == ["2024-02-01", "2024-02-02"]
+    with pytest.raises(ValueError):
+        tables.append(seen.drop("observed_at"), "detail_observations")

@@ -31,7 +31,8 @@ from offerlens.llm.arrow import map_batches, raw_texts
 from offerlens.llm.shingles import rolling, word_hashes, words
 from offerlens.session import durable
 
-K, WINDOW = 8, 12
+K, WINDOW = 6, 16
+MARGIN = 64  # words beyond a chain that alignment may look at
 LEAST, PIECE = 50, 20  # words of a reported run, and of a passage within it
 GAP = 0.1  # cost of a skipped word on either side, in matched words
 IDENTITY = 0.8
@@ -39,10 +40,10 @@ IDENTITY = 0.8
 
 def seeds(text: bytes, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and word positions of a text's minimizers."""
-    tokens = words(text)
+    tokens = word_hashes(text)
     if len(tokens) < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes = rolling(word_hashes(tokens), k)
+    hashes = rolling(tokens, k)
     span = min(window, len(hashes))
     rows = np.lib.stride_tricks.sliding_window_view(hashes, span)
     at = np.unique(rows.argmin(1) + np.arange(len(rows)))
@@ -196,6 +197,23 @@ def _packed(df: DataFrame, key: str, text: str) -> DataFrame:
     return map_batches(rows, make, "doc long, blob binary")
 
 
+def _in_runs(spans: list[tuple]) -> list[tuple]:
+    """Of (start, stop, ...) in order, those within covered runs of ``LEAST`` words."""
+    out: list[tuple] = []
+    run: list[tuple] = []
+    end = -1
+    for span in spans:
+        if run and span[0] > end:
+            if end - run[0][0] >= LEAST:
+                out += run
+            run = []
+        end = max(end, span[1]) if run else span[1]
+        run.append(span)
+    if run and end - run[0][0] >= LEAST:
+        out += run
+    return out
+
+
 _SPANS = "array<struct<start:int,stop:int,other:long,other_start:int,other_stop:int,equal:int>>"
 
 
@@ -211,13 +229,14 @@ def _chained(matches: DataFrame) -> DataFrame:
                 by: dict[int, list[tuple[int, int]]] = {}
                 for r in rows:
                     by.setdefault(r["other"], []).append((r["at"], r["other_at"]))
-                for other, pairs in sorted(by.items()):
-                    # Ends may grow by less than a window on either side.
-                    long = [c for c in chains(pairs) if c[-1][0] + K - c[0][0] + 2 * WINDOW >= PIECE]
-                    if long:
-                        docs.append(doc)
-                        others.append(other)
-                        found.append([[v for m in c for v in m] for c in long])
+                all_chains = [(c[0][0] - WINDOW, c[-1][0] + K + WINDOW, other, c) for other, pairs in by.items() for c in chains(pairs)]
+                kept: dict[int, list[list[int]]] = {}
+                for c in _in_runs(sorted(all_chains, key=lambda c: c[:3])):
+                    kept.setdefault(c[2], []).append([v for m in c[3] for v in m])
+                for other, own in kept.items():
+                    docs.append(doc)
+                    others.append(other)
+                    found.append(own)
             return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(others, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["doc", "other", "chains"])
 
         return apply
@@ -225,10 +244,35 @@ def _chained(matches: DataFrame) -> DataFrame:
     return map_batches(grouped, make, "doc long, other long, chains array<array<int>>")
 
 
+def _with_held(chained: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(doc, other, from, chain, held): each chain with the part of its holder's words
+    that alignment may look at, so that no whole text travels for a short match."""
+    both = chained.join(blobs.withColumnRenamed("doc", "other"), "other").select("doc", "other", "chains", "blob")
+    names = ["doc", "other", "from", "chain", "held"]
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        pack, opened = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[tuple] = []
+            last: tuple[bytes, list[bytes]] = (b"", [])
+            for doc, other, found, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if last[0] != blob:
+                    last = (blob, words(opened(blob)))
+                for flat in found:
+                    start = max(0, flat[1] - MARGIN)
+                    out.append((doc, other, start, flat, pack(b" ".join(last[1][start : flat[-1] + K + MARGIN]))))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+        return apply
+
+    return map_batches(both, make, "doc long, other long, from int, chain array<int>, held binary")
+
+
 def _aligned(chained: DataFrame, blobs: DataFrame) -> DataFrame:
-    own = blobs.select("doc", F.col("blob").alias("own"))
-    held = blobs.select(F.col("doc").alias("other"), F.col("blob").alias("held"))
-    both = chained.join(held, "other").join(own, "doc").select("doc", "other", "chains", "own", "held")
+    both = _with_held(chained, blobs).join(blobs, "doc").select("doc", "other", "from", "chain", "held", "blob")
     names = ["doc", "start", "stop", "other", "other_start", "other_stop", "equal"]
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -237,14 +281,12 @@ def _aligned(chained: DataFrame, blobs: DataFrame) -> DataFrame:
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[tuple] = []
             last: tuple[bytes, list[bytes]] = (b"", [])
-            for doc, other, found, own_blob, held_blob in zip(*(c.to_pylist() for c in batch.columns)):
-                a = words(opened(own_blob))
-                if last[0] != held_blob:
-                    last = (held_blob, words(opened(held_blob)))
-                for flat in found:
-                    s, e, t, f, equal = align(a, last[1], list(zip(flat[::2], flat[1::2])))
-                    if e - s >= PIECE and equal >= IDENTITY * max(e - s, f - t):
-                        out.append((doc, s, e, other, t, f, equal))
+            for doc, other, start, flat, held, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if last[0] != blob:
+                    last = (blob, words(opened(blob)))
+                s, e, t, f, equal = align(last[1], opened(held).split(), [(x, y - start) for x, y in zip(flat[::2], flat[1::2])])
+                if e - s >= PIECE and equal >= IDENTITY * max(e - s, f - t):
+                    out.append((doc, s, e, other, t + start, f + start, equal))
             columns = list(zip(*out)) or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
@@ -260,18 +302,9 @@ def _long_runs(aligned: DataFrame) -> DataFrame:
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for spans in batch.column(1).to_pylist():
-                kept, run, end = [], [], -1
-                for s in [*spans, None]:
-                    if s is None or s["start"] > end:
-                        if run and end - run[0]["start"] >= LEAST:
-                            kept += run
-                        run, end = [], -1
-                    if s is not None:
-                        run.append(s)
-                        end = max(end, s["stop"])
-                out.append(kept)
+            out = [
+                [x[2] for x in _in_runs([(x["start"], x["stop"], x) for x in spans])] for spans in batch.column(1).to_pylist()
+            ]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, batch.column(1).type)], ["doc", "spans"])
 
         return apply

@@ -72,3 +72,10 @@ def id_list(text, most: int = 20) -> Column:
     ids = F.transform(parts, lambda p: p.try_cast("bigint"))
     good = (F.size(ids) >= 1) & (F.size(ids) <= most) & ~F.exists(ids, lambda i: i.isNull())
     return F.when(good, ids)
+
+
+def genre_path(path: Column | str) -> Column:
+    """Genre ids of a path such as "/0/12/345", from the root down; a part that is no
+    number is NULL."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.transform(F.filter(F.split(path, "/"), lambda p: p != ""), lambda p: p.try_cast("bigint"))

@@ -646,3 +646,15 @@ ORACLE["display_columns"] = _with(V.OBS_PART, V.SNAP, body=f"""
     CASE WHEN days = 0 THEN 'たった今' ELSE days || '日前' END AS age,
     CASE WHEN shipping_days_min IS NOT NULL AND shipping_days_min <> shipping_days_max THEN shipping_days_min || '〜' || shipping_days_max || '日' ELSE shipping_days_max || '日' END AS shipping,
     COALESCE(contains(shipping_text_raw, '送料無料'), false) AS free_shipping FROM (SELECT *, date_diff('day', fetched_at, {_AS_OF}) AS days FROM snap)""")
+
+
+# single expressions over the tables --------------------------------------------------------
+
+ORACLE["genre_paths"] = "SELECT p_partkey, '0,' || p_size || ',' || p_partkey AS ids, p_partkey AS leaf FROM part"
+ORACLE["search_url_shops"] = "SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS shop_code FROM supplier"
+ORACLE["id_lists"] = """SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_linenumber <> 7 THEN l_orderkey || '|' || l_partkey || '|' || l_suppkey END AS ids FROM lineitem"""
+ORACLE["multipliers_held"] = """SELECT l_orderkey, l_linenumber, points, 2000 - points AS net FROM (
+  SELECT *, CAST(floor(2000 * (greatest(least((l_quantity - 20) * 5, 100), 1) + 1.0) / 100) AS BIGINT) AS points FROM lineitem)"""
+ORACLE["coupon_fragments"] = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS INTEGER) END AS yen,
+  CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_quantity AS DOUBLE) END AS percent FROM lineitem"""

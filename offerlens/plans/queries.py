@@ -11,7 +11,7 @@ from offerlens.fixed import SPARSE_DETAIL_COLUMNS, SPARSE_LIST_COLUMNS
 from offerlens.functions import display as Y
 from offerlens.functions import text as X
 from offerlens.functions import url as U
-from offerlens.functions.keys import content_hash, record_date, source_flags
+from offerlens.functions.keys import content_hash, genre_path, id_list, record_date, source_flags
 from offerlens.functions.price import offer_value
 from offerlens.operators import history as H
 from offerlens.operators import jan as J
@@ -899,3 +899,42 @@ def display_columns(d: Domain) -> DataFrame:
         Y.truncated("image_url", 28).alias("short_url"), Y.shown_date("fetched_at").alias("shown_date"), Y.age("fetched_at", d.as_of()).alias("age"),
         Y.shipping_range("shipping_days_min", "shipping_days_max").alias("shipping"), X.is_free_shipping("shipping_text_raw").alias("free_shipping"),
     )
+
+
+# single expressions over the tables --------------------------------------------------------
+
+
+@query
+def genre_paths(d: Domain) -> DataFrame:
+    path = F.concat(F.lit("/0/"), F.col("p_size"), F.lit("/"), F.col("p_partkey"))
+    ids = genre_path(path)
+    return d.table("part").select("p_partkey", F.array_join(ids.cast("array<string>"), ",").alias("ids"), F.element_at(ids, -1).alias("leaf"))
+
+
+@query
+def search_url_shops(d: Domain) -> DataFrame:
+    url = U.search_url(shop_code=F.col("s_suppkey").cast("string"), page=F.lit(3))
+    return d.table("supplier").select("s_suppkey", U.shop_from_search_url(url).alias("shop_code"))
+
+
+@query
+def id_lists(d: Domain) -> DataFrame:
+    given = F.concat_ws(", ", "l_orderkey", "l_partkey", F.when(F.col("l_linenumber") != 7, F.col("l_suppkey").cast("string")).otherwise(F.lit("x")))
+    return d.table("lineitem").select("l_orderkey", "l_linenumber", F.array_join(id_list(given).cast("array<string>"), "|").alias("ids"))
+
+
+@query
+def multipliers_held(d: Domain) -> DataFrame:
+    """Net prices under multipliers of which many lie outside the range."""
+    c = F.col
+    value = offer_value(F.lit(2000), F.lit(1.0), F.lit(0.0), F.lit(0), F.lit(0.0), multiplier=(c("l_quantity") - 20) * 5)
+    return d.table("lineitem").select("l_orderkey", "l_linenumber", value["total_points"].alias("points"), value["effective_price"].alias("net"))
+
+
+@query
+def coupon_fragments(d: Domain) -> DataFrame:
+    """Coupons that only a piece of JSON in the page names."""
+    kind = F.when(F.col("l_linenumber") % 2 == 0, F.lit("exact")).otherwise(F.lit("percentage"))
+    text = F.concat(F.lit('{"coupon": {"discount": '), F.col("l_quantity").cast("bigint"), F.lit(', "discountType": "'), kind, F.lit('"}}'))
+    found = X.page_coupon(F.array().cast("array<string>"), text)
+    return d.table("lineitem").select("l_orderkey", "l_linenumber", found["coupon_yen"].alias("yen"), found["coupon_percent"].alias("percent"))

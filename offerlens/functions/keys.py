@@ -68,7 +68,7 @@ def id_list(text, most: int = 20) -> Column:
     """Comma list → array of ids; NULL if an entry is no number, the list is empty
     or it is too long."""
     text = F.col(text) if isinstance(text, str) else text
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     ids = F.transform(parts, lambda p: p.try_cast("bigint"))
     good = (F.size(ids) >= 1) & (F.size(ids) <= most) & ~F.exists(ids, lambda i: i.isNull())
     return F.when(good, ids)

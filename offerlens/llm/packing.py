@@ -18,12 +18,16 @@ Null and empty texts hold the end id only. Repeated rows are packed each on its
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -125,40 +129,88 @@ def steps(windows: list[tuple[int, list[Piece]]], groups: int = STEP_GROUPS) ->
 
 
 class WordIds:
-    """Ids of texts by the tokenizers library. Words between white space never share
-    a token in such vocabularies, so each is encoded once and its ids are kept."""
+    """Ids of texts by the tokenizers library, for vocabularies whose tokens mark the
+    ends of words. A text is cut into words by the vocabulary's own pattern; words not
+    known yet go through the library, many in one text, and their ids are told apart
+    by the ends. So each word is encoded about once in a batch, not at each place."""
 
-    most = 400_000
+    most, step, chars = 1_000_000, 4_096, 4 << 20  # words kept (0.2 GB), words and characters at once
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._model = Tokenizer.from_file(path)
         self._model.no_truncation()
         self._model.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"]["end_of_word_suffix"]
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self._cut = regex.compile(pattern).findall
+        vocab = self._model.get_vocab()
+        self._ends = np.zeros(max(vocab.values()) + 1, bool)
+        self._ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self._known: dict[str, bytes] = {}
 
-    def _encode(self, batch: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._model.encode_batch(batch, add_special_tokens=False)]
-
-    def batch(self, batch: list[str]) -> list[bytes]:
-        # Special tokens and separators that only Python knows need the whole text.
-        whole = [i for i, t in enumerate(batch) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        cut = {i: t.split() for i, t in enumerate(batch)}
-        for i in whole:
-            del cut[i]
+    def _encode(self, batch: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self._model.encode_batch_fast(batch, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        for start in range(0, len(new), self.step):
+            part = new[start : start + self.step]
+            ids = self._encode([" ".join(part)])[0]
+            stops = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
+            if len(stops) != len(part):
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            flat = ids.tobytes()
+            self._known.update(zip(part, (flat[a:b] for a, b in zip([0, *stops], stops))))
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Special tokens, separators that only Python knows, and letters whose lower
+        case hangs on what stands around them need the whole text."""
+        return not ("<|" in text or "\u03a3" in text or "\u0130" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"))
+
+    def _words(self, chunk: str) -> list[str]:
+        """The words of a run without white space; most are letters and a stop."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self._cut(chunk)
+
+    def _part(self, batch: list[str]) -> list[bytes]:
+        out: dict[int, bytes] = {}
+        cut: dict[int, list[str]] = {}
+        for i, text in enumerate(batch):
+            if self._plain(text):
+                cut[i] = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
+            else:
+                out[i] = self._encode([text])[0].tobytes()
+        words = {c: self._words(c) for c in set().union(*cut.values())}
+        needed = {w for ws in words.values() for w in ws}
         if len(self._known) > self.most:
-            self._known.clear()
-        new = [w for w in set().union(*cut.values()) if w not in self._known]
-        self._known.update(zip(new, self._encode(new)))
+            self._known = {w: self._known[w] for w in needed & self._known.keys()}
+        self._learn(list(needed - self._known.keys()))
         known = self._known.__getitem__
-        out = {i: b"".join(map(known, ws)) for i, ws in cut.items()}
-        out |= dict(zip(whole, self._encode([batch[i] for i in whole])))
+        ids = {c: known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws)) for c, ws in words.items()}
+        for i, chunks in cut.items():
+            out[i] = b"".join(map(ids.__getitem__, chunks))
         return [out[i] for i in range(len(batch))]
 
+    def batch(self, batch: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        part: list[str] = []
+        held = 0
+        for text in batch:
+            part.append(text)
+            held += len(text)
+            if held >= self.chars:
+                out += self._part(part)
+                part, held = [], 0
+        return out + self._part(part)
+
 
 _MODELS: dict[str, WordIds] = {}
 

@@ -104,8 +104,9 @@ def _hashed(classes: DataFrame, tables: int, probes: int, scale: float) -> DataF
     return classes.select("cls", "label", "embedding").mapInArrow(run, "cls long, cells array<long>")
 
 
-def _block(rows: list[tuple], width: int, cosine: float) -> tuple[list[tuple], list[tuple]]:
-    """Link counts and connecting edges of one pair of chunks of a cell."""
+def _block(rows: list[tuple], within: bool, width: int, cosine: float) -> tuple[list[tuple], list[tuple]]:
+    """Link counts and connecting edges of one pair of chunks of a cell, or of one chunk
+    with itself."""
     home = np.array([r[0] for r in rows])
     side = np.array([r[1] for r in rows])
     cls = np.array([r[2] for r in rows], np.int64)
@@ -116,8 +117,10 @@ def _block(rows: list[tuple], width: int, cosine: float) -> tuple[list[tuple], l
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     seen = np.array([r[6] for r in rows], np.int64).reshape(len(rows), -1, width)
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if len(two) == 0:
+    if within:
         two = one
+    if not len(one) or not len(two):  # a chunk may be empty
+        return [], []
     linked = x[one] @ x[two].T >= cosine
     i, j = np.nonzero(linked)
     i, j = one[i], two[j]
@@ -168,7 +171,7 @@ def _compared(blocks: DataFrame, width: int, cosine: float) -> DataFrame:
 
         def close() -> None:
             if len(held) > 1:
-                counts, edges = _block(held, width, cosine)
+                counts, edges = _block(held, at[1] == at[2], width, cosine)
                 out.extend((0, c, n) for c, n in counts)
                 out.extend((1, a, b) for a, b in edges)
             held.clear()

@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "search_price_asc", "search_keyset_page", "search_filters", "search_count", "jan_cheapest_all", "jan_ranked_all",
+    "search_price_asc", "search_far_page", "search_keyset_page", "search_filters", "search_count", "jan_cheapest_all", "jan_ranked_all",
     "product_detail_nested", "snapshot_latest", "daily_history", "change_log", "snapshot_upsert", "priced_history_changes",
     "merge_items_fold", "ranking_live", "ranking_daily_all", "price_slices", "retention_items", "new_jobs_anti", "quality_fill",
     "quality_required", "url_canonical", "api_ingest", "list_ingest", "detail_ingest", "browse_ingest",

@@ -312,12 +312,12 @@ def similar_nodes(df: DataFrame, text: str, words: int, percent: int, doubled: f
     known = durable(_overlaps(pairs, sets, words))
     links = known.filter(_similar(percent)).select("a", "b")
     tree = durable(roots(links))
-    measured = lists.drop("pivot_size_at")
+    measured = lists.drop("pivot_size_at", "salt")
     # What a pivot didn't join tries members of its list's main component, another one in
     # each list, and one another; most of a group of near copies is joined then.
     sketches = sets.drop("blob")
     for turn in range(TURNS):
-        rest = durable(_still_apart(measured, tree).join(sketches, "node"))
+        rest = durable(_still_apart(measured, tree, percent).join(sketches, "node"))
         drawn = F.xxhash64(F.lit(turn), "token", "node")
         one = F.struct("node", "size_at", *ODD)
         tries = rest.groupBy("token").agg(
@@ -335,7 +335,7 @@ def similar_nodes(df: DataFrame, text: str, words: int, percent: int, doubled: f
     # All that is left: lists' side sets against their main component and one another.
     # Every set of such a list is measured against one head, so that the distances tell
     # which of two sets can't be similar, also where whole groups share a list.
-    rest = _still_apart(measured, tree).drop("pivot")
+    rest = _still_apart(measured, tree, percent).drop("pivot")
     heads = rest.groupBy("token").agg(F.min_by("node", F.struct(F.col("comp") != F.col("main"), "node")).alias("pivot"))
     rest = durable(rest.join(heads, "token").join(sketches, "node"))
     new = durable(_overlaps(durable(_unseen(rest.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), known)), sets, words))
@@ -361,14 +361,19 @@ def similar_nodes(df: DataFrame, text: str, words: int, percent: int, doubled: f
     return roots(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links).union(late))
 
 
-def _still_apart(lists: DataFrame, tree: DataFrame) -> DataFrame:
+def _still_apart(lists: DataFrame, tree: DataFrame, percent: int) -> DataFrame:
     """Rows of lists that hold several components and more than two sets, with their
-    component and the list's main one, that of its first pivot."""
-    named = lists.join(tree.select("node", F.col("root")), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    component and the list's main one, that of its first pivot. Sets that are in fewer
+    of these lists than similar ones share go: two sets alone in a list are compared
+    already, so a pair that isn't meets in all the lists it shares here."""
+    named = lists.join(tree.select("node", "root"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     per_list = named.groupBy("token").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.min_by("comp", F.struct(F.col("node") != F.col("pivot"), "node")).alias("main")
     ).filter("lo <> hi and c > 2").select("token", "main")
-    return named.join(per_list, "token")
+    rows = named.join(per_list, "token")
+    must = F.least(F.lit(SHARED), F.ceil(percent * F.shiftrightunsigned("size_at", 32) / 100))
+    often = rows.groupBy("node").agg(F.count("*").alias("in"), F.min(must).alias("must")).filter(F.col("in") >= F.col("must")).select("node")
+    return rows.join(often, "node", "left_semi")
 
 
 def _distances(known: DataFrame) -> DataFrame:

@@ -19,13 +19,16 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = BATCH_BYTES) ->
             yield batch.slice(start, rows)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, most_bytes: int = BATCH_BYTES
+) -> DataFrame:
     """Apply a function of one batch to all rows. ``make`` runs once in each task
-    and returns that function, so that models and caches are set up there."""
+    and returns that function, so that models and caches are set up there. Rows of
+    many nested numbers, which Python holds as objects, need smaller batches."""
 
     def run(batches):
         apply = make()
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes):
             yield apply(batch)
 
     return df.mapInArrow(run, schema)

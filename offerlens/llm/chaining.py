@@ -36,6 +36,7 @@ MARGIN = 64  # words beyond a chain that alignment may look at
 LEAST, PIECE = 50, 20  # words of a reported run, and of a passage within it
 GAP = 0.1  # cost of a skipped word on either side, in matched words
 IDENTITY = 0.8
+NESTED = 2 << 20  # bytes of a batch of nested numbers
 
 
 def seeds(text: bytes, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +242,7 @@ def _chained(matches: DataFrame) -> DataFrame:
 
         return apply
 
-    return map_batches(grouped, make, "doc long, other long, chains array<array<int>>")
+    return map_batches(grouped, make, "doc long, other long, chains array<array<int>>", NESTED)
 
 
 def _with_held(chained: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -268,7 +269,7 @@ def _with_held(chained: DataFrame, blobs: DataFrame) -> DataFrame:
 
         return apply
 
-    return map_batches(both, make, "doc long, other long, from int, chain array<int>, held binary")
+    return map_batches(both, make, "doc long, other long, from int, chain array<int>, held binary", NESTED)
 
 
 def _aligned(chained: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -293,7 +294,7 @@ def _aligned(chained: DataFrame, blobs: DataFrame) -> DataFrame:
 
         return apply
 
-    return map_batches(both, make, "doc long, start int, stop int, other long, other_start int, other_stop int, equal int")
+    return map_batches(both, make, "doc long, start int, stop int, other long, other_start int, other_stop int, equal int", NESTED)
 
 
 def _long_runs(aligned: DataFrame) -> DataFrame:
@@ -309,7 +310,7 @@ def _long_runs(aligned: DataFrame) -> DataFrame:
 
         return apply
 
-    return map_batches(grouped, make, f"doc long, spans {_SPANS}").filter(F.size("spans") > 0)
+    return map_batches(grouped, make, f"doc long, spans {_SPANS}", NESTED).filter(F.size("spans") > 0)
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

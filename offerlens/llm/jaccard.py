@@ -315,18 +315,21 @@ def similar_nodes(df: DataFrame, text: str, words: int, percent: int, doubled: f
     measured = lists.drop("pivot_size_at", "salt")
     # What a pivot didn't join tries members of its list's main component, another one in
     # each list, and one another; most of a group of near copies is joined then.
-    sketches = sets.drop("blob")
+    sketches = durable(sets.drop("blob"))
     for turn in range(TURNS):
-        rest = durable(_still_apart(measured, tree, percent).join(sketches, "node"))
-        drawn = F.xxhash64(F.lit(turn), "token", "node")
-        one = F.struct("node", "size_at", *ODD)
+        rest = durable(_still_apart(measured, tree, percent))
+        drawn, main = F.xxhash64(F.lit(turn), "token", "node"), F.col("comp") == F.col("main")
+        one = F.struct("node", "size_at")
         tries = rest.groupBy("token").agg(
-            F.min_by(F.when(F.col("comp") == F.col("main"), one), F.when(F.col("comp") == F.col("main"), drawn)).alias("m"),
-            F.min_by(F.when(F.col("comp") != F.col("main"), one), F.when(F.col("comp") != F.col("main"), drawn)).alias("s"),
-        ).select("token", F.explode(F.array("m", "s")).alias("t")).select("token", F.col("t.node").alias("to"), F.col("t.size_at").alias("to_size_at"), *[F.col(f"t.{c}").alias(f"to_{c}") for c in ODD])
+            F.min_by(F.when(main, one), F.when(main, drawn)).alias("m"), F.min_by(F.when(~main, one), F.when(~main, drawn)).alias("s")
+        ).select("token", F.explode(F.array("m", "s")).alias("t")).select("token", F.col("t.node").alias("to"), F.col("t.size_at").alias("to_size_at"))
         found = rest.filter("comp <> main").join(tries, "token").filter("node <> to").filter(_fits("size_at", "to_size_at", percent))
-        found = found.filter(_may_differ("", "to_", "size_at", "to_size_at", percent))
         fresh = _unseen(found.select(F.col("node").alias("a"), F.col("to").alias("b")), known)
+        sizes = rest.groupBy("node").agg(F.min("size_at").alias("size_at"))
+        for k in ("a", "b"):  # sketches come to the distinct pairs, not to the lists' rows
+            own = sketches.join(sizes, "node").select(F.col("node").alias(k), F.col("size_at").alias(f"{k}_size_at"), *[F.col(c).alias(f"{k}_{c}") for c in ODD])
+            fresh = fresh.join(own, k)
+        fresh = fresh.filter(_may_differ("a_", "b_", "a_size_at", "b_size_at", percent)).select("a", "b")
         new = durable(_overlaps(durable(fresh), sets, words))
         known = durable(known.union(new))
         links = new.filter(_similar(percent)).select("a", "b").union(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -337,11 +340,12 @@ def similar_nodes(df: DataFrame, text: str, words: int, percent: int, doubled: f
     # which of two sets can't be similar, also where whole groups share a list.
     rest = _still_apart(measured, tree, percent).drop("pivot")
     heads = rest.groupBy("token").agg(F.min_by("node", F.struct(F.col("comp") != F.col("main"), "node")).alias("pivot"))
-    rest = durable(rest.join(heads, "token").join(sketches, "node"))
+    rest = durable(rest.join(heads, "token"))
     new = durable(_overlaps(durable(_unseen(rest.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), known)), sets, words))
     known = durable(known.union(new))
     rest = rest.withColumns({"a": F.greatest("node", "pivot"), "b": F.least("node", "pivot")}).join(_distances(known), ["a", "b"], "left").drop("a", "b")
-    rest = durable(rest.withColumn("far", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far"))))
+    rest = rest.withColumn("far", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
+    rest = durable(rest.select("token", "node", "size_at", "comp", "main", "far").join(sketches, "node"))
     links = new.filter(_similar(percent)).select("a", "b")
     side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("node", "size_at", "comp", "far", *ODD)]
     x = rest.filter("comp <> main").select("token", *side("x"))

@@ -92,7 +92,7 @@ def _each_set(df: DataFrame, text: str, words: int, doubled: frozenset[int], tak
                     one, two = _halves(hashes)
                     node = two if one in doubled else one
                     if node not in met:
-                        if len(met) < 1_000_000:
+                        if len(met) < 200_000:
                             met.add(node)
                         gather(node, hashes, raw)
             return pa.RecordBatch.from_arrays(columns(), names)

@@ -82,7 +82,7 @@ _LOG = np.log1p(np.arange(1 << 16)).astype(np.float32)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = zlib.crc32(word)
         return value

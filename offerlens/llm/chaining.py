@@ -9,6 +9,7 @@
    matched less a cost for the gap.
 4. Chains are aligned word by word between their matches and beyond their ends, which
    gives exact borders and the share of equal words, so edited passages are found too.
+   Chains also join passages across foreign text; they are taken apart there.
 5. A run of aligned passages that covers at least ``LEAST`` words of a text in a row is
    reported, with each passage's first holder.
 
@@ -36,6 +37,7 @@ MARGIN = 64  # words beyond a chain that alignment may look at
 LEAST, PIECE = 50, 20  # words of a reported run, and of a passage within it
 GAP = 0.1  # cost of a skipped word on either side, in matched words
 IDENTITY = 0.8
+WIDE = 20  # a chain may be taken apart between matches with more unequal words than that
 NESTED = 2 << 20  # bytes of a batch of nested numbers
 
 
@@ -145,14 +147,42 @@ def _gap_equal(a: list[bytes], b: list[bytes]) -> int:
     return row[-1]
 
 
-def _extend(a: list[bytes], b: list[bytes], i: int, j: int, step: int) -> tuple[int, int, int]:
+def _common(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """The places of what ``_gap_equal`` counts."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) > 10_000:
+        shift = len(b) - len(a)
+        ahead = [(i, i) for i in range(min(len(a), len(b))) if a[i] == b[i]]
+        back = [(i, i + shift) for i in range(max(0, -shift), len(a)) if a[i] == b[i + shift]]
+        return max(ahead, back, key=len)
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        row, above = [0], rows[-1]
+        for j, y in enumerate(b, 1):
+            row.append(above[j - 1] + 1 if x == y else max(above[j], row[j - 1]))
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif rows[i - 1][j] >= rows[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def _extend(a: list[bytes], b: list[bytes], i: int, j: int, step: int) -> list[tuple[int, int]]:
     """Go on from the words i, j that are equal; a changed, added or lost word is passed
-    where at least three equal words follow. Returns the last pair and words gained."""
-    gained = 0
+    where at least three equal words follow. Returns the pairs of equal words gained."""
+    gained: list[tuple[int, int]] = []
     while True:
         i2, j2 = i + step, j + step
         if 0 <= i2 < len(a) and 0 <= j2 < len(b) and a[i2] == b[j2]:
-            i, j, gained = i2, j2, gained + 1
+            i, j = i2, j2
+            gained.append((i, j))
             continue
         for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2)):
             x, y = i2 + di * step, j2 + dj * step
@@ -160,29 +190,144 @@ def _extend(a: list[bytes], b: list[bytes], i: int, j: int, step: int) -> tuple[
             while run < 3 and 0 <= x + run * step < len(a) and 0 <= y + run * step < len(b) and a[x + run * step] == b[y + run * step]:
                 run += 1
             if run == 3:
-                i, j, gained = x, y, gained + 1
+                i, j = x, y
+                gained.append((i, j))
                 break
         else:
-            return i, j, gained
+            return gained
+
 
+def _runs(chain: list[tuple[int, int]], k: int) -> list[list[int]]:
+    """A chain's runs of equal words (place in ``a``, place in ``b``, words), apart."""
+    out = [[*chain[0], k]]
+    for x, y in chain[1:]:
+        i, j, n = out[-1]
+        if x < i + n or y < j + n:
+            if x - y == i - j and x + k > i + n:  # overlaps on the same diagonal
+                out[-1][2] = x + k - i
+        else:
+            out.append([x, y, k])
+    return out
 
-def align(a: list[bytes], b: list[bytes], chain: list[tuple[int, int]], k: int = K) -> tuple[int, int, int, int, int]:
+
+Passage = tuple[int, int, int, int, int]
+
+
+class Alignment:
+    """A chain's runs of equal words with what is equal between them."""
+
+    def __init__(self, a: list[bytes], b: list[bytes], chain: list[tuple[int, int]], k: int = K):
+        self.a, self.b, self.runs = a, b, _runs(chain, k)
+        self.wide: list[tuple[int, int]] = []  # unequal words, run before them
+        self.equal = [0, self.runs[0][2]]  # in the runs before, with the gaps between them
+        for at, ((i, j, n), (x, y, m)) in enumerate(zip(self.runs, self.runs[1:])):
+            same = _gap_equal(a[i + n : x], b[j + n : y])
+            apart = max(x - i - n, y - j - n) - same
+            if apart > WIDE and apart > same:
+                self.wide.append((apart, at))
+            self.equal.append(self.equal[-1] + same + m)
+        self._gained: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def _beyond(self, run: int, step: int) -> list[tuple[int, int]]:
+        """Equal words from one end of a run on."""
+        if (run, step) not in self._gained:
+            i, j, n = self.runs[run]
+            last = n - 1 if step > 0 else 0
+            self._gained[run, step] = _extend(self.a, self.b, i + last, j + last, step)
+        return self._gained[run, step]
+
+    def whole(self, first: int, last: int) -> Passage:
+        """Runs ``first`` to ``last`` as one passage."""
+        ahead, beyond = self._beyond(first, -1), self._beyond(last, 1)
+        start, other = ahead[-1] if ahead else self.runs[first][:2]
+        i, j, n = self.runs[last]
+        stop, other_stop = beyond[-1] if beyond else (i + n - 1, j + n - 1)
+        gap = self.equal[first + 1] - self.runs[first][2]  # all before the first run
+        return start, stop + 1, other, other_stop + 1, self.equal[last + 1] - gap + len(ahead) + len(beyond)
+
+    def parts(self) -> list[Passage]:
+        """Passages of equal words enough. The chain is parted at the widest gap as long
+        as it holds too few, and where two passages that are long enough each are joined
+        only by words that are mostly unequal. What is too unequal without such a gap is
+        narrowed to its dense stretches."""
+        out: list[Passage] = []
+        todo = [(0, len(self.runs) - 1, sorted(self.wide, reverse=True))]
+        while todo:
+            first, last, wide = todo.pop()
+            found = self.whole(first, last)
+            enough = _alike(found)
+            cuts = wide
+            if enough:
+                cuts = [(u, at) for u, at in wide if sum(self.runs[at][::2]) - found[0] >= LEAST and found[1] - self.runs[at + 1][0] >= LEAST]
+            if cuts:
+                at = cuts[0][1]
+                todo.append((first, at, [w for w in wide if w[1] < at]))
+                todo.append((at + 1, last, [w for w in wide if w[1] > at]))
+            elif enough:
+                out.append(found)
+            else:
+                out += dense(self._pairs(first, last))
+        return sorted(out)
+
+    def _pairs(self, first: int, last: int) -> list[tuple[int, int]]:
+        out = self._beyond(first, -1)[::-1]
+        for at in range(first, last + 1):
+            i, j, n = self.runs[at]
+            out += [(i + d, j + d) for d in range(n)]
+            if at < last:
+                x, y, _ = self.runs[at + 1]
+                out += [(i + n + c, j + n + d) for c, d in _common(self.a[i + n : x], self.b[j + n : y])]
+        return out + self._beyond(last, 1)
+
+
+def _alike(p: Passage) -> bool:
+    return p[4] >= IDENTITY * max(p[1] - p[0], p[3] - p[2])
+
+
+def dense(pairs: list[tuple[int, int]]) -> list[Passage]:
+    """Maximal stretches of an alignment that hold equal words enough: segments of
+    greatest sum where an equal word gains what keeps ``IDENTITY`` with an unequal one,
+    then over short edits beyond their ends as far as they stay alike."""
+    cost = IDENTITY / (1 - IDENTITY)
+    apart = [0] + [max(x - i, y - j) - 1 for (i, j), (x, y) in zip(pairs, pairs[1:])]
+    held: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
+    done: list[tuple[int, int]] = []
+    total = 0.0
+    for at, gap in enumerate(apart):
+        total -= cost * gap
+        first, low, total = at, total, total + 1
+        while True:
+            k = len(held) - 1
+            while k >= 0 and held[k][2] >= low:
+                k -= 1
+            if k < 0:
+                done += [h[:2] for h in held]
+                held = [(first, at, low, total)]
+                break
+            if held[k][3] >= total:
+                held.append((first, at, low, total))
+                break
+            first, low = held[k][0], held[k][2]
+            del held[k:]
+    done += [h[:2] for h in held]
+    passage = lambda f, t: (pairs[f][0], pairs[t][0] + 1, pairs[f][1], pairs[t][1] + 1, t - f + 1)
+    out = []
+    for at, (first, last) in enumerate(done):
+        low = done[at - 1][1] + 1 if at else 0
+        high = done[at + 1][0] - 1 if at + 1 < len(done) else len(pairs) - 1
+        while first > low and apart[first] <= 2 and _alike(passage(first - 1, last)):
+            first -= 1
+        while last < high and apart[last + 1] <= 2 and _alike(passage(first, last + 1)):
+            last += 1
+        out.append(passage(first, last))
+    return out
+
+
+def align(a: list[bytes], b: list[bytes], chain: list[tuple[int, int]], k: int = K) -> Passage:
     """Borders (start, end in ``a``; start, end in ``b``; ends exclusive) and the number
     of equal words of a chain."""
-    i, j = chain[0]
-    first_i, first_j, gained = _extend(a, b, i, j, -1)
-    equal = gained
-    done_i, done_j = i, j  # all before these is aligned
-    for x, y in chain:
-        if x < done_i or y < done_j:
-            if x - y == done_i - done_j and x + k > done_i:  # overlaps on the same diagonal
-                equal += x + k - done_i
-                done_i, done_j = x + k, y + k
-            continue
-        equal += _gap_equal(a[done_i:x], b[done_j:y]) + k
-        done_i, done_j = x + k, y + k
-    last_i, last_j, gained = _extend(a, b, done_i - 1, done_j - 1, 1)
-    return first_i, last_i + 1, first_j, last_j + 1, equal + gained
+    found = Alignment(a, b, chain, k)
+    return found.whole(0, len(found.runs) - 1)
 
 
 def _packed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -285,9 +430,10 @@ def _aligned(chained: DataFrame, blobs: DataFrame) -> DataFrame:
             for doc, other, start, flat, held, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if last[0] != blob:
                     last = (blob, words(opened(blob)))
-                s, e, t, f, equal = align(last[1], opened(held).split(), [(x, y - start) for x, y in zip(flat[::2], flat[1::2])])
-                if e - s >= PIECE and equal >= IDENTITY * max(e - s, f - t):
-                    out.append((doc, s, e, other, t + start, f + start, equal))
+                chain = [(x, y - start) for x, y in zip(flat[::2], flat[1::2])]
+                for s, e, t, f, equal in Alignment(last[1], opened(held).split(), chain).parts():
+                    if e - s >= PIECE:
+                        out.append((doc, s, e, other, t + start, f + start, equal))
             columns = list(zip(*out)) or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)

@@ -156,3 +156,35 @@ def test_entities_in_texts():
 ])
 def test_main_text(page, want):
     assert tree_extract.main_text(page) == want
+
+
+@pytest.mark.parametrize("size,between", [(60, 40), (60, 60), (60, 150), (100, 100), (200, 90), (200, 150), (200, 300)])
+def test_passages_around_own_words_are_found_apart(size, between):
+    rng = random.Random(size + between)
+    fresh = lambda n: [b"%x" % rng.randrange(10**12) for _ in range(n)]
+    one, two = fresh(size), fresh(size)
+    own = fresh(30) + one + fresh(between) + two + fresh(30)
+    held = fresh(10) + one + fresh(between) + two + fresh(10)
+    matches = [(30 + at, 10 + at) for start in (0, size + between) for at in range(start, start + size - chaining.K, 9)]
+    got = sorted(p for c in chaining.chains(matches) for p in chaining.Alignment(own, held, c).parts())
+    rest = 30 + size + between
+    assert got == [(30, 30 + size, 10, 10 + size, size), (rest, rest + size, rest - 20, rest - 20 + size, size)]
+
+
+@pytest.mark.parametrize("inserted,want", [(100, [(5, 65), (165, 225)]), (3, [(5, 128)])])
+def test_words_put_into_a_passage(inserted, want):
+    core = [b"w%d" % i for i in range(120)]
+    own = [b"x"] * 5 + core[:60] + [b"new%d" % i for i in range(inserted)] + core[60:]
+    chain = [(5 + at + (at >= 60) * inserted, at) for at in (0, 20, 40, 54, 60, 80, 110)]
+    for a, b, links in ((own, core, chain), (core, own, [(y, x) for x, y in chain])):
+        got = chaining.Alignment(a, b, links).parts()
+        assert [p[:2] if a is own else p[2:4] for p in got] == want and sum(p[4] for p in got) == 120
+
+
+def test_exact_words_beside_heavy_edits():
+    rng = random.Random(2)
+    core = [b"%x" % rng.randrange(10**12) for _ in range(260)]
+    edited = [b"new%d" % i if i >= 60 and i % 4 == 0 else w for i, w in enumerate(core)]
+    for a, b, chain in ((edited, core, [(0, 0), (50, 50)]), (edited[::-1], core[::-1], [(204, 204), (254, 254)])):
+        (start, stop, *_, equal), *more = [p for p in chaining.Alignment(a, b, chain).parts() if p[1] - p[0] >= 50]
+        assert not more and equal >= 60 and equal >= chaining.IDENTITY * (stop - start) and (start == 0 or stop == 260)

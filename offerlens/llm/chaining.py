@@ -175,8 +175,8 @@ def _common(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
 
 
 def _extend(a: list[bytes], b: list[bytes], i: int, j: int, step: int) -> list[tuple[int, int]]:
-    """Go on from the words i, j that are equal; a changed, added or lost word is passed
-    where at least three equal words follow. Returns the pairs of equal words gained."""
+    """Go on from the words i, j that are equal; up to four changed words, an added or a
+    lost one are passed where at least three equal words follow. Returns the pairs of equal words gained."""
     gained: list[tuple[int, int]] = []
     while True:
         i2, j2 = i + step, j + step
@@ -184,7 +184,7 @@ def _extend(a: list[bytes], b: list[bytes], i: int, j: int, step: int) -> list[t
             i, j = i2, j2
             gained.append((i, j))
             continue
-        for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2)):
+        for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2), (3, 3), (4, 4)):
             x, y = i2 + di * step, j2 + dj * step
             run = 0
             while run < 3 and 0 <= x + run * step < len(a) and 0 <= y + run * step < len(b) and a[x + run * step] == b[y + run * step]:
@@ -315,9 +315,9 @@ def dense(pairs: list[tuple[int, int]]) -> list[Passage]:
     for at, (first, last) in enumerate(done):
         low = done[at - 1][1] + 1 if at else 0
         high = done[at + 1][0] - 1 if at + 1 < len(done) else len(pairs) - 1
-        while first > low and apart[first] <= 2 and _alike(passage(first - 1, last)):
+        while first > low and apart[first] <= 4 and _alike(passage(first - 1, last)):
             first -= 1
-        while last < high and apart[last + 1] <= 2 and _alike(passage(first, last + 1)):
+        while last < high and apart[last + 1] <= 4 and _alike(passage(first, last + 1)):
             last += 1
         out.append(passage(first, last))
     return out
@@ -364,8 +364,8 @@ _SPANS = "array<struct<start:int,stop:int,other:long,other_start:int,other_stop:
 
 
 def _chained(matches: DataFrame) -> DataFrame:
-    """(doc, other, chains): the chains, long enough, of each text with one holder.
-    A text's matches are as many as its seeds, so one row holds them."""
+    """(doc, other, chains): the chains of each text with one holder. A text's
+    matches are as many as its seeds, so one row holds them."""
     grouped = matches.groupBy("doc").agg(F.collect_set(F.struct("other", "at", "other_at")).alias("m"))
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -375,14 +375,12 @@ def _chained(matches: DataFrame) -> DataFrame:
                 by: dict[int, list[tuple[int, int]]] = {}
                 for r in rows:
                     by.setdefault(r["other"], []).append((r["at"], r["other_at"]))
-                all_chains = [(c[0][0] - WINDOW, c[-1][0] + K + WINDOW, other, c) for other, pairs in by.items() for c in chains(pairs)]
-                kept: dict[int, list[list[int]]] = {}
-                for c in _in_runs(sorted(all_chains, key=lambda c: c[:3])):
-                    kept.setdefault(c[2], []).append([v for m in c[3] for v in m])
-                for other, own in kept.items():
+                for other, pairs in by.items():
+                    # Also lone seeds: only alignment tells how long a passage is whose
+                    # other words are edited too often for seeds.
                     docs.append(doc)
                     others.append(other)
-                    found.append(own)
+                    found.append([[v for m in c for v in m] for c in chains(pairs)])
             return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(others, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["doc", "other", "chains"])
 
         return apply

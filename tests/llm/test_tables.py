@@ -191,3 +191,16 @@ def test_pipeline_runs_its_stages(spark, tmp_path):
             assert docs.columns == names and docs.count() == docs.select("doc_id").distinct().count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard", "substring_dedup", "pii", "packing"]
     assert docs.count() == corpus_pipeline.run(spark, folder).count()
+
+
+def test_passages_that_share_a_lone_seed(docs_of):
+    rng = random.Random(12)
+    fresh = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n)]
+    texts, want = [], set()
+    for i in range(20):  # runs of 24 words hold a seed, those of 5 between edits none
+        passage = fresh(60)
+        edited = [f"new{k}" if k < 36 and k % 6 == 5 else w for k, w in enumerate(passage)]
+        texts += [" ".join(fresh(70) + passage + fresh(70)), " ".join(fresh(70) + edited + fresh(70))]
+        want.add((2 * i + 1, 70, 130, 2 * i, 54))
+    got = {(r.doc_id, r.start_word, r.end_word, r.first_doc_id, r.equal_words) for r in chaining.repeated_passages(docs_of(texts)).collect()}
+    assert got == want

@@ -4,8 +4,9 @@ Entities are e-mail and IPv4 addresses, phone, card and social security numbers,
 accounts, names after a form of address, and secrets. Each is brought into a normal
 form, so that spellings of one entity share a surrogate, and is drawn anew by a keyed
 permutation of all values of its format: places of digits, cases, scripts, vowels and
-consonants, a name's last letter (which marks gender), a number's country code and
-check digit stay. A permutation maps different entities to different surrogates, in
+consonants, a name's last letter (which marks gender, and is drawn where nothing else
+can be), a number's country code and check digit stay. An entity whose format has no
+other value becomes keyed letters. A permutation maps different entities to different surrogates, in
 every text, without a table; it is built to have no fixed point. The draw is checked
 all the same: over all distinct entities of the input, surrogates that more than one
 entity shares are counted in a grouped aggregate, and any stops the job.
@@ -19,7 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,9 +50,11 @@ _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b
 # Forms of address by the gender they tell, or none.
 _TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f",
            "Sr": "m", "Sra": "f", "Dr": "", "Prof": "", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
+_WORD, _INITIAL = r"[^\W\d_]\w*(?:['’-]\w+)*", r"[^\W\d_]\."
 _NAME = re.compile(
-    r"\b(?:" + "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True)) + r")\.? (?P<v>[^\W\d_]\w*(?:['’-]\w+)*(?: [^\W\d_]\w*(?:['’-]\w+)*)?)"
+    r"\b(?:" + "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True)) + rf")\.? (?P<v>(?:{_INITIAL} ?)*{_WORD}(?:(?: {_INITIAL})* {_WORD})?)"
 )
+_NAME_WORD = re.compile(_WORD)
 _TITLE_SEEN = re.compile(r"\b(?:" + "|".join(map(re.escape, _TITLES)) + r")\b")
 _DIGIT = re.compile(r"\d")
 
@@ -73,11 +79,13 @@ def find(text: str) -> list[Span]:
                 add(m, kind)
     if _TITLE_SEEN.search(text):
         for m in _NAME.finditer(text):
-            words = m.group("v").split(" ")
-            named = [w for w in words if w[0].isupper()]
-            if words[0][0].isupper():
-                start = m.start("v")
-                found.append((start, start + len(" ".join(words[: len(named)])), "name"))
+            end = m.start("v")
+            for w in _NAME_WORD.finditer(text, *m.span("v")):
+                if not (w.group()[0].isupper() or unicodedata.category(w.group()[0]) == "Lo"):  # a script without capitals
+                    break
+                end = w.end()
+            if end > m.start("v"):
+                found.append((m.start("v"), end, "name"))
     out: list[Span] = []
     for start, end, kind in sorted(found, key=lambda s: (s[0], -s[1])):
         if not out or start >= out[-1][1]:
@@ -101,9 +109,28 @@ _TEXT_CLASSES = [_LOWER, _UPPER, _DIGITS, _LATIN, _LATIN.upper(), _CYRILLIC, _GR
 _OCTETS = [[str(i) for i in range(10)], [str(i) for i in range(10, 100)], [str(i) for i in range(100, 256)]]
 
 
+@cache
+def _scripts() -> dict[tuple[str, str, int], str]:
+    """Letters and digits of no class above by script (first word of their names),
+    category and block of 1024. Those that don't come back from capitals stay out."""
+    known = set("".join([*_NAME_CLASSES, *_TEXT_CLASSES]))
+    out: dict[tuple[str, str, int], list[str]] = {}
+    for ch in map(chr, range(0x80, sys.maxunicode + 1)):
+        if ch.isalnum() and ch not in known and ch.lower() == ch and ch.upper().lower() == ch and (name := unicodedata.name(ch, "")):
+            out.setdefault((name.split()[0].split("-")[0], unicodedata.category(ch), ord(ch) >> 10), []).append(ch)
+    return {k: "".join(v) for k, v in out.items()}
+
+
+def _of_script(ch: str) -> str:
+    if ch < "\x80" or not ch.isalnum():
+        return ch
+    found = _scripts().get((unicodedata.name(ch, " ").split(" ")[0].split("-")[0], unicodedata.category(ch), ord(ch) >> 10), ch)
+    return found if ch in found else ch
+
+
 def _by_class(value: str, classes: list[str]) -> list[str | list[str]]:
     """For each character the alphabet it is drawn from, or itself."""
-    return [next((c for c in classes if ch in c), ch) for ch in value]
+    return [next((c for c in classes if ch in c), None) or _of_script(ch) for ch in value]
 
 
 def normal(kind: str, spelled: str) -> str:
@@ -130,9 +157,10 @@ def _layout(kind: str, value: str, country: int = 0) -> list[str | list[str]]:
         return [*_by_class(local, _TEXT_CLASSES), "@", *_by_class(head, _TEXT_CLASSES), ".", *top]
     if kind == "name":
         places = _by_class(value, _NAME_CLASSES)
-        for i, ch in enumerate(value):  # a word's last letter marks gender and stays
-            if i + 1 == len(value) or value[i + 1] == " ":
-                places[i] = ch
+        for m in re.finditer(r"[^ .]+", value):
+            # A word's last letter marks gender and stays, unless it is all that can change.
+            if any(len(p) > 1 for p in places[m.start() : m.end() - 1]):
+                places[m.end() - 1] = value[m.end() - 1]
         return places
     if kind == "phone":
         kept = len(value) - 10 if value.startswith("+") and len(value) > 11 else 2 if value.startswith("+") else 0
@@ -195,8 +223,10 @@ class Surrogates:
         size = 1
         for p in places:
             size *= len(p)
-        if size < 2:
-            return value
+        if size < 2:  # no other value looks like it: letters, too many to meet another draw
+            drawn = hashlib.blake2b(repr((kind, value)).encode(), key=self._key, digest_size=16).digest()
+            made = "".join(_LOWER[b % 26] for b in drawn)
+            return made + "@" + made + ".example" if kind == "email" else made
         tweak = hashlib.blake2b(repr((kind, layout)).encode(), digest_size=16).digest()
         parts = value.split(".") if kind == "ipv4" else list(value)
         number, at = 0, 0

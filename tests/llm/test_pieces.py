@@ -188,3 +188,23 @@ def test_exact_words_beside_heavy_edits():
     for a, b, chain in ((edited, core, [(0, 0), (50, 50)]), (edited[::-1], core[::-1], [(204, 204), (254, 254)])):
         (start, stop, *_, equal), *more = [p for p in chaining.Alignment(a, b, chain).parts() if p[1] - p[0] >= 50]
         assert not more and equal >= 60 and equal >= chaining.IDENTITY * (stop - start) and (start == 0 or stop == 260)
+
+
+@pytest.mark.parametrize("kind,values", [
+    ("name", ["j", "k", "a", "e", "j. smith", "j. r. smith", "k. smith", "ж", "张", "伟", "张伟", "ªa", "ªb"]),
+    ("email", ["张@例子.公司", "李@例子.公司", "é@ñ.ö", "٣@١.com", "ｘ@例.例", "+@ⅷ.a"]),
+])
+def test_formats_of_few_values_get_surrogates(kind, values):
+    draw = surrogates.Surrogates(b"k")
+    made = [draw.of(kind, v) for v in values]
+    assert len(set(made)) == len(values) and all(a != b for a, b in zip(made, values)) and made == [surrogates.Surrogates(b"k").of(kind, v) for v in values]
+
+
+@pytest.mark.parametrize("text,found", [
+    ("Mr. J. Smith came", ["J. Smith"]), ("Mrs. J. R. Smith.", ["J. R. Smith"]), ("Dr. A", ["A"]), ("Dr. John R. Smith, here", ["John R. Smith"]),
+    ("Dr. 张伟 came", ["张伟"]), ("Mr. Smith went", ["Smith"]), ("Mr. Smith. The end", ["Smith"]), ("Miss universe", []),
+])
+def test_initials_belong_to_names(text, found):
+    assert [text[s:e] for s, e, _ in surrogates.find(text)] == found
+    got, _ = surrogates.Surrogates(b"k").replace(text)
+    assert all(w not in re.findall(r"\w+", got) for f in found for w in re.findall(r"\w+", f))

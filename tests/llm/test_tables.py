@@ -204,3 +204,9 @@ def test_passages_that_share_a_lone_seed(docs_of):
         want.add((2 * i + 1, 70, 130, 2 * i, 54))
     got = {(r.doc_id, r.start_word, r.end_word, r.first_doc_id, r.equal_words) for r in chaining.repeated_passages(docs_of(texts)).collect()}
     assert got == want
+
+
+def test_one_short_name_leaves_the_table(docs_of):
+    texts = ["Mr. J. Smith", "Dr. A", "Dr. J", "to 张@例子.公司", "clean"]
+    out = {r.doc_id: r.text for r in surrogates.pseudonymize(docs_of(texts)).collect()}
+    assert len(out) == 5 and out[4] == "clean" and all(out[i] != texts[i] for i in range(4)) and "Smith" not in out[0] and "张" not in out[3]

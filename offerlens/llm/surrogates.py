@@ -11,6 +11,9 @@ every text, without a table; it is built to have no fixed point. The draw is che
 all the same: over all distinct entities of the input, surrogates that more than one
 entity shares are counted in a grouped aggregate, and any stops the job.
 
+Each word of a name is drawn by itself, and words of a found name are replaced wherever
+the same text has them with a capital: mentions of one person stay together.
+
 The surrogate takes the spelling (cases, separators) of the place it goes to. Texts
 without entities, null and empty texts stay as they are. Whole texts are read;
 repeated rows get equal surrogates.
@@ -47,14 +50,15 @@ _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _PHONE = re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)")
 _CARD = re.compile(r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
-# Forms of address by the gender they tell, or none.
+# Forms of address by the gender they tell, or none. They stay in place; what
+# is drawn doesn't depend on them, as a name keeps one surrogate under every title.
 _TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f",
            "Sr": "m", "Sra": "f", "Dr": "", "Prof": "", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 _WORD, _INITIAL = r"[^\W\d_]\w*(?:['’-]\w+)*", r"[^\W\d_]\."
 _NAME = re.compile(
     r"\b(?:" + "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True)) + rf")\.? (?P<v>(?:{_INITIAL} ?)*{_WORD}(?:(?: {_INITIAL})* {_WORD})?)"
 )
-_NAME_WORD = re.compile(_WORD)
+_NAME_WORD, _NAME_PART, _POSSESSIVE = re.compile(_WORD), re.compile(r"[^ .]+"), re.compile(r"['’]s$")
 _TITLE_SEEN = re.compile(r"\b(?:" + "|".join(map(re.escape, _TITLES)) + r")\b")
 _DIGIT = re.compile(r"\d")
 
@@ -84,8 +88,10 @@ def find(text: str) -> list[Span]:
                 if not (w.group()[0].isupper() or unicodedata.category(w.group()[0]) == "Lo"):  # a script without capitals
                     break
                 end = w.end()
+            end = m.start("v") + len(_POSSESSIVE.sub("", text[m.start("v") : end]))
             if end > m.start("v"):
                 found.append((m.start("v"), end, "name"))
+        found += _mentions(text, {w for s, e, kind in found if kind == "name" for w in _NAME_PART.findall(text[s:e]) if len(w) > 1})
     out: list[Span] = []
     for start, end, kind in sorted(found, key=lambda s: (s[0], -s[1])):
         if not out or start >= out[-1][1]:
@@ -93,6 +99,24 @@ def find(text: str) -> list[Span]:
     return out
 
 
+def _mentions(text: str, parts: set[str]) -> list[Span]:
+    """Where the text has words of its found names, also in capitals."""
+    out: list[Span] = []
+    known = parts | {w.upper() for w in parts}
+    for m in _NAME_WORD.finditer(text) if parts else ():
+        word = _POSSESSIVE.sub("", m.group())
+        if word in known:
+            spans = [(m.start(), m.start() + len(word))]
+        else:
+            spans = [w.span() for w in re.finditer(r"\w+", text[m.start() : m.end()]) if w.group() in known] if len(word) > 1 else []
+            spans = [(m.start() + s, m.start() + e) for s, e in spans]
+        for start, end in spans:
+            if out and text[out[-1][1] : start] == " ":
+                start = out.pop()[0]
+            out.append((start, end, "name"))
+    return out
+
+
 # Formats -----------------------------------------------------------------------
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _LATIN = "".join(chr(c) for c in range(0xE0, 0x100) if c != 0xF7)
@@ -144,6 +168,12 @@ def normal(kind: str, spelled: str) -> str:
     return spelled.replace(" ", "") if kind == "iban" else spelled
 
 
+def parts(kind: str, value: str) -> list[str]:
+    """What is drawn by itself of a value in normal form: each word of a name, so that a
+    surname is the same with and without a given name."""
+    return _NAME_PART.findall(value) if kind == "name" else [value]
+
+
 def _layout(kind: str, value: str, country: int = 0) -> list[str | list[str]]:
     """The value as places, each with its alphabet; one string alone stays."""
     if kind == "ipv4":
@@ -157,11 +187,8 @@ def _layout(kind: str, value: str, country: int = 0) -> list[str | list[str]]:
         return [*_by_class(local, _TEXT_CLASSES), "@", *_by_class(head, _TEXT_CLASSES), ".", *top]
     if kind == "name":
         places = _by_class(value, _NAME_CLASSES)
-        for m in re.finditer(r"[^ .]+", value):
-            # A word's last letter marks gender and stays, unless it is all that can change.
-            if any(len(p) > 1 for p in places[m.start() : m.end() - 1]):
-                places[m.end() - 1] = value[m.end() - 1]
-        return places
+        # A word's last letter marks gender and stays, unless it is all that can change.
+        return [*places[:-1], value[-1]] if any(len(p) > 1 for p in places[:-1]) else places
     if kind == "phone":
         kept = len(value) - 10 if value.startswith("+") and len(value) > 11 else 2 if value.startswith("+") else 0
         rest = value[kept:]
@@ -246,6 +273,8 @@ class Surrogates:
 
     def of(self, kind: str, value: str) -> str:
         """The surrogate of a value in normal form."""
+        if kind == "name" and _NAME_PART.fullmatch(value) is None:
+            return _NAME_PART.sub(lambda m: self.of(kind, m.group()), value)
         if (kind, value) not in self._known:
             if len(self._known) >= self._most:
                 self._known.clear()
@@ -285,13 +314,13 @@ class Surrogates:
 
 # Tables ------------------------------------------------------------------------
 def entities(df: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text") -> DataFrame:
-    """Distinct (kind, value, surrogate) of all texts."""
+    """Distinct (kind, value, surrogate) of all texts; of names, of each word."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         draw = Surrogates(key)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = {(kind, normal(kind, t[s:e])) for t in batch.column(0).to_pylist() if t for s, e, kind in find(t)}
+            found = {(kind, p) for t in batch.column(0).to_pylist() if t for s, e, kind in find(t) for p in parts(kind, normal(kind, t[s:e]))}
             rows = [(k, v, draw.of(k, v)) for k, v in sorted(found)]
             columns = list(zip(*rows)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "value", "surrogate"])

@@ -208,3 +208,14 @@ def test_initials_belong_to_names(text, found):
     assert [text[s:e] for s, e, _ in surrogates.find(text)] == found
     got, _ = surrogates.Surrogates(b"k").replace(text)
     assert all(w not in re.findall(r"\w+", got) for f in found for w in re.findall(r"\w+", f))
+
+
+def test_mentions_of_one_person_stay_together():
+    text = "Mr John Smith came. Mr Smith's dog met Smith and SMITH; John Smith-led smiths. Dr. J. Smith, Ms O’Neil: O’Neil’s. Smithson"
+    got, kinds = surrogates.Surrogates(b"k").replace(text)
+    words = re.findall(r"[\w]+(?:’\w+)?", got)
+    given, smith = words[1], words[2]
+    assert (given, smith) != ("John", "Smith") and given[-1] == "n" and smith[-1] == "h"
+    assert got.startswith(f"Mr {given} {smith} came. Mr {smith}'s dog met {smith} and {smith.upper()}; {given} {smith}-led smiths. Dr. ")
+    neil = re.search(r"Ms ([\w’]+): ([\w’]+)’s\. Smithson$", got)
+    assert neil and neil[1] == neil[2] != "O’Neil" and f" {smith}, Ms" in got and kinds == ["name"] * 8

@@ -5,8 +5,9 @@ styles, forms, menus, footers, side columns, and elements whose class, id or rol
 names them as such, as an advert, a notice or reader comments). Each paragraph gives
 points for its length and its commas to its parent, half to the grandparent, a third
 to the next, and so on; a container's points are cut by its share of text in links.
-The best container is kept, with those of its siblings that score near it or read as
-prose. What is left is turned into blocks in page order.
+The article or main part around the best container is kept, with those of its siblings
+that score near it or read as prose. On pages without either, it is the outermost ancestor
+that holds further prose, less what is mostly links on the way there. What is left is turned into blocks in page order.
 
 The whole page is read, whatever its length or depth; nesting is kept on a list, not
 on the call stack. Null and empty pages give the empty text. Markup that is not
@@ -50,6 +51,7 @@ _NOISE_WORDS = frozenset(
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+PROSE, LINKED = 80, 0.5  # characters of prose, share of text in links that is none
 _CONTAINERS = frozenset("article main section div body html td center details figure blockquote".split())
 
 
@@ -211,12 +213,17 @@ def _chosen(nodes: list[Node]) -> list[Node]:
     best = max((n for n in nodes if n.tag in _CONTAINERS and n.length), key=lambda n: n.points, default=None)
     if best is None:
         return nodes[:1]
-    # The article that holds the best container, if there is one, is the whole of it.
+    # The article that holds the best container, or else the main part, is the whole of it.
+    above: list[Node] = []
     at = best.parent
     while at is not None:
-        if at.tag == "article" and not at.noise:
-            best = at
+        above.append(at)
         at = at.parent
+    whole = [n for n in above if n.tag == "article" and not n.noise] or [n for n in above if n.tag == "main" and not n.noise and best.tag != "article"]
+    if whole:
+        best = whole[-1]
+    elif best.tag not in ("article", "main"):
+        return [_sections(best, above)]
     if best.parent is None:
         return [best]
     least, out = max(10.0, best.points * 0.2), []
@@ -231,6 +238,29 @@ def _chosen(nodes: list[Node]) -> list[Node]:
     return out
 
 
+def _sections(best: Node, above: list[Node]) -> Node:
+    """The outermost ancestor that holds further prose, at least the parent. On the way
+    there, what is mostly links goes; all else belongs to the article, however short."""
+    top, inner = 0, best
+    for level, node in enumerate(above):
+        if any(_prose(p) for p in node.parts if p is not inner):
+            top = level
+        inner = node
+    inner = best
+    for node in above[: top + 1]:
+        for part in node.parts:
+            if isinstance(part, Node) and part is not inner and part.linked >= LINKED * max(1, part.length):
+                part.noise = True
+        inner = node
+    return inner
+
+
+def _prose(part: "str | Node") -> bool:
+    if isinstance(part, str):
+        return len(part.strip()) > PROSE
+    return not part.noise and part.length > PROSE and part.linked < LINKED * part.length
+
+
 def blocks(chosen: list[Node]) -> list[str]:
     """Texts between block borders, in page order, white space as single spaces."""
     out: list[str] = []

@@ -219,3 +219,18 @@ def test_mentions_of_one_person_stay_together():
     assert got.startswith(f"Mr {given} {smith} came. Mr {smith}'s dog met {smith} and {smith.upper()}; {given} {smith}-led smiths. Dr. ")
     neil = re.search(r"Ms ([\w’]+): ([\w’]+)’s\. Smithson$", got)
     assert neil and neil[1] == neil[2] != "O’Neil" and f" {smith}, Ms" in got and kinds == ["name"] * 8
+
+
+_LONG, _SHORT, _LINKS = "Words, of, some, length, " * 12, "A short section, with, few commas. " * 5, "<div><a href=/a>one link</a> <a href=/b>another link of the site</a></div>"
+
+
+@pytest.mark.parametrize("inside", [
+    "<div id=content>{long}{short}{table}</div>", "<div><h1>T</h1>{long}</div><div>{short}</div>{table}", "<div>{long}</div><div><div>{short}</div>{table}</div>",
+    "<main>{long}{short}{table}</main>", "<article>{long}{short}{table}</article>",
+])
+def test_sections_of_an_article_stay(inside):
+    parts = {"long": "<section>" + f"<p>{_LONG}</p>" * 30 + "</section>", "short": f"<section><p>{_SHORT}</p></section>",
+             "table": "<div><table><tr><td>cell one<td>cell two, and what it says of the matter at hand, in words</table></div>"}
+    got = tree_extract.main_text(f"<body><nav><a href=/>Home</a></nav>{_LINKS}{inside.format(**parts)}<div class=comments><p>{_LONG}</p></div><footer>F</footer></body>").split("\n")
+    assert got[got.index(_LONG.strip()) :] == [_LONG.strip()] * 30 + [_SHORT.strip(), "cell one", "cell two, and what it says of the matter at hand, in words"]
+    assert set(got) - {_LONG.strip(), _SHORT.strip(), "T"} == {"cell one", "cell two, and what it says of the matter at hand, in words"}

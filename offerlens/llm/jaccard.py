@@ -417,4 +417,7 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     found = near_duplicates(df.select(key, text), key, text, words, percent)
     gone = found.filter((F.col("n_shingles") > 0) & (F.col("component_id") != F.col(key))).select(F.col(key).alias("__gone")).distinct()
     kept = df.join(gone, F.col(f"`{key}`") == F.col("__gone"), "left_anti")
-    return kept.dropDuplicates([key, text]).select(*columns)
+    # Rows without shingles are told apart by a number, so that none of them is a repeat.
+    blank = F.col(f"`{text}`").isNull() | F.col(f"`{text}`").rlike(r"\A[\x09-\x0d ]*\z")
+    kept = kept.withColumn("__own", F.when(blank, F.monotonically_increasing_id()))
+    return kept.dropDuplicates([key, text, "__own"]).select(*columns)

@@ -210,3 +210,10 @@ def test_one_short_name_leaves_the_table(docs_of):
     texts = ["Mr. J. Smith", "Dr. A", "Dr. J", "to 张@例子.公司", "clean"]
     out = {r.doc_id: r.text for r in surrogates.pseudonymize(docs_of(texts)).collect()}
     assert len(out) == 5 and out[4] == "clean" and all(out[i] != texts[i] for i in range(4)) and "Smith" not in out[0] and "张" not in out[3]
+
+
+def test_rows_without_shingles_all_stay(docs_of):
+    texts = [None, None, "", "", " \n\t ", " \n\t ", None, None, "a b", "a b", " ", " "]
+    kept = jaccard.keep_first(docs_of(texts, ids=[1, 1, 2, 2, 3, 3, None, None, 4, 4, 5, 5])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept if r.text and r.text.strip(" \n\t")) == [(4, "a b"), (5, " ")]
+    assert sorted(r.node for r in kept)[:8] == list(range(8)) and len(kept) == 10

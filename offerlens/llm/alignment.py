@@ -25,6 +25,7 @@ empty one. Only the key and the text are read, so other columns can't clash.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -115,6 +116,27 @@ def merge(a: np.ndarray, b: np.ndarray, work: int = WORK) -> Merge:
 
 
 # Tokens ----------------------------------------------------------------------
+# Characters that some library may take for white space, now or in an older Unicode.
+_MAYBE_SPACE = frozenset(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff") | {chr(x) for x in range(0x2000, 0x2010)}
+
+
+def cut_at_spaces(text: str) -> list[str]:
+    """The text cut at single spaces between two characters that surely are none; a
+    space and a part behind it are tokens of their own in both vocabularies. Other
+    white space stays inside its part."""
+    parts = text.split(" ")
+    if all(p and p[0] not in _MAYBE_SPACE and p[-1] not in _MAYBE_SPACE for p in set(parts)):
+        return parts
+    out: list[list[str]] = [[parts[0]]]
+    for p in parts[1:]:
+        before = out[-1][-1]
+        if p and before and p[0] not in _MAYBE_SPACE and before[-1] not in _MAYBE_SPACE:
+            out.append([p])
+        else:
+            out[-1].append(p)
+    return [" ".join(x) for x in out]
+
+
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabularies: printable ones
     of Latin-1 for themselves, the others from code point 256 on in order."""
@@ -124,7 +146,11 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Pair:
-    """Both vocabularies: ids of texts, bytes of ids, and the ids as decimal text."""
+    """Both vocabularies: ids of texts, bytes of ids, and the ids as decimal text. Parts
+    between spaces are encoded once and kept, where no token of either side can reach
+    over the space; this is read off the vocabularies."""
+
+    most, long = 200_000, 64  # parts kept and their characters: about 60 MB
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -145,6 +171,15 @@ class Pair:
         for i in range(self._b.get_piece_size()):
             piece = self._b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace("▁", " ").encode())
+        with open(path_a, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = spec["pre_tokenizer"] or {}
+        self._cuts = (
+            spec["normalizer"] is None and cut.get("type") == "ByteLevel" and bool(cut.get("use_regex"))
+            and not any("▁" in self._b.id_to_piece(i).lstrip("▁") for i in range(len(self.bytes_b)))
+            and [self._b.id_to_piece(i) for i in self._b.encode("a  a")].count("▁") == 1
+        )
+        self._known: dict[str, tuple[bytes, bytes] | None] = {}
         self.sizes_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int64)
         # Each id followed by what may stand behind it: 0 another id, 1 the end of its side.
@@ -155,18 +190,35 @@ class Pair:
     def n_b(self) -> int:
         return len(self.bytes_b)
 
+    def _spelled(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of each part with a space before it, None where they don't spell it."""
+        ids_a = [e.ids for e in self._a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        ids_b = self._b.encode(parts, num_threads=1) if parts else []
+        out: list[tuple[bytes, bytes] | None] = []
+        for part, x, y in zip(parts, ids_a, ids_b):
+            want = b" " + part.encode()
+            same = b"".join(map(self.bytes_a.__getitem__, x)) == want == b"".join(map(self.bytes_b.__getitem__, y))
+            out.append((np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()) if same else None)
+        return out
+
     def encode(self, batch: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of each text in both vocabularies; None where they don't spell it."""
-        full = [t for t in batch if t]
-        ids_a = [e.ids for e in self._a.encode_batch_fast([" " + t for t in full], add_special_tokens=False)]
-        ids_b = self._b.encode(full, num_threads=1) if full else []
+        cut = [(cut_at_spaces(t) if self._cuts else [t]) if t else None for t in batch]
+        needed = set().union(*(c for c in cut if c))
+        if len(self._known) > self.most:
+            self._known = {}
+        here = {p: self._known[p] for p in needed & self._known.keys()}
+        new = list(needed - here.keys())
+        here.update(zip(new, self._spelled(new)))
+        self._known.update((p, here[p]) for p in new if len(p) <= self.long)
         out: list[tuple[np.ndarray, np.ndarray] | None] = []
-        for text, x, y in zip(full, ids_a, ids_b):
-            want = b" " + text.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, x)) == want == b"".join(map(self.bytes_b.__getitem__, y))
-            out.append((np.array(x, np.int64), np.array(y, np.int64)) if same else None)
-        found = iter(out)
-        return [next(found) if t else None for t in batch]
+        for parts in cut:
+            found = [here[p] for p in parts] if parts else [None]
+            if None in found:
+                out.append(None)
+            else:
+                out.append(tuple(np.frombuffer(b"".join(side), "<i4").astype(np.int64) for side in zip(*found)))
+        return out
 
     def groups_text(self, a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of each group."""

@@ -237,6 +237,15 @@ def test_pieces_of_any_size_give_one_merge(paths, work):
         assert pair.groups_text(r.a, r.b, r.merge.stop_a, r.merge.stop_b) == ";".join(groups)
 
 
+def test_parts_between_spaces_encode_as_the_whole(paths):
+    rng = random.Random(11)
+    letters = list("ab é日\n\t.,'  \x1c\x85\u00a0\u200b\u3000\ufeff1") + ["the", " of", "  ", "'s", "<|endoftext|>", "▁"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(3_000)]
+    texts += [" ".join(chr(rng.choice([rng.randrange(1, 0x3000), rng.randrange(0x3000, 0xD7FF), rng.randrange(0xE000, 0x1FFFF)])) for _ in range(9)) for _ in range(1_000)]
+    for got, (a, b, _, _) in zip(alignment.vocabularies(*paths).encode(texts), tokens_by_hand(paths, texts)):
+        assert ([] if got is None else got[0].tolist(), [] if got is None else got[1].tolist()) == (a, b)
+
+
 def test_diagonals_cut_equal_work():
     rng = np.random.default_rng(8)
     for _ in range(50):

@@ -150,7 +150,7 @@ class Pair:
     between spaces are encoded once and kept, where no token of either side can reach
     over the space; this is read off the vocabularies."""
 
-    most, long = 200_000, 64  # parts kept and their characters: about 60 MB
+    most, long, step = 300_000, 64, 2_048  # parts kept, 0.1 GB; their characters; parts encoded in one text
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -179,7 +179,7 @@ class Pair:
             and not any("▁" in self._b.id_to_piece(i).lstrip("▁") for i in range(len(self.bytes_b)))
             and [self._b.id_to_piece(i) for i in self._b.encode("a  a")].count("▁") == 1
         )
-        self._known: dict[str, tuple[bytes, bytes] | None] = {}
+        self._known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.sizes_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int64)
         # Each id followed by what may stand behind it: 0 another id, 1 the end of its side.
@@ -190,34 +190,57 @@ class Pair:
     def n_b(self) -> int:
         return len(self.bytes_b)
 
-    def _spelled(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of each part with a space before it, None where they don't spell it."""
-        ids_a = [e.ids for e in self._a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        ids_b = self._b.encode(parts, num_threads=1) if parts else []
-        out: list[tuple[bytes, bytes] | None] = []
-        for part, x, y in zip(parts, ids_a, ids_b):
+    def _alone(self, parts: list[str], ids: tuple[dict[str, bytes], dict[str, bytes]]) -> None:
+        """Adds the ids of each part with a space before it; parts that the ids don't
+        spell get none."""
+        found_a = [e.ids for e in self._a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        found_b = self._b.encode(parts, num_threads=1) if parts else []
+        for part, x, y in zip(parts, found_a, found_b):
             want = b" " + part.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, x)) == want == b"".join(map(self.bytes_b.__getitem__, y))
-            out.append((np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()) if same else None)
-        return out
+            if b"".join(map(self.bytes_a.__getitem__, x)) == want == b"".join(map(self.bytes_b.__getitem__, y)):
+                ids[0][part], ids[1][part] = np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()
+
+    def _together(self, parts: list[str], ids: tuple[dict[str, bytes], dict[str, bytes]]) -> None:
+        """The same for parts without white space at their ends, many in one text; tokens
+        end where parts end."""
+        text = " ".join(parts)
+        want = b" " + text.encode()
+        stops = np.cumsum([len(p.encode()) + 1 for p in parts])
+        found = [], []
+        for side, sizes, spelling, x in (
+            (0, self.sizes_a, self.bytes_a, self._a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids),
+            (1, self.sizes_b, self.bytes_b, self._b.encode([text], num_threads=1)[0]),
+        ):
+            if b"".join(map(spelling.__getitem__, x)) != want:
+                return self._alone(parts, ids)
+            flat = np.array(x, "<i4")
+            at = (4 * (np.searchsorted(np.cumsum(sizes[flat]), stops) + 1)).tolist()
+            data = flat.tobytes()
+            found[side].extend(data[i:j] for i, j in zip([0, *at], at))
+        for own, side in zip(ids, found):
+            own.update(zip(parts, side))
 
     def encode(self, batch: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of each text in both vocabularies; None where they don't spell it."""
-        cut = [(cut_at_spaces(t) if self._cuts else [t]) if t else None for t in batch]
-        needed = set().union(*(c for c in cut if c))
-        if len(self._known) > self.most:
-            self._known = {}
-        here = {p: self._known[p] for p in needed & self._known.keys()}
-        new = list(needed - here.keys())
-        here.update(zip(new, self._spelled(new)))
-        self._known.update((p, here[p]) for p in new if len(p) <= self.long)
-        out: list[tuple[np.ndarray, np.ndarray] | None] = []
-        for parts in cut:
-            found = [here[p] for p in parts] if parts else [None]
-            if None in found:
-                out.append(None)
-            else:
-                out.append(tuple(np.frombuffer(b"".join(side), "<i4").astype(np.int64) for side in zip(*found)))
+        cut = [(cut_at_spaces(t) if self._cuts else [t]) if t else [] for t in batch]
+        needed = set().union(*cut)
+        if len(self._known[0]) > self.most:
+            self._known = tuple({p: side[p] for p in needed & side.keys()} for side in self._known)
+        new = needed - self._known[0].keys()
+        edged = [p for p in new if not self._cuts or p[0] in _MAYBE_SPACE or p[-1] in _MAYBE_SPACE]
+        plain = list(new.difference(edged))
+        for start in range(0, len(plain), self.step):
+            self._together(plain[start : start + self.step], self._known)
+        self._alone(edged, self._known)
+        bad = new - self._known[0].keys()
+        ids = [side.__getitem__ for side in self._known]
+        out = [
+            tuple(np.frombuffer(b"".join(map(get, parts)), "<i4").astype(np.int64) for get in ids) if parts and (not bad or bad.isdisjoint(parts)) else None
+            for parts in cut
+        ]
+        for part in [p for p in new if len(p) > self.long]:
+            for side in self._known:
+                side.pop(part, None)
         return out
 
     def groups_text(self, a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> str:

@@ -5,8 +5,8 @@ The model is fitted on at most ``sample`` labelled rows, those with the smallest
 of their key; four fifths fit the weights, one fifth the calibration. Everything
 else runs over all rows and whole texts. A null text counts as an empty one and has
 no evidence; rows without a label are only scored. Repeated rows are scored alike.
-Without labels of both classes the model gives probability 1 to every row, so that
-only the base rules reject.
+With fewer than ``LEAST_LABELS`` labelled rows, or without labels of both classes, the
+model gives probability 1 to every row, so that only the base rules reject.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from offerlens.llm.arrow import map_batches, raw_texts
 
 BITS = 12  # features per family: 4 096 for words, 4 096 for characters
 SAMPLE = 4_000
+LEAST_LABELS = 10
 KEEP_AT = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -77,7 +78,6 @@ def _repeat_words(tokens: list[bytes]) -> int:
 # Features --------------------------------------------------------------------
 _CHAR = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 _TOP = np.uint32(32 - BITS)
-_LOG = np.log1p(np.arange(1 << 16)).astype(np.float32)
 
 
 class _Words(dict):
@@ -105,7 +105,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     for base, buckets in ((0, hashed), (_SIZE, grams)):
         counts = np.bincount(buckets, minlength=1)
         at = np.flatnonzero(counts)
-        values = _LOG[np.minimum(counts[at], len(_LOG) - 1)]
+        values = np.log1p(counts[at]).astype(np.float32)
         out.append((at + base, values / max(np.float32(1e-9), np.sqrt(values @ values))))
     return np.concatenate([a for a, _ in out]), np.concatenate([v for _, v in out])
 
@@ -125,9 +125,37 @@ class Model:
         return self.slope * (float(self.weights[at] @ values) + self.bias) + self.shift
 
 
-def sample_features(documents: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dense features and classes of the bounded sample. At most ``most`` keys are
-    broadcast; a row's features are bounded by the number of buckets."""
+@dataclass(frozen=True)
+class Rows:
+    """Sparse rows: indices and values one behind the other, and where each row starts.
+    A row of ``n`` features takes 8 n bytes, whatever the number of buckets."""
+
+    at: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def part(self, keep: np.ndarray) -> Rows:
+        sizes = np.diff(self.starts)
+        inside = np.repeat(keep, sizes)
+        return Rows(self.at[inside], self.values[inside], np.concatenate([[0], np.cumsum(sizes[keep])]))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The product with a column of weights."""
+        products = np.concatenate([w[self.at] * self.values, [0.0]])
+        total = np.add.reduceat(products, np.minimum(self.starts[:-1], len(products) - 1)) if len(self) else np.zeros(0)
+        return np.where(np.diff(self.starts) > 0, total, 0.0)
+
+    def back(self, error: np.ndarray, width: int) -> np.ndarray:
+        """The product of the transposed rows with a column of errors."""
+        return np.bincount(self.at, self.values * np.repeat(error, np.diff(self.starts)), width)
+
+
+def sample_features(documents: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> tuple[Rows, np.ndarray]:
+    """Features and classes of the bounded sample. At most ``most`` keys are broadcast;
+    a row's features are bounded by the number of buckets."""
     known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).filter("k is not null and y in (0, 1)")
     one = known.groupBy("k").agg(F.max("y").alias("y"))
     picked = one.orderBy(F.xxhash64("k"), "k").limit(most)
@@ -147,24 +175,25 @@ def sample_features(documents: DataFrame, labels: DataFrame, label: str, key: st
     narrow = map_batches(joined.select(F.xxhash64("k").alias("k"), "y", "t"), make, "k long, y int, at binary, v binary")
     # A repeated key gives one row, so the sample stays within its bound.
     got = sorted(narrow.groupBy("k").agg(F.min(F.struct("at", "v", "y")).alias("r")).select("k", "r.*").collect(), key=lambda r: r["k"])
-    x = np.zeros((len(got), 2 * _SIZE), np.float32)
-    for row, r in zip(x, got):
-        row[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["v"], np.float32)
-    return x, np.array([r["y"] for r in got], np.float32)
+    found = [np.frombuffer(r["at"], "<i4") for r in got]
+    rows = Rows(
+        np.concatenate([np.zeros(0, np.int32), *found]), np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r["v"], np.float32) for r in got)]),
+        np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64))
+    return rows, np.array([r["y"] for r in got], np.float32)
 
 
-def _descend(x: np.ndarray, y: np.ndarray, ridge: float, turns: int) -> tuple[np.ndarray, float]:
+def _descend(x: Rows, y: np.ndarray, width: int, ridge: float, turns: int) -> tuple[np.ndarray, float]:
     """Logistic regression by Nesterov's gradient descent, classes weighted equally."""
-    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
-    w, bias, last_w, last_bias = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
+    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    w, bias, last_w, last_bias = np.zeros(width), 0.0, np.zeros(width), 0.0
     for turn in range(turns):
         pull = turn / (turn + 3)
         ahead, ahead_bias = w + pull * (w - last_w), bias + pull * (bias - last_bias)
-        error = (1 / (1 + np.exp(-(x @ ahead + ahead_bias))) - y) * share
+        error = (1 / (1 + np.exp(-(x.times(ahead) + ahead_bias))) - y) * share
         last_w, last_bias = w, bias
-        w = (ahead - 1.3 * (x.T @ error + ridge * ahead)).astype(np.float32)
+        w = ahead - 1.3 * (x.back(error, width) + ridge * ahead)
         bias = ahead_bias - 1.3 * float(error.sum())
-    return w, bias
+    return w.astype(np.float32), bias
 
 
 def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -189,14 +218,14 @@ def fit(
     sample: int = SAMPLE, ridge: float = 1e-4, turns: int = 300,
 ) -> Model:
     x, y = sample_features(documents, labels, label, key, text, sample)
-    if len(y) < 10 or y.min() == y.max():
+    if len(y) < LEAST_LABELS or y.min() == y.max():
         return Model(np.zeros(2 * _SIZE, np.float32), 0.0, 0.0, 30.0)
     held = np.arange(len(y)) % 5 == 4
     if y[~held].min() == y[~held].max() or y[held].min() == y[held].max():
         held = np.zeros(len(y), bool)
-    w, bias = _descend(x[~held], y[~held], ridge, turns)
+    w, bias = _descend(x.part(~held), y[~held], 2 * _SIZE, ridge, turns)
     own = held if held.any() else ~held
-    slope, shift = _platt((x[own] @ w + bias).astype(np.float64), y[own])
+    slope, shift = _platt(x.part(own).times(w) + bias, y[own])
     return Model(w, float(bias), float(slope), float(shift))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.session import durable
+from offerlens.llm.scratch import Scratch
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -18,11 +18,12 @@ def _signature(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def roots(edges: DataFrame) -> DataFrame:
+def roots(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node`` and ``root``, the least node it is connected with, for every node of
     the edges (``a``, ``b``: longs) that isn't its own root. Loops and repeated edges
     change nothing."""
-    edges = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    edges = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _signature(edges)
     while before[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -30,7 +31,8 @@ def roots(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = durable(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        older, edges = edges, scratch.keep(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        scratch.drop(older)
         after = _signature(edges)
         if after == before:
             break

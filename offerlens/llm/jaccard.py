@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from offerlens.llm.arrow import map_batches, raw_texts
 from offerlens.llm.components import roots
+from offerlens.llm.scratch import Scratch
 from offerlens.llm.shingles import shingle_set
-from offerlens.session import durable
 
 WORDS, PERCENT = 5, 80
 TURNS = 1  # rounds of further tries before all that is left is compared
@@ -137,7 +137,7 @@ def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
 
 
-def frequent_marks(df: DataFrame, text: str, words: int, percent: int, doubled: frozenset[int]) -> tuple[np.ndarray, np.ndarray]:
+def frequent_marks(df: DataFrame, text: str, words: int, percent: int, doubled: frozenset[int], scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Bits of the frequent and of the hot shingles, counted over the prefixes
     of all sets. Any tables give right results: they order shingles and split lists."""
 
@@ -147,8 +147,10 @@ def frequent_marks(df: DataFrame, text: str, words: int, percent: int, doubled:
         return gather, lambda: [_joined(tokens, np.int64)]
 
     prefixes = _each_set(df, text, words, doubled, take, "token long")
-    counts = durable(prefixes.groupBy("token").count().filter(F.col("count") >= FREQUENT))
-    return _table(counts, FREQUENT), _table(counts, HOT)
+    counts = scratch.keep(prefixes.groupBy("token").count().filter(F.col("count") >= FREQUENT))
+    tables = _table(counts, FREQUENT), _table(counts, HOT)
+    scratch.drop(counts)
+    return tables
 
 
 def index_lists(df: DataFrame, text: str, words: int, percent: int, doubled: frozenset[int], marks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -299,25 +301,28 @@ def _fits(one: str, other: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * overlap >= percent * (n + m))
 
 
-def similar_nodes(df: DataFrame, text: str, words: int, percent: int, doubled: frozenset[int]) -> DataFrame:
+def similar_nodes(df: DataFrame, text: str, words: int, percent: int, doubled: frozenset[int], scratch: Scratch) -> DataFrame:
     """``node``, ``root`` of all sets that similarity joins to another one."""
-    lists = durable(index_lists(df, text, words, percent, doubled, frequent_marks(df, text, words, percent, doubled)))
+    lists = scratch.keep(index_lists(df, text, words, percent, doubled, frequent_marks(df, text, words, percent, doubled, scratch)))
     # Parts of one list meet through the least of their pivots.
     parts = lists.filter("salt >= 0").groupBy("token", "pivot").agg(F.min("pivot_size_at").alias("size_at"))
     heads = parts.groupBy("token").agg(F.min(F.struct("pivot", "size_at")).alias("h")).select("token", F.col("h.pivot").alias("head"), F.col("h.size_at").alias("head_size_at"))
     across = parts.join(heads, "token").filter("pivot <> head").filter(_fits("size_at", "head_size_at", percent)).select(F.col("pivot").alias("a"), F.col("head").alias("b"))
     first = lists.filter("node <> pivot").filter(_fits("size_at", "pivot_size_at", percent)).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    pairs = durable(first.union(across).distinct())
-    sets = durable(packed_sets(df, text, words, doubled, lists.select("node").distinct()))
-    known = durable(_overlaps(pairs, sets, words))
+    pairs = scratch.keep(first.union(across).distinct())
+    sets = scratch.keep(packed_sets(df, text, words, doubled, lists.select("node").distinct()))
+    known = scratch.keep(_overlaps(pairs, sets, words))
+    scratch.drop(pairs)
     links = known.filter(_similar(percent)).select("a", "b")
-    tree = durable(roots(links))
+    tree = roots(links, scratch)
     measured = lists.drop("pivot_size_at", "salt")
     # What a pivot didn't join tries members of its list's main component, another one in
     # each list, and one another; most of a group of near copies is joined then.
-    sketches = durable(sets.drop("blob"))
+    sketches = sets.drop("blob")  # the blobs' column isn't read
+    source = lists
     for turn in range(TURNS):
-        rest = durable(_still_apart(measured, tree, percent))
+        rest = scratch.keep(_still_apart(measured, tree, percent))
+        scratch.drop(source)
         drawn, main = F.xxhash64(F.lit(turn), "token", "node"), F.col("comp") == F.col("main")
         one = F.struct("node", "size_at")
         tries = rest.groupBy("token").agg(
@@ -330,22 +335,28 @@ def similar_nodes(df: DataFrame, text: str, words: int, percent: int, doubled: f
             own = sketches.join(sizes, "node").select(F.col("node").alias(k), F.col("size_at").alias(f"{k}_size_at"), *[F.col(c).alias(f"{k}_{c}") for c in ODD])
             fresh = fresh.join(own, k)
         fresh = fresh.filter(_may_differ("a_", "b_", "a_size_at", "b_size_at", percent)).select("a", "b")
-        new = durable(_overlaps(durable(fresh), sets, words))
-        known = durable(known.union(new))
+        fresh = scratch.keep(fresh)
+        new = scratch.keep(_overlaps(fresh, sets, words))
+        scratch.drop(fresh)
         links = new.filter(_similar(percent)).select("a", "b").union(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        tree = durable(roots(links))
-        measured = rest.select(*measured.columns)
+        tree = roots(links, scratch)
+        known = known.union(new)
+        measured, source = rest.select(*measured.columns), rest
     # All that is left: lists' side sets against their main component and one another.
     # Every set of such a list is measured against one head, so that the distances tell
     # which of two sets can't be similar, also where whole groups share a list.
     rest = _still_apart(measured, tree, percent).drop("pivot")
     heads = rest.groupBy("token").agg(F.min_by("node", F.struct(F.col("comp") != F.col("main"), "node")).alias("pivot"))
-    rest = durable(rest.join(heads, "token"))
-    new = durable(_overlaps(durable(_unseen(rest.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), known)), sets, words))
-    known = durable(known.union(new))
+    rest = scratch.keep(rest.join(heads, "token"))
+    scratch.drop(source)
+    fresh = scratch.keep(_unseen(rest.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), known))
+    new = scratch.keep(_overlaps(fresh, sets, words))
+    scratch.drop(fresh)
+    known, before = known.union(new), rest
     rest = rest.withColumns({"a": F.greatest("node", "pivot"), "b": F.least("node", "pivot")}).join(_distances(known), ["a", "b"], "left").drop("a", "b")
     rest = rest.withColumn("far", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
-    rest = durable(rest.select("token", "node", "size_at", "comp", "main", "far").join(sketches, "node"))
+    rest = scratch.keep(rest.select("token", "node", "size_at", "comp", "main", "far").join(sketches, "node"))
+    scratch.drop(before)
     links = new.filter(_similar(percent)).select("a", "b")
     side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("node", "size_at", "comp", "far", *ODD)]
     x = rest.filter("comp <> main").select("token", *side("x"))
@@ -361,8 +372,10 @@ def similar_nodes(df: DataFrame, text: str, words: int, percent: int, doubled: f
     more = more.groupBy(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).agg(
         F.count("*").alias("met"), F.min(F.least(F.lit(SHARED), least)).alias("must")
     ).filter("met >= must").select("a", "b")
-    late = _overlaps(durable(_unseen(more, known)), sets, words).filter(_similar(percent)).select("a", "b")
-    return roots(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links).union(late))
+    fresh = scratch.keep(_unseen(more, known))
+    scratch.drop(rest)
+    late = _overlaps(fresh, sets, words).filter(_similar(percent)).select("a", "b")
+    return roots(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links).union(late), scratch)
 
 
 def _still_apart(lists: DataFrame, tree: DataFrame, percent: int) -> DataFrame:
@@ -394,12 +407,13 @@ def _unseen(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: ``key``, ``n_shingles`` and ``component_id``, the least key that links
     reach. Rows may repeat; their order isn't kept."""
-    rows = durable(shingled(df, key, text, words))
-    classes = durable(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min(key).alias("first_key")))
+    scratch = Scratch(df.sparkSession, "jaccard")
+    rows = scratch.keep(shingled(df, key, text, words))
+    classes = scratch.keep(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min(key).alias("first_key")))
     # Of n sets about n * n / 2**65 pairs share half a fingerprint: few, if any.
     doubled = frozenset(r["k1"] for r in classes.groupBy("k1").count().filter("count > 1").select("k1").collect())
     node = F.when(F.col("k1").isin(*doubled), F.col("k2")).otherwise(F.col("k1")) if doubled else F.col("k1")
-    tree = similar_nodes(df, text, words, percent, doubled)
+    tree = similar_nodes(df, text, words, percent, doubled, scratch)
     rooted = classes.select("k1", "k2", "first_key", node.alias("of")).join(tree, F.col("of") == F.col("node"), "left").select(
         "k1", "k2", "first_key", F.coalesce("root", "of").alias("root")
     )

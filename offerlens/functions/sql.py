@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-_POINTS = "floor(coalesce(price, 0D) * (multiplier + coalesce(point_rate, 0D)) / 100)"
+from offerlens.fixed import MULTIPLIER_RANGE
+
+# A multiplier outside its range counts as the nearest one in it, as in ``price``.
+_HELD = f"least(greatest(multiplier, {float(MULTIPLIER_RANGE[0])}D), {float(MULTIPLIER_RANGE[1])}D)"
+_POINTS = f"floor(coalesce(price, 0D) * ({_HELD} + coalesce(point_rate, 0D)) / 100)"
 _COUPON = "greatest(coalesce(coupon_yen, 0L), floor(coalesce(price, 0D) * coalesce(coupon_percent, 0D) / 100))"
 _BACK = "floor(coalesce(price, 0D) * coalesce(point_back_percent, 0D) / 100)"
 _FLAG = "CASE WHEN coalesce(point_back_percent, 0D) = 0 THEN 1 ELSE CAST(point_back_percent AS INT) END"
@@ -18,7 +22,7 @@ FUNCTIONS = {
     "ol_net_server": (_NET_ARGS, "BIGINT", f"{_WHOLE} - {_POINTS} * {_FLAG} - {_COUPON}"),
     "ol_net_client": (_NET_ARGS, "BIGINT", f"{_WHOLE} - {_POINTS} - {_BACK} - {_COUPON}"),
     "ol_net_chart": (_NET_ARGS, "BIGINT", f"{_WHOLE} - {_POINTS} - {_COUPON}"),
-    "ol_clamp_multiplier": ("multiplier DOUBLE", "DOUBLE", "least(greatest(multiplier, 1D), 100D)"),
+    "ol_clamp_multiplier": ("multiplier DOUBLE", "DOUBLE", _HELD),
     "ol_product_uid": ("shop_code STRING, item_code STRING", "STRING", "concat(shop_code, ':', item_code)"),
     "ol_variant_uid": ("shop_code STRING, item_code STRING, variant_code STRING", "STRING",
                        "concat(shop_code, ':', item_code, ':', coalesce(nullif(variant_code, ''), 'default'))"),

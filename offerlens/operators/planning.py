@@ -108,13 +108,17 @@ def discovery_ranges(targets: DataFrame, slices: DataFrame) -> DataFrame:
 
 
 def page_numbers(total: Column, page_size: Column | int, most: int | None = None, has_rows: Column | None = None) -> Column:
-    """Array 1..n of pages; NULL where there is nothing. A limit holds only where the
-    caller names one (the marketplace shows no more). An unknown total with rows on
-    the first page means all pages up to the limit, or that page alone."""
+    """Array 1..n of pages; NULL where there is nothing. A known total gives all its pages,
+    cut at ``most`` where the caller names the marketplace's limit. An unknown total
+    (NULL or 0) with rows on the first page means all pages up to that limit, so
+    ``has_rows`` needs one."""
+    if has_rows is not None and most is None:
+        raise ValueError("totals that may be unknown need the number of pages to ask for then (most)")
     size = page_size if isinstance(page_size, Column) else F.lit(page_size)
     known = F.coalesce(total, F.lit(0))
-    rows = F.coalesce(has_rows, F.lit(False)) if has_rows is not None else F.lit(False)
-    pages = F.when((known > 0) & (size > 0), F.ceil(known / size)).when(rows, F.lit(most or 1))
+    pages = F.when((known > 0) & (size > 0), F.ceil(known / size))
+    if has_rows is not None:
+        pages = pages.when(F.coalesce(has_rows, F.lit(False)), F.lit(most))
     pages = pages if most is None else F.least(pages, F.when(pages.isNotNull(), F.lit(most)))
     return F.when(pages >= 1, F.sequence(F.lit(1), pages.cast("int")))
 

@@ -25,11 +25,16 @@ def _order() -> list[Column]:
 
 
 def live_ranking(events: DataFrame, shops: DataFrame, as_of: Column, limit: int = 20, hours: int = 24) -> DataFrame:
-    """Top shops of the trailing hours. Cut to the top first; at most 100 rows are
-    then held, numbered and named."""
+    """Top shops of the trailing hours."""
+    return top_shops(browse_counts(events, as_of, hours), shops, limit)
+
+
+def top_shops(counts: DataFrame, shops: DataFrame, limit: int = 20) -> DataFrame:
+    """Counted shops cut to the top first; at most 100 rows are then held, numbered and
+    named."""
     if not 1 <= limit <= 100:
         raise ValueError("limit lies in 1..100")
-    top = held(browse_counts(events, as_of, hours).orderBy(*_order()).limit(limit))
+    top = held(counts.orderBy(*_order()).limit(limit))
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*_order())))
     return join_shops(ranked, shops.select("shop_code", "shop_name"), page_side=True).select(
         "rank", "shop_code", "shop_name", "browse_count"

@@ -3,12 +3,14 @@ any scale. Each function reads whole tables; nothing is sampled."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.functions.url import product_uid, variant_uid
 from offerlens.operators.ordered import latest_per_key
-from offerlens.session import spread
+from offerlens.session import checkpoint_folder, spread
 
 ITEM_URL = "https://item.example.com/"
 
@@ -23,6 +25,15 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table replayed as a stream of its files."""
+        path = f"{self.folder}/{name}.parquet"
+        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(f"{path[:-8]}*.parquet")
+
+    def scratch(self, name: str) -> str:
+        """A new folder for a query that stores tables or states, in the shared one."""
+        return f"{checkpoint_folder(self.spark)}/{name}-{os.urandom(8).hex()}"
+
     def lines(self) -> DataFrame:
         """Line items for work that costs CPU per row."""
         return spread(self.table("lineitem"))
@@ -170,8 +181,8 @@ class Domain:
         )
 
     # events, jobs, targets --------------------------------------------------
-    def browse_events(self) -> DataFrame:
-        e = self.table("events").filter(F.col("event_type").isin("view", "click"))
+    def browse_events(self, events: DataFrame | None = None) -> DataFrame:
+        e = (self.table("events") if events is None else events).filter(F.col("event_type").isin("view", "click"))
         return e.select(
             "event_id", F.col("user_id").cast("string").alias("user_id"),
             F.get_json_object("props", "$.k").alias("shop_code"), F.col("ts").alias("browsed_at"),

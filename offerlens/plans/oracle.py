@@ -254,6 +254,19 @@ def _live(hours: int, limit: int) -> str:
       WHERE browsed_at >= {V.EVENTS_AS_OF} - INTERVAL {hours} HOUR GROUP BY 1, 2) ORDER BY rank LIMIT {limit})"""
 
 
+# A stream emits windows that the watermark, an hour behind the last event, has passed.
+_DONE = "(SELECT max(browsed_at) - INTERVAL 1 HOUR FROM browse)"
+ORACLE["stream_live_ranking"] = _with(V.BROWSE, V.SHOPS, f"""frame AS (SELECT date_trunc('hour', {_DONE}) AS stop)""", f"""live AS (
+    SELECT shop_code, count(*) AS browse_count FROM browse, frame
+    WHERE shop_code IS NOT NULL AND browsed_at >= stop - INTERVAL 24 HOUR AND browsed_at < stop GROUP BY 1)""", body="""
+  SELECT row_number() OVER (ORDER BY browse_count DESC, shop_code) AS rank, shop_code, shop_name, browse_count
+  FROM live LEFT JOIN shops USING (shop_code) ORDER BY rank LIMIT 20""")
+ORACLE["stream_daily_ranking"] = _with(V.BROWSE, body=f"""
+  SELECT {_day('day')} AS ranking_date, shop_code, browse_count, row_number() OVER (PARTITION BY day ORDER BY browse_count DESC, shop_code) AS rank_position
+  FROM (SELECT CAST(browsed_at AS DATE) AS day, shop_code, count(*) AS browse_count FROM browse GROUP BY 1, 2) WHERE day + INTERVAL 1 DAY <= {_DONE}""")
+ORACLE["stream_view_counts"] = _with(V.BROWSE, body=f"""
+  SELECT shop_code AS item, {_ts('min(browsed_at)')} AS first_seen, {_ts('max(browsed_at)')} AS last_seen, count(*) AS views FROM browse
+  WHERE shop_code IS NOT NULL AND date_trunc('hour', browsed_at) + INTERVAL 1 HOUR <= {_DONE} GROUP BY 1""")
 ORACLE["ranking_live"] = _with(V.BROWSE, V.SHOPS, _live(24, 20), body="SELECT * FROM live")
 ORACLE["ranking_daily_all"] = _with(V.BROWSE, _COUNTS, _RANKED, body=f"""
   SELECT {_day('ranking_date')} AS ranking_date, shop_code, browse_count, rank_position FROM ranked""")
@@ -658,3 +671,12 @@ ORACLE["multipliers_held"] = """SELECT l_orderkey, l_linenumber, points, 2000 -
   SELECT *, CAST(floor(2000 * (greatest(least((l_quantity - 20) * 5, 100), 1) + 1.0) / 100) AS BIGINT) AS points FROM lineitem)"""
 ORACLE["coupon_fragments"] = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS INTEGER) END AS yen,
   CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_quantity AS DOUBLE) END AS percent FROM lineitem"""
+
+
+# merges by bucket, SQL functions ----------------------------------------------------
+
+ORACLE["merge_stored_buckets"] = ORACLE["merge_items_fold"]
+_AT = [(given, {m: V.price_sql(m, held) for m in ("server", "client", "chart")}) for given, held in ((-5.0, 1.0), (4.0, 4.0), (250.0, 100.0))]
+ORACLE["sql_net_prices"] = _with(V.OBS, V.SNAP, body=" UNION ALL ".join(
+    f"SELECT variant_uid, CAST({given} AS DOUBLE) AS multiplier, {p['client']['points']} AS points, "
+    + ", ".join(f"{p[m]['net']} AS {m}_net" for m in p) + " FROM snap" for given, p in _AT))

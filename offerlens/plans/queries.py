@@ -12,7 +12,9 @@ from offerlens.functions import display as Y
 from offerlens.functions import text as X
 from offerlens.functions import url as U
 from offerlens.functions.keys import content_hash, genre_path, id_list, record_date, source_flags
+from offerlens.functions import sql as SQL
 from offerlens.functions.price import offer_value
+from offerlens.functions.url import product_uid
 from offerlens.operators import history as H
 from offerlens.operators import jan as J
 from offerlens.operators import jobs as B
@@ -26,7 +28,11 @@ from offerlens.operators import search as S
 from offerlens.operators.ordered import first_page, latest_per_key, number_rows
 from offerlens.plans import documents as T
 from offerlens.plans.domain import Domain
+from offerlens.session import session_settings
 from offerlens.sources import api_json, browse, detail_pages, list_pages, offers
+from offerlens.sources.tables import Tables
+from offerlens.streaming import rankings as L
+from offerlens.streaming.views import STATE_STORE, start_views, view_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -86,6 +92,18 @@ def jan_effective_modes(d: Domain) -> DataFrame:
     )
 
 
+@query
+def sql_net_prices(d: Domain) -> DataFrame:
+    """Net prices by the SQL functions, for multipliers inside and outside their range."""
+    SQL.register(d.spark)
+    rows = d.snapshots().withColumn("multiplier", F.explode(F.array(F.lit(-5.0), F.lit(4.0), F.lit(250.0))))
+    args = "CAST(price AS DOUBLE), CAST(point_rate AS DOUBLE), CAST(point_back_percent AS DOUBLE), CAST(coupon_yen AS BIGINT), CAST(coupon_percent AS DOUBLE), multiplier"
+    return rows.select(
+        "variant_uid", "multiplier", F.expr("ol_points(CAST(price AS DOUBLE), CAST(point_rate AS DOUBLE), multiplier)").alias("points"),
+        *[F.expr(f"ol_net_{mode}({args})").alias(f"{mode}_net") for mode in ("server", "client", "chart")],
+    )
+
+
 @query
 def point_calculation(d: Domain) -> DataFrame:
     return H.calculate_points(d.snapshots())
@@ -379,6 +397,21 @@ def merge_variants_coalesce(d: Domain) -> DataFrame:
     return M.merge_variants(None, obs).drop("selector_values")
 
 
+@query
+def merge_stored_buckets(d: Domain) -> DataFrame:
+    """The items of both batches by stored buckets: the second batch reads and rewrites
+    the buckets that its keys fall in."""
+    half = F.lit("1999-01-01").cast("timestamp_ntz")
+    tables = Tables(d.spark, d.scratch("buckets"), buckets=16)
+    keyed = _item_batch(d).withColumn("product_uid", product_uid("shop_code", "item_code"))
+    for batch in (keyed.filter(F.col("fetched_at") < half), keyed.filter(F.col("fetched_at") >= half)):
+        stored, buckets = tables.read_touched("items", batch)
+        kinds = dict(stored.dtypes)
+        folded = M.merge_items(stored.drop("product_uid"), batch.withColumn("ext_first_seen", F.col("ext_first_seen").cast(kinds["ext_first_seen"])))
+        tables.replace_touched(folded.withColumn("product_uid", product_uid("shop_code", "item_code")), "items", buckets)
+    return shown(tables.read("items").select(*_ITEM_SHOWN))
+
+
 @query
 def mark_for_crawl(d: Domain) -> DataFrame:
     """Items of shops with browse events join the server's own collection."""
@@ -472,6 +505,40 @@ def ranking_sliding(d: Domain) -> DataFrame:
     return shown(R.windowed_counts(events))
 
 
+# streams -----------------------------------------------------------------------------
+
+
+@query
+def stream_live_ranking(d: Domain) -> DataFrame:
+    """The events replayed as a stream into trailing windows; the last complete one ranked."""
+    place = d.scratch("live")
+    L.start_live(d.browse_events(d.stream("events")), f"{place}/counts", f"{place}/state", key="event_id").awaitTermination()
+    return L.live_windows(d.spark.read.parquet(f"{place}/counts"), d.shops())
+
+
+@query
+def stream_daily_ranking(d: Domain) -> DataFrame:
+    """The events replayed as a stream into the ranking table of each complete day; the
+    second run of the stream finds nothing new."""
+    place = d.scratch("daily")
+    tables = Tables(d.spark, f"{place}/tables")
+    for _ in range(2):
+        L.start_rankings(d.browse_events(d.stream("events")), tables, f"{place}/state", key="event_id").awaitTermination()
+    return shown(tables.read("shop_rankings").select("ranking_date", "shop_code", "browse_count", "rank_position"))
+
+
+@query
+def stream_view_counts(d: Domain) -> DataFrame:
+    """Views per shop from keyed states, each tenth event being delivered twice."""
+    place = d.scratch("views")
+    events = d.table("events")
+    events.unionByName(events.filter(F.col("event_id") % 10 == 0)).write.parquet(f"{place}/events.parquet")
+    again = Domain(d.spark, place)
+    with session_settings(d.spark, STATE_STORE):
+        start_views(again.browse_events(again.stream("events")), f"{place}/runs", f"{place}/state", idle_hours=12).awaitTermination()
+    return shown(view_counts(d.spark.read.parquet(f"{place}/runs")))
+
+
 # retention ---------------------------------------------------------------------------
 
 

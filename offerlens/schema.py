@@ -55,6 +55,9 @@ PARTITIONS = {
 # Range order of the written files, for the readers' min/max statistics. It ends in
 # a unique column, so that one value with many rows still spreads over files.
 CLUSTERED = {"variant_snapshots": ["price", "variant_uid"], "variants": ["jan_code", "variant_uid"], "items": ["product_uid"]}
+# Tables that batches merge into by key: the keys whose hash deals rows to buckets. A
+# merge rewrites the buckets its batch falls in.
+BUCKETED = {"shops": ["shop_code"], "items": ["product_uid"], "variants": ["variant_uid"], "variant_snapshots": ["variant_uid"]}
 KEYS = {
     "shops": ["shop_code"], "items": ["product_uid"], "variants": ["variant_uid"], "variant_snapshots": ["variant_uid"],
     "variant_daily_history": ["variant_uid", "record_date"], "crawl_targets": ["target_type", "target_value"],

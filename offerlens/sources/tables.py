@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.schema import CLUSTERED, PARTITIONS, TABLES, conform, schema
+from offerlens.schema import BUCKETED, CLUSTERED, PARTITIONS, TABLES, conform, schema
 from offerlens.session import durable
+from offerlens.sources.buckets import BucketTable
+
+BUCKETS = 64
 
 
 class Tables:
-    """The tables below one folder."""
+    """The tables below one folder. Keyed tables that batches merge into are dealt to
+    ``buckets`` by key (a bucket should come to one file of a usual size)."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def bucketed(self, table: str) -> BucketTable | None:
+        if table not in BUCKETED:
+            return None
+        return BucketTable(self.spark, self.path(table), schema(table), BUCKETED[table], self.buckets, CLUSTERED.get(table, BUCKETED[table]))
 
     def path(self, table: str) -> str:
         if table not in TABLES:
@@ -28,6 +37,8 @@ class Tables:
     def exists(self, table: str) -> bool:
         """Whether the table is stored. A swap that was broken off between its two
         renames is taken back first."""
+        if (dealt := self.bucketed(table)) is not None:
+            return dealt.exists()
         at, files = self._files(self.path(table))
         if files.exists(at):
             return True
@@ -37,10 +48,26 @@ class Tables:
     def read(self, table: str) -> DataFrame:
         """The stored rows; none before the first write. The schema is given, so no
         file is opened to infer it and partition folders prune."""
+        if (dealt := self.bucketed(table)) is not None:
+            return dealt.read()
         if not self.exists(table):
             return self.spark.createDataFrame([], schema(table))
         return self.spark.read.schema(schema(table)).parquet(self.path(table)).select(*schema(table).fieldNames())
 
+    def read_touched(self, table: str, batch: DataFrame) -> tuple[DataFrame, list[int]]:
+        """Of a bucketed table the buckets that the keys of ``batch`` fall in, and their
+        numbers. No other bucket is opened."""
+        dealt = self.bucketed(table)
+        if dealt is None:
+            raise ValueError(f"{table} has no buckets")
+        buckets = dealt.touched(batch)
+        return dealt.read(buckets), buckets
+
+    def replace_touched(self, df: DataFrame, table: str, buckets: list[int]) -> None:
+        """Swap in new rows for these buckets; all others stay as they are."""
+        if buckets:
+            self.bucketed(table).write(conform(df, table), buckets)
+
     def _writer(self, df: DataFrame, table: str, mode: str):
         rows = conform(df, table)
         parts = PARTITIONS.get(table, [])
@@ -54,6 +81,8 @@ class Tables:
         return writer.partitionBy(*parts) if parts else writer
 
     def append(self, df: DataFrame, table: str) -> None:
+        if table in BUCKETED:
+            raise ValueError(f"{table} is keyed: merge into it or replace it")
         self._writer(df, table, "append").parquet(self.path(table))
 
     def replace_partitions(self, df: DataFrame, table: str) -> None:
@@ -67,6 +96,9 @@ class Tables:
         """Swap in a new version of the whole table, which may derive from the stored
         one: it is written beside it, then two renames exchange them. Until then
         readers see the old version, and a failed write leaves it untouched."""
+        if (dealt := self.bucketed(table)) is not None:
+            dealt.write(conform(df, table))
+            return
         new, old, here = self.path(table) + "__new", self.path(table) + "__old", self.path(table)
         stored = self.exists(table)
         self._writer(df, table, "overwrite").option("partitionOverwriteMode", "static").parquet(new)

@@ -24,12 +24,14 @@ def merge_offers(tables: Tables, offers: DataFrame, batch_id: int, zone: str = "
     same durable batch. A repeated batch leaves the same tables: texts and flags by
     nature, views because an item knows the last batch it took in, snapshots and
     history because they are keyed and compared with what is stored. Batch ids are
-    those of one stream or job series per catalogue."""
+    those of one stream or job series per catalogue. Of each keyed table only the
+    buckets that the batch's keys fall in are read and written, of the history only
+    the months."""
     batch = durable(with_keys(offers))
-    stored = tables.read("shops")
-    tables.replace(_stamped(M.merge_shops(stored, batch, ORDER), stored, batch, ["shop_code"], "first_seen_at"), "shops")
+    stored, buckets = tables.read_touched("shops", batch)
+    tables.replace_touched(_stamped(M.merge_shops(stored, batch, ORDER), stored, batch, ["shop_code"], "first_seen_at"), "shops", buckets)
 
-    kept = tables.read("items")
+    kept, buckets = tables.read_touched("items", batch)
     stored = kept.drop("product_uid")
     items = M.merge_items_once(stored, item_batch(batch), batch_id, ORDER)
     # New rows are active; a merge never reactivates a pruned item. What a user
@@ -38,17 +40,17 @@ def merge_offers(tables: Tables, offers: DataFrame, batch_id: int, zone: str = "
         "product_uid": F.concat("shop_code", F.lit(":"), "item_code"), "is_active": F.coalesce("is_active", F.lit(True)),
         "in_server_crawl": F.col("in_server_crawl") | F.col("seen_in_ext"),
     })
-    tables.replace(_stamped(items, kept, batch, ["shop_code", "item_code"], "created_at"), "items")
+    tables.replace_touched(_stamped(items, kept, batch, ["shop_code", "item_code"], "created_at"), "items", buckets)
 
     # A listing shows items, not which variants they have.
     own = batch.filter(F.col("source") != "list")
-    kept = tables.read("variants")
+    kept, buckets = tables.read_touched("variants", own)
     variants = M.merge_variants(kept.drop("variant_uid", "product_uid"), own, ORDER)
     variants = with_keys(variants).withColumn("is_active", F.coalesce("is_active", F.lit(True)))
-    tables.replace(_stamped(variants, kept, own, ["shop_code", "item_code", "variant_code"], "created_at"), "variants")
+    tables.replace_touched(_stamped(variants, kept, own, ["shop_code", "item_code", "variant_code"], "created_at"), "variants", buckets)
 
     seen = H.with_hash(batch.filter(F.col("source") != "list"))
-    snapshots = tables.read("variant_snapshots")
+    snapshots, buckets = tables.read_touched("variant_snapshots", own)
     shaped = seen.select("variant_uid", *[c for c in snapshots.columns if c in seen.columns and c != "variant_uid"], *[c for c in ORDER if c not in snapshots.columns])
     after, written = H.upsert_snapshots(snapshots.drop("updated_at"), shaped, ORDER)
     written = durable(written)
@@ -60,7 +62,7 @@ def merge_offers(tables: Tables, offers: DataFrame, batch_id: int, zone: str = "
     times = snapshots.select("variant_uid", F.col("updated_at").alias("_was"))
     fresh = written.groupBy("variant_uid").agg(F.max("fetched_at").alias("_now"))
     after = after.join(times, "variant_uid", "left").join(fresh, "variant_uid", "left")
-    tables.replace(after.withColumn("updated_at", F.coalesce("_now", "_was")).drop("_was", "_now"), "variant_snapshots")
+    tables.replace_touched(after.withColumn("updated_at", F.coalesce("_now", "_was")).drop("_was", "_now"), "variant_snapshots", buckets)
 
 
 def _stamped(rows: DataFrame, stored: DataFrame, batch: DataFrame, keys: list[str], first: str) -> DataFrame:

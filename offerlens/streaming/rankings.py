@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from offerlens.operators.ordered import number_rows
-from offerlens.operators.ranking import windowed_counts
+from offerlens.operators.ranking import top_shops, windowed_counts
 from offerlens.sources.tables import Tables
 
 
@@ -34,9 +34,29 @@ def ranked_windows(counts: DataFrame) -> DataFrame:
     return number_rows(counts, ["start", "end"], order, "rank_position")
 
 
+def start_live(
+    events: DataFrame, place: str, checkpoint: str, length: str = "24 hours", slide: str = "1 hour", late: str = "1 hour", key: str | None = None, **trigger,
+) -> StreamingQuery:
+    """Append the counts of each complete trailing window to a folder, from which
+    ``live_windows`` reads. The file sink commits a batch once, so one that runs twice
+    leaves the same rows."""
+    return (
+        sliding_counts(events, length, slide, late, key).writeStream.format("parquet").outputMode("append").option("path", place)
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def live_windows(counts: DataFrame, shops: DataFrame, limit: int = 20) -> DataFrame:
+    """The top shops of the last complete window; at most 100 rows are held and named."""
+    last = counts.agg(F.max("end").alias("_last"))  # one row
+    recent = counts.join(F.broadcast(last), F.col("end") == F.col("_last")).select("shop_code", "browse_count")
+    return top_shops(recent, shops, limit)
+
+
 def start_rankings(events: DataFrame, tables: Tables, checkpoint: str, late: str = "1 hour", key: str | None = None, **trigger) -> StreamingQuery:
     """Keep the ranking table of each day. The complete count of a day replaces its
-    partition, so a batch that runs twice leaves the same rows."""
+    partition: a day leaves the windows once, when it is complete, so no later batch
+    brings rows of it, and a batch that runs twice leaves the same rows."""
     def write(batch: DataFrame, _: int) -> None:
         days = batch.select(F.to_date("start").alias("ranking_date"), "shop_code", "browse_count", F.col("end").alias("created_at"))
         order = [F.col("browse_count").desc(), F.col("shop_code").asc()]

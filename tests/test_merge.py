@@ -134,8 +134,13 @@ def test_price_slices_equal_recursion(spark, cap):
 
 def test_frontiers(spark):
     df = spark.createDataFrame([("a", 0, False), ("b", 0, True), ("c", 46, True), ("d", 999_999, True), ("e", None, False)], "genre_id string, total_found int, has boolean")
-    pages = P.page_frontier(df, has_rows=F.col("has")).groupBy("genre_id").count().collect()
+    pages = P.page_frontier(df, most=150, has_rows=F.col("has")).groupBy("genre_id").count().collect()
     assert {r.genre_id: r["count"] for r in pages} == {"b": 150, "c": 2, "d": 150}
+    # Without a limit known totals stay whole, and unknown ones are no pages or an error.
+    whole = P.page_frontier(df).groupBy("genre_id").count().collect()
+    assert {r.genre_id: r["count"] for r in whole} == {"c": 2, "d": 22223}
+    with pytest.raises(ValueError):
+        P.page_frontier(df, has_rows=F.col("has"))
     edges = spark.createDataFrame([(0, 1), (0, 2), (1, 11), (11, 111)], "parent_id int, child_id int")
     depth = lambda d: sorted(r.genre_id for r in P.genre_frontier(edges, 0, d).collect())
     assert [depth(d) for d in (0, 1, 2, 3, 9)] == [[0], [1, 2], [2, 11], [2, 111], [2, 111]]

@@ -203,3 +203,90 @@ def test_observations_fall_on_their_day(spark, tmp_path):
     assert tables.partitions("list_observations") == ["2024-02-01", "2024-02-02"]
     with pytest.raises(ValueError):
         tables.append(seen.drop("observed_at"), "detail_observations")
+
+
+def files_of(table):
+    """Every data file of a bucketed table's version, by bucket."""
+    out = {}
+    for path in table.read().inputFiles():
+        out.setdefault(int(path.split("bucket=")[1].split("/")[0]), set()).add(path)
+    return out
+
+
+def test_merges_read_and_write_touched_buckets_only(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path), buckets=8)
+
+    def offers(items, day):
+        row = spark.createDataFrame([(dt.datetime(2024, 5, day), i) for i in items], "fetched_at timestamp, seq long")
+        code = F.concat(F.lit("i"), F.col("seq").cast("string"))
+        return as_offers(row, "api", {"shop_code": F.lit("s"), "item_code": code, "item_name": F.lit(f"n{day}"), "price": F.lit(day)}, keep=("fetched_at", "seq"))
+
+    catalogue.merge_offers(tables, offers(range(200), 1), 0)
+    names = ("items", "variants", "variant_snapshots")
+    before = {t: files_of(tables.bucketed(t)) for t in names}
+    assert all(set(f) == set(range(8)) for f in before.values())
+    # A batch of one item reads and writes one bucket of each table.
+    seen, touched = tables.read_touched("items", spark.createDataFrame([("s:i7",)], "product_uid string"))
+    assert len(touched) == 1 and {p.split("bucket=")[1].split("/")[0] for p in seen.inputFiles()} == {str(touched[0])}
+    catalogue.merge_offers(tables, offers([7], 2), 1)
+    for t in names:
+        after = files_of(tables.bucketed(t))
+        changed = [b for b in after if after[b] != before[t][b]]
+        assert len(changed) == 1, t
+        written = [n for n in os.listdir(tmp_path / t / "v2") if n.startswith("bucket=")]
+        assert written == [f"bucket={changed[0]}"]
+    assert {(r.item_code, r.item_name) for r in tables.read("items").collect()} == {(f"i{i}", "n2" if i == 7 else "n1") for i in range(200)}
+    assert tables.read("variant_snapshots").filter("price = 2").count() == 1 and tables.read("variant_snapshots").count() == 200
+
+
+def test_bucket_versions(spark, tmp_path):
+    table = Tables(spark, str(tmp_path), buckets=4).bucketed("shops")
+    rows_of = lambda *codes: C.conform(spark.createDataFrame([(c, c) for c in codes], "shop_code string, shop_name string"), "shops")
+    assert not table.exists() and table.read().count() == 0
+    assert table.write(rows_of(*"abcdefgh")) == 1
+    held = table.read()
+    (bucket,) = table.touched(rows_of("a"))
+    # A reader of the last version goes on reading it while the next is written.
+    assert table.write(table.read([bucket]).withColumn("shop_name", F.lit("new")), [bucket]) == 2
+    assert {r.shop_name for r in held.collect()} == set("abcdefgh")
+    assert {r.shop_code for r in table.read().filter("shop_name = 'new'").collect()} == {r.shop_code for r in table.read([bucket]).collect()}
+    # Rows outside the named buckets, and a version that another writer has made, are errors.
+    other = next(c for c in "bcdefgh" if table.touched(rows_of(c)) != [bucket])
+    with pytest.raises(ValueError):
+        table.write(rows_of("a", other), [bucket])
+    assert table.manifest()["version"] == 2 and table.read().count() == 8
+    with pytest.raises(Exception):
+        table._commit(table.manifest())
+    # A bucket without rows leaves the manifest; folders no manifest names are deleted.
+    gone = table.read([bucket]).count()
+    table.write(table.read([bucket]).limit(0), [bucket])
+    assert bucket not in table.manifest()["holds"] and table.read().count() == 8 - gone
+    table.write(rows_of("z"))
+    table.write(rows_of("y"))
+    assert len(table.versions()) == 2 and sorted(n for n in os.listdir(tmp_path / "shops") if n.startswith("v")) == ["v4", "v5"]
+
+
+def test_view_runs_of_items(spark, tmp_path):
+    """Three batches: redelivered events count once, an item away for longer than the idle
+    time opens a new run, and runs add up."""
+    from offerlens.session import session_settings
+    from offerlens.streaming.views import STATE_STORE, start_views, view_counts
+
+    kind = "event_id long, shop_code string, browsed_at timestamp"
+    start = dt.datetime(2024, 1, 1)
+
+    def batch(*events):
+        made = [(i, shop, start + dt.timedelta(hours=h)) for i, shop, h in events]
+        spark.createDataFrame(made, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    batch((1, "a", 0), (1, "a", 0), (2, "a", 0.5), (3, "b", 1), (4, None, 1))
+    batch((5, "c", 10), (6, "c", 12), (6, "c", 12))
+    batch((7, "a", 60), (8, "a", 61), (9, "c", 90))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with session_settings(spark, STATE_STORE):
+        start_views(stream, str(tmp_path / "runs"), str(tmp_path / "cp"), idle_hours=24).awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "runs"))
+    got = {r["item"]: (r.first_seen, r.last_seen, r.views) for r in view_counts(written).collect()}
+    at = lambda h: start + dt.timedelta(hours=h)
+    assert got == {"a": (at(0), at(61), 4), "b": (at(1), at(1), 1), "c": (at(10), at(12), 2)}  # the last hour isn't complete
+    assert {r["item"]: r.n for r in written.groupBy("item").agg(F.countDistinct("run_start").alias("n")).collect()} == {"a": 2, "b": 1, "c": 1}

@@ -24,28 +24,34 @@ RUN = "item string, run_start timestamp, last_seen timestamp, views long"
 
 
 class ViewRuns(StatefulProcessor):
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
+    def __init__(self, idle_hours: int):
+        self.idle = pd.Timedelta(hours=idle_hours)
 
     def init(self, handle) -> None:
         self.handle = handle
         self.run = handle.getValueState("run", "start timestamp, last timestamp, views long, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows))  # an item has one row for each hour of the batch
+        found = pd.concat(list(rows)).sort_values("first_at")  # an item has one row for each hour of the batch
         start, last, views, timer = self.run.get() if self.run.exists() else (None, None, 0, None)
-        first, latest = found["first_at"].min(), found["last_at"].max()
-        start = first if start is None else min(pd.Timestamp(start), first)
-        last = latest if last is None else max(pd.Timestamp(last), latest)
-        views += int(found["views"].sum())
-        due = int(last.timestamp() * 1000) + self.idle_ms
-        if timer is None or due > timer:
+        runs = [] if start is None else [[pd.Timestamp(start), pd.Timestamp(last), views]]
+        for first, latest, count in zip(found["first_at"], found["last_at"], found["views"]):
+            # A gap ends a run whether or not its timer has fired, so batches don't matter.
+            if runs and first - runs[-1][1] <= self.idle:
+                runs[-1] = [min(runs[-1][0], first), max(runs[-1][1], latest), runs[-1][2] + int(count)]
+            else:
+                runs.append([first, latest, int(count)])
+        start, last, views = runs[-1]
+        due = int((last + self.idle).timestamp() * 1000)
+        if due != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(due)
-            timer = due
-        self.run.update((start.to_pydatetime(), last.to_pydatetime(), views, timer))
-        yield pd.DataFrame({"item": pd.Series([key[0]], dtype=object), "run_start": [start], "last_seen": [last], "views": [views]})
+        self.run.update((start.to_pydatetime(), last.to_pydatetime(), views, due))
+        columns = list(zip(*runs))
+        yield pd.DataFrame({
+            "item": pd.Series([key[0]] * len(runs), dtype=object), "run_start": columns[0], "last_seen": columns[1], "views": columns[2],
+        })
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.run.clear()
@@ -68,7 +74,7 @@ def start_views(
     """Write the runs that each micro-batch has changed into a folder of that batch; a batch
     that runs twice replaces its folder. The session needs ``STATE_STORE``."""
     runs = hourly_views(events, item, late, key).groupBy("item").transformWithStateInPandas(
-        statefulProcessor=ViewRuns(idle_hours * 3_600_000), outputStructType=RUN, outputMode="Append", timeMode="EventTime")
+        statefulProcessor=ViewRuns(idle_hours), outputStructType=RUN, outputMode="Append", timeMode="EventTime")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{place}/batch={number}")

@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from offerlens.llm.arrow import map_batches, texts
+from offerlens.llm.unsettled import unsettled
 
 NONE = np.int64(1) << np.int64(60)
 _FOREST_WIDTH = 64
@@ -74,6 +75,7 @@ class Encoder:
         self._tokens = {i: t for t, i in [*vocab.items(), *added.items()]}
         self._words: dict[str, bytes] = {}
         self._bpe: dict[str, bytes] = {}
+        self._path, self._library = path, None
 
     # pieces ------------------------------------------------------------------
     def _normal(self, chunk: str) -> str:
@@ -81,6 +83,18 @@ class Encoder:
             return chunk.lower()
         return "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
 
+    def _cut(self, chunk: str) -> list[str]:
+        """The pieces of a run without white space. Where it holds code points of a newer
+        Unicode version than Python's, the library's own rules say what is a letter."""
+        if not unsettled(chunk):
+            return self._pieces(self._normal(chunk))
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        normal = self._library.normalizer.normalize_str(chunk)
+        return [normal[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(normal)]
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left << 32 | right
         at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
@@ -207,7 +221,7 @@ class Encoder:
         if len(self._bpe) > _CACHE_MOST:
             self._bpe.clear()
         new = [c for c in chunks if c not in self._words]
-        cut = [self._pieces(self._normal(c)) for c in new]
+        cut = [self._cut(c) for c in new]
         fresh = [p for p in {p for ps in cut for p in ps} if p not in self._bpe]
         self._bpe.update(zip(fresh, self._encode_pieces([p.encode() for p in fresh])))
         known = self._bpe.__getitem__

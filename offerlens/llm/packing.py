@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from offerlens.llm.arrow import slices, texts
+from offerlens.llm.unsettled import unsettled
 
 LENGTHS = (512, 1024, 2048, 4096)
 GROUP_TOKENS = 4 << 20
@@ -162,15 +163,21 @@ class WordIds:
             ids = self._encode([" ".join(part)])[0]
             stops = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
             if len(stops) != len(part):
-                raise ValueError("the vocabulary doesn't mark the ends of words")
+                if len(part) == 1:  # the library cuts it into several words
+                    self._known[part[0]] = ids.tobytes()
+                else:  # look for the word that it cuts otherwise
+                    self._learn(part[: len(part) // 2])
+                    self._learn(part[len(part) // 2 :])
+                continue
             flat = ids.tobytes()
             self._known.update(zip(part, (flat[a:b] for a, b in zip([0, *stops], stops))))
 
     @staticmethod
     def _plain(text: str) -> bool:
-        """Special tokens, separators that only Python knows, and letters whose lower
-        case hangs on what stands around them need the whole text."""
-        return not ("<|" in text or "\u03a3" in text or "\u0130" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"))
+        """Special tokens, separators that only Python knows, letters whose lower case
+        hangs on what stands around them, and code points that Python's tables don't
+        know need the whole text."""
+        return not (unsettled(text) or "<|" in text or "\u03a3" in text or "\u0130" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"))
 
     def _words(self, chunk: str) -> list[str]:
         """The words of a run without white space; most are letters and a stop."""

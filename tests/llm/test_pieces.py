@@ -234,3 +234,18 @@ def test_sections_of_an_article_stay(inside):
     got = tree_extract.main_text(f"<body><nav><a href=/>Home</a></nav>{_LINKS}{inside.format(**parts)}<div class=comments><p>{_LONG}</p></div><footer>F</footer></body>").split("\n")
     assert got[got.index(_LONG.strip()) :] == [_LONG.strip()] * 30 + [_SHORT.strip(), "cell one", "cell two, and what it says of the matter at hand, in words"]
     assert set(got) - {_LONG.strip(), _SHORT.strip(), "T"} == {"cell one", "cell two, and what it says of the matter at hand, in words"}
+
+
+def test_every_code_point_encodes_as_the_library(tokenizer):
+    """Unassigned and new ones too; of the large blocks of ideographs some each."""
+    from tokenizers import Tokenizer
+
+    model, own, words = Tokenizer.from_file(tokenizer), bpe.encoder(tokenizer), packing.word_ids(tokenizer)
+    large = ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0xE0000), (0xE1000, 0x110000))
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c % 997 == 0 or not any(a <= c < b for a, b in large))]
+    for s in range(0, len(points), 100):
+        part = [chr(c) for c in points[s : s + 100]]
+        texts = [" ".join(f"ab{c}cd" for c in part), " ".join(f"{c}X" for c in part)]
+        want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+        for got in (own.encode_batch(texts), words.batch(texts)):
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == want, hex(points[s])

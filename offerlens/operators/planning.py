@@ -169,3 +169,21 @@ def genre_frontier(edges: DataFrame, root, depth: int) -> DataFrame:
             F.coalesce("_child", "genre_id").alias("genre_id")
         )
     return front
+
+
+def genre_closure(edges: DataFrame, root, most: int = 100) -> DataFrame:
+    """Every genre below the root with its least ``depth``, whatever the depth of the tree. A
+    way that comes back to a genre it has passed ends there, so cycles end; ways of more
+    than ``most`` levels are an error."""
+    kind = dict(edges.dtypes)["child_id"]
+    links = edges.select("parent_id", "child_id").distinct()
+    return edges.sparkSession.sql(
+        f"""
+        WITH RECURSIVE ways(genre_id, depth, passed) MAX RECURSION LEVEL {int(most)} AS (
+          SELECT CAST(:root AS {kind}), 0, array(CAST(:root AS {kind}))
+          UNION ALL
+          SELECT e.child_id, ways.depth + 1, array_append(ways.passed, e.child_id)
+          FROM ways JOIN {{edges}} e ON e.parent_id = ways.genre_id WHERE NOT array_contains(ways.passed, e.child_id))
+        SELECT genre_id, min(depth) AS depth FROM ways GROUP BY genre_id""",
+        args={"root": root}, edges=links,
+    )

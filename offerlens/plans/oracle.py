@@ -680,3 +680,6 @@ _AT = [(given, {m: V.price_sql(m, held) for m in ("server", "client", "chart")})
 ORACLE["sql_net_prices"] = _with(V.OBS, V.SNAP, body=" UNION ALL ".join(
     f"SELECT variant_uid, CAST({given} AS DOUBLE) AS multiplier, {p['client']['points']} AS points, "
     + ", ".join(f"{p[m]['net']} AS {m}_net" for m in p) + " FROM snap" for given, p in _AT))
+ORACLE["genre_closure"] = _with(V.EDGES, """ties AS (SELECT * FROM edges UNION ALL SELECT child_id, parent_id FROM edges WHERE parent_id >= 100)""", """ways AS (
+    SELECT 0 AS genre_id UNION SELECT child_id FROM ways JOIN ties ON parent_id = genre_id)""", body="""
+  SELECT genre_id, CAST(CASE WHEN genre_id = 0 THEN 0 WHEN genre_id < 1000 THEN 1 ELSE 2 END AS INTEGER) AS depth FROM ways""", recursive=True)

@@ -663,6 +663,14 @@ def shop_frontier(d: Domain) -> DataFrame:
     return P.shop_frontier(d.targets().withColumn("created_at", F.lit("2024-01-01")))
 
 
+@query
+def genre_closure(d: Domain) -> DataFrame:
+    """All genres below the root by their depth, with edges that lead back up."""
+    edges = d.genre_edges()
+    back = edges.filter("parent_id >= 100").select(F.col("child_id").alias("parent_id"), F.col("parent_id").alias("child_id"))
+    return P.genre_closure(edges.unionByName(back), 0)
+
+
 @query
 def genre_frontier(d: Domain) -> DataFrame:
     one = P.genre_frontier(d.genre_edges(), 0, 1).withColumn("depth", F.lit(1))

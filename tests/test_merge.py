@@ -146,6 +146,14 @@ def test_frontiers(spark):
     assert [depth(d) for d in (0, 1, 2, 3, 9)] == [[0], [1, 2], [2, 11], [2, 111], [2, 111]]
 
 
+def test_genre_closure_ends_on_cycles(spark):
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 1), (3, 0), (0, 3), (5, 6), (0, 1)], "parent_id int, child_id int")
+    assert {r.genre_id: r.depth for r in P.genre_closure(edges, 0).collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
+    long = spark.range(40).selectExpr("cast(id as int) as parent_id", "cast(id + 1 as int) as child_id")
+    assert P.genre_closure(long, 0).agg(F.max("depth")).first()[0] == 40
+    assert [tuple(r) for r in P.genre_closure(edges, 9).collect()] == [(9, 0)]
+
+
 def test_new_jobs_and_repair(spark):
     jobs = spark.createDataFrame([("detail_scrape", "u1", "pending"), ("detail_scrape", "u2", "done"), ("list_scrape", "u3", "running")],
                                  "job_type string, target_url string, status string")

@@ -9,22 +9,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
 
-
-@cache
-def pattern() -> re.Pattern[str]:
-    """Matches any code point that Python's Unicode tables have as unassigned."""
-    ranges, start = [], None
-    for x in range(0x110001):
-        unknown = x < 0x110000 and unicodedata.category(chr(x)) == "Cn"
-        if unknown and start is None:
-            start = x
-        elif not unknown and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{x - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(ranges)}]")
+# From the first code point on that Python's tables don't have. One range is searched
+# fast; texts of Latin letters have nothing in it.
+_FIRST = next(x for x in range(0x110000) if unicodedata.category(chr(x)) == "Cn")
+_LATER = re.compile(f"[{chr(_FIRST)}-\U0010ffff]")
+_SETTLED: set[str] = set()
 
 
 def unsettled(text: str) -> bool:
-    return not text.isascii() and pattern().search(text) is not None
+    """Whether Python's tables have any of the text's code points as unassigned."""
+    if text.isascii() or not _LATER.search(text):
+        return False
+    new = set(text) - _SETTLED
+    known = {c for c in new if unicodedata.category(c) != "Cn"}
+    _SETTLED.update(known)
+    return len(known) < len(new)

@@ -88,32 +88,30 @@ def _pairs(query: Column) -> Column:
 
 
 def _rebuilt(url, drop: Iterable[str], drop_exact: Iterable[str]) -> Column:
-    url = _col(url)
+    return let(_pieces(_col(url)), lambda u: let(_pairs(u["query"]), lambda pairs: _joined(u, pairs, drop, drop_exact)))
+
+
+def _joined(u: Column, pairs: Column, drop: Iterable[str], drop_exact: Iterable[str]) -> Column:
+    """An address from its pieces and the parameters that stay."""
     dropped = F.array(*[F.lit(d) for d in drop])
     exact = F.array(*[F.lit(d) for d in drop_exact]) if drop_exact else F.array().cast("array<string>")
 
     def kept(names):
         return F.filter(names, lambda k: ~F.array_contains(dropped, F.lower(k)) & ~F.array_contains(exact, k))
 
-    def tail(pairs):
-        names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-        grouped = F.flatten(
-            F.transform(
-                kept(names),
-                lambda k: F.transform(
-                    F.filter(pairs, lambda p: p["k"] == k),
-                    lambda p: F.concat(_encode(k), F.lit("="), _encode(p["v"])),
-                ),
-            )
+    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    grouped = F.flatten(
+        F.transform(
+            kept(names),
+            lambda k: F.transform(
+                F.filter(pairs, lambda p: p["k"] == k),
+                lambda p: F.concat(_encode(k), F.lit("="), _encode(p["v"])),
+            ),
         )
-        return F.array_join(grouped, "&")
-
-    def whole(u):
-        base = F.concat(F.lower(u["scheme"]), F.lit("://"), _host(u["address"]), F.rtrim(_path(u["path"]), F.lit("/")), F.lit("/"))
-        query = F.when(u["query"] != "", F.nullif(let(_pairs(u["query"]), tail), F.lit("")))
-        return F.concat(base, F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
-
-    return let(_pieces(url), whole)
+    )
+    base = F.concat(F.lower(u["scheme"]), F.lit("://"), _host(u["address"]), F.rtrim(_path(u["path"]), F.lit("/")), F.lit("/"))
+    query = F.when(u["query"] != "", F.nullif(F.array_join(grouped, "&"), F.lit("")))
+    return F.concat(base, F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
 
 
 def canonical_url(url, tracking: Iterable[str] = TRACKING_PARAMS) -> Column:
@@ -126,7 +124,11 @@ def clean_tracking(url, tracking: Iterable[str] = TRACKING_PARAMS) -> Column:
 
 def query_value(url, name: str) -> Column:
     """First value of one query parameter, or NULL."""
-    return F.get(F.filter(query_pairs(url), lambda p: p["k"] == name), F.lit(0))["v"]
+    return _first_value(query_pairs(url), name)
+
+
+def _first_value(pairs: Column, name: str) -> Column:
+    return F.get(F.filter(pairs, lambda p: p["k"] == name), F.lit(0))["v"]
 
 
 def url_variant_id(url) -> Column:
@@ -134,18 +136,37 @@ def url_variant_id(url) -> Column:
 
 
 def path_parts(url) -> Column:
-    return F.filter(F.split(path(url), "/"), lambda p: p != "")
+    return _parts(path(url))
+
+
+def _parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda p: p != "")
 
 
 def shop_item_code(url) -> Column:
     """(shop_code, item_code) from the first two path parts, NULL if there are
     fewer than two."""
-    return let(path_parts(url), lambda parts: F.when(
+    return _codes(path_parts(url))
+
+
+def _codes(parts: Column) -> Column:
+    return let(parts, lambda parts: F.when(
         F.size(parts) >= 2,
         F.struct(F.get(parts, F.lit(0)).alias("shop_code"), F.get(parts, F.lit(1)).alias("item_code")),
     ))
 
 
+def item_address(url, tracking: Iterable[str] = TRACKING_PARAMS) -> Column:
+    """``canonical_url``, ``url_variant_id`` and the ``codes`` of a URL, taken apart
+    once; each is what the function of its name gives."""
+    def whole(u, pairs):
+        return F.struct(
+            _joined(u, pairs, tracking, (VARIANT_PARAM,)).alias("canonical_url"),
+            _first_value(pairs, VARIANT_PARAM).alias("url_variant_id"), _codes(_parts(_path(u["path"]))).alias("codes"))
+
+    return let(_pieces(_col(url)), lambda u: let(_pairs(u["query"]), lambda pairs: whole(u, pairs)))
+
+
 def store_code(url) -> Column:
     return shop_item_code(url)["shop_code"]
 

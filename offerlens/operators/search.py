@@ -26,18 +26,26 @@ SORTS = ("price_asc", "price_desc", "updated", "name", "effective")
 NAME_COLLATION = "UNICODE_CI_AI"
 
 
+# Order → column, whether it falls, whether offers without a value come first.
+_ORDERS = {
+    "price_asc": ("price", False, True), "price_desc": ("price", True, False), "updated": ("fetched_at", True, False),
+    "name": ("item_name", False, True), "effective": ("effective_price", False, False),
+}
+
+
+def _compared(sort_by: str, value: Column) -> Column:
+    return F.collate(value, NAME_COLLATION) if sort_by == "name" else value
+
+
 def sort_order(sort_by: str) -> list[Column]:
     """Every order ends in the variant's key, so that pages never overlap."""
-    first = {
-        "price_asc": F.col("price").asc_nulls_first(),
-        "price_desc": F.col("price").desc_nulls_last(),
-        "updated": F.col("fetched_at").desc_nulls_last(),
-        "name": F.collate("item_name", NAME_COLLATION).asc_nulls_first(),
-        "effective": F.col("effective_price").asc_nulls_last(),
-    }
-    if sort_by not in first:
+    if sort_by not in _ORDERS:
         raise ValueError(f"sort_by must be one of {SORTS}")
-    return [first[sort_by], F.col("variant_uid").asc()]
+    column, falls, empty_first = _ORDERS[sort_by]
+    value = _compared(sort_by, F.col(column))
+    first = (value.desc_nulls_first() if empty_first else value.desc_nulls_last()) if falls else (
+        value.asc_nulls_first() if empty_first else value.asc_nulls_last())
+    return [first, F.col("variant_uid").asc()]
 
 
 def name_contains(column: str, text: str, collation: str | None = NAME_COLLATION) -> Column:
@@ -194,36 +202,44 @@ def widen(page: DataFrame, items: DataFrame, variants: DataFrame, snapshots: Dat
     return wide.select(*[c for c in RESULT_COLUMNS if c in wide.columns])
 
 
+def sorted_rows(search: Search, sort_by: str, items: DataFrame, variants: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Narrow rows of a search that hold what an order sorts by."""
+    return _with_net(search.sorted_by(sort_by).narrow(items, variants, snapshots, keep=_SORT_COLUMNS[sort_by]), sort_by)
+
+
 def search_products(
     items: DataFrame, variants: DataFrame, snapshots: DataFrame, shops: DataFrame, search: Search | None = None,
-    sort_by: str = "price_asc", page: int = 1, per_page: int = 50,
+    sort_by: str = "price_asc", page: int = 1, per_page: int = 50, after: tuple | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(page of wide rows, one-row total). The page is chosen on narrow rows
-    first; the wide columns are read for the chosen variants only."""
+    first; the wide columns are read for the chosen variants only. ``after`` names the
+    last row seen, as (its value in the order, its variant), and takes the place of
+    the page number: any page then costs what the first one costs."""
     order = sort_order(sort_by)
     search = (search or Search()).sorted_by(sort_by)
-    narrow = _with_net(search.narrow(items, variants, snapshots, keep=_SORT_COLUMNS[sort_by]), sort_by)
-    chosen = first_page(narrow, order, per_page) if page == 1 else page_rows(narrow, order, page, per_page)
+    narrow = sorted_rows(search, sort_by, items, variants, snapshots)
+    if after is not None:
+        chosen = after_key(narrow, *after, per_page, sort_by=sort_by)
+    else:
+        chosen = first_page(narrow, order, per_page) if page == 1 else page_rows(narrow, order, page, per_page)
     rows = _with_net(widen(chosen, items, variants, snapshots, shops), sort_by).orderBy(*order)
     return rows, search.count(items, variants, snapshots)
 
 
-def after_key(narrow: DataFrame, last_price: int | None, last_uid: str, per_page: int, descending: bool = False) -> DataFrame:
-    """The page after a given (price, variant): same rows as the offset page, at
-    the cost of a first page. NULL prices come first upwards, last downwards."""
-    price, uid = F.col("price"), F.col("variant_uid")
-    if descending:
-        ahead = (
-            (price < last_price) | price.isNull() | ((price == last_price) & (uid > last_uid))
-            if last_price is not None else price.isNull() & (uid > last_uid)
-        )
-        order = sort_order("price_desc")
+def after_key(narrow: DataFrame, last, last_uid: str, per_page: int, descending: bool = False, sort_by: str | None = None) -> DataFrame:
+    """The page after a given (value, variant) in an order, by price unless named: same
+    rows as the offset page, at the cost of a first page. ``last`` is None where the
+    last row had no value; such rows stand where the order puts them."""
+    sort_by = sort_by or ("price_desc" if descending else "price_asc")
+    order = sort_order(sort_by)
+    column, falls, empty_first = _ORDERS[sort_by]
+    empty, later = F.col(column).isNull(), F.col("variant_uid") > last_uid
+    if last is None:
+        ahead = (empty & later) | (~empty if empty_first else F.lit(False))
     else:
-        ahead = (
-            (price > last_price) | ((price == last_price) & (uid > last_uid))
-            if last_price is not None else price.isNotNull() | (uid > last_uid)
-        )
-        order = sort_order("price_asc")
+        value, seen = _compared(sort_by, F.col(column)), _compared(sort_by, F.lit(last))
+        ahead = (value < seen if falls else value > seen) | ((value == seen) & later)
+        ahead = ahead if empty_first else ahead | empty
     return narrow.filter(ahead).orderBy(*order).limit(per_page)
 
 

@@ -105,6 +105,11 @@ ORACLE["search_count"] = _with(*_SEARCH, body=f"""
     UNION ALL SELECT 'name', count(*) FROM wide WHERE {_ACTIVE} AND item_name ILIKE '%widget%' AND price <= 2000)""")
 ORACLE["search_keyset_page"] = _with(*_SEARCH, body=f"SELECT variant_uid, product_uid, price FROM ({_page('true', _UP, 50, 50)})")
 
+ORACLE["search_keyset_orders"] = _with(*_GAPS, _NET, body=" UNION ALL ".join(
+    f"SELECT '{name}' AS sort_by, variant_uid, product_uid FROM ({_page(where, order, 50, 50, price=False).replace('FROM wide', 'FROM net')})"
+    for name, where, order in (
+        ("price_desc", "price IS NOT NULL", _DOWN), ("updated", "seen_at IS NOT NULL", "seen_at DESC NULLS LAST"),
+        ("name", "true", "lower(item_name) ASC NULLS FIRST"), ("effective", "true", "effective_price ASC NULLS LAST"))))
 ORACLE["search_far_page"] = _with(*_SEARCH, body=_page("true", _UP, 50).replace(
     "LIMIT 50 OFFSET 0", f"LIMIT 50 OFFSET (SELECT greatest(count(*) // 50 - 1, 0) * 50 FROM wide WHERE {_ACTIVE} AND price IS NOT NULL)"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -202,6 +203,20 @@ def search_keyset_page(d: Domain) -> DataFrame:
     return S.after_key(narrow, last["price"], last["variant_uid"], 50).select("variant_uid", "product_uid", "price")
 
 
+@query
+def search_keyset_orders(d: Domain) -> DataFrame:
+    """Page 2 by key in the other orders, on a catalogue with offers without prices
+    and names that differ in case alone."""
+    items, snapshots = _gappy(d)
+    pages = []
+    for sort_by, column in (("price_desc", "price"), ("updated", "fetched_at"), ("name", "item_name"), ("effective", "effective_price")):
+        rows = S.sorted_rows(S.Search(), sort_by, items, d.variants(), snapshots)
+        last = first_page(rows, S.sort_order(sort_by), 50).select(column, "variant_uid").collect()[-1]
+        page = S.after_key(rows, last[column], last["variant_uid"], 50, sort_by=sort_by)
+        pages.append(page.select(F.lit(sort_by).alias("sort_by"), "variant_uid", "product_uid"))
+    return reduce(DataFrame.unionAll, pages)
+
+
 @query
 def search_far_page(d: Domain) -> DataFrame:
     """The last full page of all offers by price, cut out of distributed positions."""

@@ -195,3 +195,13 @@ def test_display_and_keys(spark):
     assert h[0] == h[1] != h[2] and len(h[0]) == 64
     assert one(spark, P.clamp_multiplier(0.5)) == 1.0
     assert math.isclose(one(spark, P.clamp_multiplier(7.5)), 7.5)
+
+
+def test_an_address_taken_apart_once_gives_the_same_parts(spark):
+    urls = [None, "", "https://item.example.com/a/b/?variantId=7&x=1&x=2&utm_source=q#f", "//host/a/b", "/a/b;c/?variantId=", "HTTP://U:P@H.example.com:80/a/b;c",
+            "https://item.example.com/a", "  https://item.example.com//a//b//?q=%E3%81%82+z&variantId=%20", "not an address", "https://h/a/b?variantId=1&variantId=2"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    got = df.select(U.item_address("u").alias("a"), U.canonical_url("u").alias("c"), U.url_variant_id("u").alias("v"), U.shop_item_code("u").alias("s")).collect()
+    for r in got:
+        a = r.a or (None, None, None)
+        assert (a[0], a[1], a[2]) == (r.c, r.v, r.s)

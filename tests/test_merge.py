@@ -173,6 +173,22 @@ def test_keyset_pages_cover_everything(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("sort_by,column,kind,values", [
+    ("updated", "fetched_at", "string", [None, "2024-01-01", "2024-01-02"]), ("effective", "effective_price", "int", [None, 5, 6]),
+    ("name", "item_name", "string", [None, "étui", "Etui", "ETUI", "lamp", "Lamp"])])
+def test_keyset_pages_cover_everything_in_all_orders(spark, sort_by, column, kind, values):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(f"v{i:03d}", rng.choice(values)) for i in range(61)], f"variant_uid string, {column} {kind}")
+    want = df.orderBy(*S.sort_order(sort_by)).collect()
+    got, page = [], want[:9]
+    while page:
+        got += page
+        page = S.after_key(df, page[-1][column], page[-1].variant_uid, 9, sort_by=sort_by).collect()
+    assert got == want
+    with pytest.raises(ValueError):
+        S.after_key(df, None, "v", 9, sort_by="colour")
+
+
 def test_names_without_regard_to_case_and_accents(spark):
     df = spark.createDataFrame([("Étui Rouge",), ("etui",), ("ﾃﾞﾆﾑ",), ("デニム パンツ",), ("50% off",)], "item_name string")
     hits = lambda c: sorted(r.item_name for r in df.filter(c).collect())

@@ -13,16 +13,18 @@ from offerlens.operators.search import RESULT_COLUMNS
 
 def jan_offers(
     items: DataFrame, variants: DataFrame, snapshots: DataFrame, jan: str | None = None,
-    multiplier: float = 4.0, mode: str = "chart",
+    multiplier: float = 4.0, mode: str = "chart", home: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Active variants that carry a JAN, with their net price."""
+    """Active variants that carry a JAN, with their net price. ``home`` names columns that
+    all three tables are stored by: the product and what else places a row."""
     own = variants.filter(F.col("is_active"))
     own = own.filter(F.col("jan_code") == jan) if jan else own.filter(F.col("jan_code").isNotNull() & (F.col("jan_code") != ""))
-    live = items.filter(F.col("is_active")).select("product_uid", "shop_code", "item_code", "item_name", "canonical_url")
+    place = [c for c in home if c != "product_uid"]
+    live = items.filter(F.col("is_active")).select("product_uid", *place, "shop_code", "item_code", "item_name", "canonical_url")
     rows = (
-        own.select("variant_uid", "product_uid", "variant_code", "jan_code", "variant_name")
-        .join(live, "product_uid")
-        .join(snapshots, "variant_uid", "left")
+        own.select("variant_uid", "product_uid", *place, "variant_code", "jan_code", "variant_name")
+        .join(live, ["product_uid", *place])
+        .join(snapshots, ["variant_uid", *home], "left")
     )
     value = offer_value(multiplier=multiplier, mode=mode)
     return rows.withColumn("_value", value).select(

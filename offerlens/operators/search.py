@@ -152,18 +152,14 @@ class Search:
         return self.narrow(items, variants, snapshots).agg(F.count("*").alias("total"))
 
 
-def count_searches(items: DataFrame, variants: DataFrame, snapshots: DataFrame, searches: dict[str, Search]) -> DataFrame:
-    """(kind, total) of several searches in one pass: each table tells which searches
-    its rows meet, and one star join counts the rows that meet all of one."""
-    def flags(df: DataFrame, key: list[str], part: str) -> DataFrame:
-        met = {k: _all(getattr(s, part)) for k, s in searches.items()}
-        return df.select(*key, *[(F.lit(True) if c is None else F.coalesce(c, F.lit(False))).alias(f"{part}_{k}") for k, c in met.items()])
+def search_flags(df: DataFrame, key: list[str], part: str, searches: dict[str, Search]) -> DataFrame:
+    """The keys of each row of one table and which searches it meets there."""
+    met = {k: _all(getattr(s, part)) for k, s in searches.items()}
+    return df.select(*key, *[(F.lit(True) if c is None else F.coalesce(c, F.lit(False))).alias(f"{part}_{k}") for k, c in met.items()])
 
-    rows = flags(variants, ["variant_uid", "product_uid"], "variant").join(flags(items, ["product_uid"], "item"), "product_uid")
-    rows = rows.join(flags(snapshots, ["variant_uid"], "snapshot"), "variant_uid", "left")
-    if any(s.want_variants for s in searches.values()):
-        many = multi_variant_items(variants).select("product_uid", F.lit(True).alias("many"))
-        rows = rows.join(many, "product_uid", "left")
+
+def search_totals(rows: DataFrame, searches: dict[str, Search]) -> DataFrame:
+    """(kind, total) from joined flags; ``many`` tells items of several active variants."""
     totals = []
     for k, s in searches.items():
         met = F.col(f"variant_{k}") & F.col(f"item_{k}")
@@ -175,6 +171,18 @@ def count_searches(items: DataFrame, variants: DataFrame, snapshots: DataFrame,
     return rows.agg(F.array(*totals).alias("t")).select(F.inline("t"))
 
 
+def count_searches(items: DataFrame, variants: DataFrame, snapshots: DataFrame, searches: dict[str, Search]) -> DataFrame:
+    """(kind, total) of several searches in one pass: each table tells which searches
+    its rows meet, and one star join counts the rows that meet all of one."""
+    rows = search_flags(variants, ["variant_uid", "product_uid"], "variant", searches)
+    rows = rows.join(search_flags(items, ["product_uid"], "item", searches), "product_uid")
+    rows = rows.join(search_flags(snapshots, ["variant_uid"], "snapshot", searches), "variant_uid", "left")
+    if any(s.want_variants for s in searches.values()):
+        many = multi_variant_items(variants).select("product_uid", F.lit(True).alias("many"))
+        rows = rows.join(many, "product_uid", "left")
+    return search_totals(rows, searches)
+
+
 _SORT_COLUMNS = {
     "price_asc": ("price",), "price_desc": ("price",), "updated": ("fetched_at",), "name": ("item_name",),
     "effective": ("price", "point_rate", "point_back_percent", "coupon_yen", "coupon_percent"),

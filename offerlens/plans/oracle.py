@@ -103,6 +103,8 @@ ORACLE["search_count"] = _with(*_SEARCH, body=f"""
     UNION ALL SELECT 'jan', count(*) FROM wide WHERE {_ACTIVE} AND jan_code IS NOT NULL
     UNION ALL SELECT 'variants', count(*) FROM wide WHERE {_ACTIVE} AND siblings > 1
     UNION ALL SELECT 'name', count(*) FROM wide WHERE {_ACTIVE} AND item_name ILIKE '%widget%' AND price <= 2000)""")
+ORACLE["search_count_stored"] = ORACLE["search_count"]
+ORACLE["jan_cheapest_stored"] = ORACLE["jan_cheapest_all"]
 ORACLE["search_keyset_page"] = _with(*_SEARCH, body=f"SELECT variant_uid, product_uid, price FROM ({_page('true', _UP, 50, 50)})")
 
 ORACLE["search_keyset_orders"] = _with(*_GAPS, _NET, body=" UNION ALL ".join(

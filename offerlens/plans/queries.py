@@ -29,8 +29,9 @@ from offerlens.operators import search as S
 from offerlens.operators.ordered import first_page, latest_per_key, number_rows
 from offerlens.plans import documents as T
 from offerlens.plans.domain import Domain
-from offerlens.session import session_settings
+from offerlens.session import durable, session_settings
 from offerlens.sources import api_json, browse, detail_pages, list_pages, offers
+from offerlens.sources.star import HOME, Star, co_located, count_stored
 from offerlens.sources.tables import Tables
 from offerlens.streaming import rankings as L
 from offerlens.streaming.views import STATE_STORE, start_views, view_counts
@@ -184,17 +185,49 @@ def variant_counts(d: Domain) -> DataFrame:
     return S.multi_variant_items(d.variants())
 
 
+def _counted() -> dict[str, S.Search]:
+    return {
+        "coupon": S.Search(want_coupon=True).sorted_by("price_asc"), "jan": S.Search(want_jan=True),
+        "variants": S.Search(want_variants=True), "name": S.Search(q="widget", price_max=2000),
+    }
+
+
 @query
 def search_count(d: Domain) -> DataFrame:
     items, variants, snaps = d.items(), d.variants(), d.snapshots()
     unfiltered = snaps.agg(F.count("price").alias("total")).select(F.lit("all").alias("kind"), "total")
-    filtered = S.count_searches(items, variants, snaps, {
-        "coupon": S.Search(want_coupon=True).sorted_by("price_asc"), "jan": S.Search(want_jan=True),
-        "variants": S.Search(want_variants=True), "name": S.Search(q="widget", price_max=2000),
-    })
+    filtered = S.count_searches(items, variants, snaps, _counted())
     return unfiltered.unionByName(filtered).withColumn("pages", S.page_count(F.col("total"), 50))
 
 
+def _star(d: Domain) -> Star:
+    place = d.scratch("star")
+    # Products here have up to seven variants: those with more than four take two parts.
+    return Star(d.spark, place.rsplit("/", 1)[-1].replace("-", "_")).write(place, d.items(), d.variants(), d.snapshots(), buckets=16, widest=4)
+
+
+@query
+def search_count_stored(d: Domain) -> DataFrame:
+    """The same counts over the stored star, whose joins move no rows."""
+    star = _star(d)
+    with co_located(d.spark):
+        unfiltered = star.snapshots.agg(F.count("price").alias("total")).select(F.lit("all").alias("kind"), "total")
+        found = durable(unfiltered.unionByName(count_stored(star, _counted())))
+    star.drop()
+    return found.withColumn("pages", S.page_count(F.col("total"), 50))
+
+
+@query
+def jan_cheapest_stored(d: Domain) -> DataFrame:
+    """The cheapest offer of every JAN over the stored star: one shuffle, of partial
+    aggregates."""
+    star = _star(d)
+    with co_located(d.spark):
+        found = durable(J.cheapest_per_jan(J.jan_offers(star.items, star.variants, star.snapshots, mode="server", home=HOME)))
+    star.drop()
+    return found
+
+
 @query
 def search_keyset_page(d: Domain) -> DataFrame:
     """Page 2 by key: the rows after the last one of page 1, found as its 50th."""

@@ -61,6 +61,11 @@ class Star:
         is no such variant."""
         return self._read("snapshots")
 
+    def plain(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Items, variants and snapshots in the shape that every operator takes."""
+        items = self.items.filter(F.col("part") == 0).drop("part", "siblings")
+        return items, self.variants.drop("part"), self.snapshots.drop(*HOME)
+
     def write(self, root: str, items: DataFrame, variants: DataFrame, snapshots: DataFrame, buckets: int = 64, widest: int = 100_000) -> Star:
         """Store the three tables below ``root``. Keys are unique in each of them: items by
         product, variants and snapshots by variant; a variant names its product."""

@@ -81,6 +81,13 @@ def test_wide_product_is_dealt_over_parts(spark, tables, star):
     assert (lost.product_uid, lost.part) == ("lost:1:1", 0) and star.snapshots.count() == tables[2].count()
 
 
+def test_plain_tables_are_those_written(tables, star):
+    for given, stored in zip(tables, star.plain()):
+        kept = stored.select(*given.columns)
+        assert set(stored.columns) == set(given.columns)
+        assert kept.exceptAll(given).isEmpty() and given.exceptAll(kept).isEmpty()
+
+
 def test_one_file_per_bucket(spark, star):
     files = star.variants.select(F.input_file_name().alias("f")).distinct().count()
     assert files <= 8

@@ -188,6 +188,20 @@ ORACLE["priced_history_changes"] = _with(V.OBS_PART, V.DAILY, _CHANGED, body=f""
   SELECT variant_uid, {_day('record_date')} AS record_date, price, {C['points']} AS points, {C['less_points']} AS price_minus_points,
     {C['coupon']} AS coupon, {C['net']} AS effective_price
   FROM changed WHERE record_date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31'""")
+_STEPS = "hist AS (SELECT variant_uid, record_date, price // 2000 AS price, NULL AS coupon_yen, NULL AS coupon_percent, NULL AS point_rate FROM daily)"
+ORACLE["display_changes_coarse"] = _with(V.OBS_PART, V.DAILY.replace("hist AS", "daily AS", 1), _STEPS, _CHANGED, body=f"""
+  SELECT variant_uid, {_day('record_date')} AS record_date, price FROM changed""")
+
+# stored tables ---------------------------------------------------------------------
+
+ORACLE["history_stored"] = _with(V.OBS_PART, V.DAILY, body=f"""
+  SELECT {_HCOLS} FROM hist WHERE record_date BETWEEN DATE '1997-03-10' AND DATE '1998-08-20'""")
+ORACLE["observations_stored"] = _with(V.LIST_OBS, body=f"""
+  SELECT {_day("date_trunc('quarter', observed_at)")} AS observed_date, count(*) AS rows, CAST(sum(observed_price) AS BIGINT) AS prices, count(coupon_discount) AS coupons,
+    count(*) FILTER (is_free_shipping) AS free, max(shop_code) AS last_shop FROM list_obs GROUP BY 1""")
+ORACLE["history_exported"] = _with(V.OBS_PART, V.DAILY, body=f"""
+  SELECT {_day('record_date')} AS record_date, COALESCE(price, 0) AS price, {C['points']} AS points, {C['less_points']} AS price_minus_points,
+    {C['coupon']} AS coupon, {C['net']} AS effective_price FROM hist""")
 
 # merges ---------------------------------------------------------------------------
 
@@ -298,6 +312,8 @@ ORACLE["retention_history"] = _with(V.OBS_PART, V.DAILY, body=f"""
   WHERE record_date >= CAST({_AS_OF} AS DATE) - 730 GROUP BY 1""")
 ORACLE["retention_events"] = _with(V.BROWSE, body=f"""
   SELECT event_id, user_id, shop_code, {_ts('browsed_at')} AS browsed_at FROM browse WHERE browsed_at >= {V.EVENTS_AS_OF} - INTERVAL 7 DAY""")
+ORACLE["history_trimmed"] = ORACLE["retention_history"]
+ORACLE["events_trimmed"] = ORACLE["retention_events"]
 ORACLE["retention_items"] = f"""WITH e AS (SELECT l_suppkey || ':' || l_partkey AS product_uid, bool_or(l_linenumber = 7) AS seen_in_ext,
     min(l_shipdate) FILTER (l_linenumber = 7) AS first_seen, count(*) FILTER (l_linenumber = 7) AS views, bool_or(l_linenumber = 1) AS in_crawl,
     l_partkey % 11 <> 0 AS is_active FROM lineitem GROUP BY l_suppkey, l_partkey),
@@ -331,6 +347,9 @@ ORACLE["job_stats"] = _with(V.JOBS, f"""c AS (SELECT t.job_type, {_STATUS_COUNTS
     FROM (VALUES {', '.join(f"('{t}')" for t in JOB_TYPES)}) t(job_type) LEFT JOIN jobs USING (job_type) GROUP BY 1)""", body="""
   SELECT *, CASE WHEN total > 0 THEN done * 100.0::DOUBLE / total ELSE 0.0 END AS success_percent,
     CASE WHEN total = 0 THEN 'WARN' WHEN done * 100.0 / total > 80 THEN 'PASS' WHEN done * 100.0 / total > 50 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM c""")
+_ENDED = """jobs AS (SELECT * REPLACE (CASE WHEN job_type = 'api_discovery' AND id % 10 >= 1 OR job_type = 'list_scrape' AND id % 10 >= 3 OR id % 10 >= 6
+    THEN 'done' WHEN id % 2 = 0 THEN 'failed' ELSE 'skipped' END AS status) FROM started)"""
+ORACLE["job_stats_ended"] = ORACLE["job_stats"].replace(V.JOBS, V.JOBS.replace("jobs AS", "started AS", 1) + ",\n" + _ENDED)
 ORACLE["job_daily_stats"] = _with(V.JOBS, body=f"""
   SELECT {_day('created_at')} AS stat_date, job_type, count(*) AS total_jobs, count(*) FILTER (status = 'done') AS success_count,
     count(*) FILTER (status = 'failed') AS fail_count, count(*) FILTER (status = 'skipped') AS skip_count,

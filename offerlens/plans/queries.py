@@ -31,9 +31,11 @@ from offerlens.plans import documents as T
 from offerlens.plans.domain import Domain
 from offerlens.session import durable, session_settings
 from offerlens.sources import api_json, browse, detail_pages, list_pages, offers
+from offerlens.sources.csv_export import write_csv
 from offerlens.sources.star import HOME, Star, co_located, count_stored
 from offerlens.sources.tables import Tables
 from offerlens.streaming import rankings as L
+from offerlens.streaming.catalogue import trim_events, trim_history
 from offerlens.streaming.views import STATE_STORE, start_views, view_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,6 +381,69 @@ def priced_history_changes(d: Domain) -> DataFrame:
     return shown(H.priced_history(_daily(d), start="1998-01-01", end="2000-12-31", changes_only=True))
 
 
+@query
+def display_changes_coarse(d: Domain) -> DataFrame:
+    """Daily rows in steps of 2000, where many repeat the next newer one."""
+    steps = _daily(d).withColumns({"price": F.floor(F.col("price") / 2000), **{c: F.lit(None).cast("double") for c in ("coupon_yen", "coupon_percent", "point_rate")}})
+    return shown(H.display_changes(steps).select("variant_uid", "record_date", "price"))
+
+
+# stored tables -----------------------------------------------------------------------
+
+
+@query
+def history_stored(d: Domain) -> DataFrame:
+    """History written by month and scanned between two days: other months go unread."""
+    tables = Tables(d.spark, d.scratch("history"))
+    tables.append(_daily(d), "variant_daily_history")
+    rows = tables.scan_history("1997-03-10", "1998-08-20")
+    return shown(rows.select("variant_uid", "record_date", "price", "coupon_yen", *[F.col(c).cast("double").alias(c) for c in ("point_rate", "coupon_percent")]))
+
+
+@query
+def history_trimmed(d: Domain) -> DataFrame:
+    """Retention on the stored history: old months are dropped as folders."""
+    tables = Tables(d.spark, d.scratch("history"))
+    tables.append(_daily(d), "variant_daily_history")
+    trim_history(tables, d.as_of())
+    kept = tables.read("variant_daily_history")
+    return shown(kept.groupBy("variant_uid").agg(F.count("*").alias("rows"), F.min("record_date").alias("first_date")))
+
+
+@query
+def events_trimmed(d: Domain) -> DataFrame:
+    """Retention on stored events: old days are dropped as folders."""
+    tables = Tables(d.spark, d.scratch("events"))
+    tables.append(d.browse_events(), "user_browse_events")
+    trim_events(tables, d.events_as_of())
+    return shown(tables.read("user_browse_events").select("event_id", "user_id", "shop_code", "browsed_at"))
+
+
+@query
+def observations_stored(d: Domain) -> DataFrame:
+    """Listing observations appended in two batches, which share the days of their runs
+    (one run a quarter: thousands of days with few rows each are no table of this kind)."""
+    tables = Tables(d.spark, d.scratch("observations"))
+    rows = d.list_observations().withColumn("observed_at", F.date_trunc("quarter", "observed_at"))
+    odd = F.col("seq.l_orderkey") % 2 == 1
+    for batch in (rows.filter(odd), rows.filter(~odd)):
+        tables.append(batch, "list_observations")
+    days = tables.read("list_observations").groupBy("observed_date").agg(
+        F.count("*").alias("rows"), F.sum("observed_price").alias("prices"), F.count("coupon_discount").alias("coupons"),
+        F.count_if("is_free_shipping").alias("free"), F.max("shop_code").alias("last_shop"))
+    return shown(days)
+
+
+@query
+def history_exported(d: Domain) -> DataFrame:
+    """The priced history as CSV files, read back by place of the columns."""
+    place = d.scratch("csv")
+    write_csv(H.priced_history(_daily(d)), place, "chart")
+    names = ("record_date", "price", "points", "price_minus_points", "coupon", "effective_price")
+    back = d.spark.read.option("header", True).csv(place).toDF(*names)
+    return back.select(names[0], *[F.col(c).cast("bigint").alias(c) for c in names[1:]])
+
+
 # merges ---------------------------------------------------------------------------
 
 
@@ -652,6 +717,15 @@ def job_stats(d: Domain) -> DataFrame:
     return B.job_stats(d.jobs())
 
 
+@query
+def job_stats_ended(d: Domain) -> DataFrame:
+    """Jobs that all ended, by type with few, some and many that failed or were skipped."""
+    tenth, kind = F.col("id") % 10, F.col("job_type")
+    ended = F.when((kind == "api_discovery") & (tenth >= 1) | (kind == "list_scrape") & (tenth >= 3) | (tenth >= 6), F.lit("done")).when(
+        tenth % 2 == 0, F.lit("failed")).otherwise(F.lit("skipped"))
+    return B.job_stats(d.jobs().withColumn("status", ended))
+
+
 @query
 def job_daily_stats(d: Domain) -> DataFrame:
     return shown(B.daily_job_stats(d.jobs()))

@@ -11,7 +11,8 @@
    gives exact borders and the share of equal words, so edited passages are found too.
    Chains also join passages across foreign text; they are taken apart there.
 5. A run of aligned passages that covers at least ``LEAST`` words of a text in a row is
-   reported, with each passage's first holder.
+   reported, with each passage's first holder; none that lies within another one of the
+   same holder.
 
 Only texts in chains travel, packed. Rows without key or text, and texts of fewer
 words than ``LEAST``, hold no passage. Repeated rows are one text. Keys are integers.
@@ -20,7 +21,8 @@ words than ``LEAST``, hold no passage. Repeated rows are one text. Keys are inte
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.llm.arrow import map_batches, raw_texts
+from offerlens.llm.scratch import Scratch
 from offerlens.llm.shingles import rolling, word_hashes, words
-from offerlens.session import durable
 
 K, WINDOW = 6, 16
-MARGIN = 64  # words beyond a chain that alignment may look at
+MARGIN = 64  # words of the holder beyond a chain that travel at first; where they don't do, more follow
+AHEAD = 8  # words beyond its end that an extension looks at
 LEAST, PIECE = 50, 20  # words of a reported run, and of a passage within it
 GAP = 0.1  # cost of a skipped word on either side, in matched words
 IDENTITY = 0.8
@@ -131,46 +134,61 @@ def chains(matches: list[tuple[int, int]], k: int = K, gap: float = GAP) -> list
     return out
 
 
-def _gap_equal(a: list[bytes], b: list[bytes]) -> int:
-    """Words in common, in order, of two short runs; long runs only at equal offsets."""
-    if not a or not b:
-        return 0
-    if len(a) * len(b) > 10_000:
-        return max(sum(x == y for x, y in zip(a, b)), sum(x == y for x, y in zip(reversed(a), reversed(b))))
-    row = [0] * (len(b) + 1)
+LCS_BITS = 1 << 27  # bits of the rows that one traceback holds; longer runs are halved first
+
+
+def _lcs_rows(a: list[bytes], b: list[bytes]) -> Iterator[int]:
+    """For each word of ``a``: the row of the table of longest common subsequences, as
+    bits over ``b`` that are 0 where the length grows."""
+    at: dict[bytes, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            keep = row[j]
-            row[j] = last + 1 if x == y else max(keep, row[j - 1])
-            last = keep
-    return row[-1]
+        hit = row & at.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _grown(row: int, size: int) -> np.ndarray:
+    """Lengths for every prefix of ``b``, the empty one first."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-size // 8), "little"), np.uint8), bitorder="little")[:size]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _last_row(a: list[bytes], b: list[bytes]) -> int:
+    row = (1 << len(b)) - 1
+    for row in _lcs_rows(a, b):
+        pass
+    return row
 
 
-def _common(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
-    """The places of what ``_gap_equal`` counts."""
+def gap_equal(a: list[bytes], b: list[bytes]) -> int:
+    """Words in common, in order, of two runs of any length."""
+    return len(b) - _last_row(a, b).bit_count() if a and b else 0
+
+
+def common(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """The places of what ``gap_equal`` counts."""
     if not a or not b:
         return []
-    if len(a) * len(b) > 10_000:
-        shift = len(b) - len(a)
-        ahead = [(i, i) for i in range(min(len(a), len(b))) if a[i] == b[i]]
-        back = [(i, i + shift) for i in range(max(0, -shift), len(a)) if a[i] == b[i + shift]]
-        return max(ahead, back, key=len)
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        row, above = [0], rows[-1]
-        for j, y in enumerate(b, 1):
-            row.append(above[j - 1] + 1 if x == y else max(above[j], row[j - 1]))
-        rows.append(row)
+    if len(a) > 1 and len(a) * len(b) > LCS_BITS:
+        half = len(a) // 2
+        ahead = _grown(_last_row(a[:half], b), len(b))
+        back = _grown(_last_row(a[half:][::-1], b[::-1]), len(b))[::-1]
+        cut_at = int((ahead + back).argmax())
+        return common(a[:half], b[:cut_at]) + [(half + i, cut_at + j) for i, j in common(a[half:], b[cut_at:])]
+    rows = [(1 << len(b)) - 1, *_lcs_rows(a, b)]
     out, i, j = [], len(a), len(b)
     while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif rows[i - 1][j] >= rows[i][j - 1]:
+        if rows[i] >> (j - 1) & 1:  # nothing is gained by this word of b
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:  # nor by this word of a
             i -= 1
         else:
-            j -= 1
+            i, j = i - 1, j - 1
+            out.append((i, j))
     return out[::-1]
 
 
@@ -221,7 +239,7 @@ class Alignment:
         self.wide: list[tuple[int, int]] = []  # unequal words, run before them
         self.equal = [0, self.runs[0][2]]  # in the runs before, with the gaps between them
         for at, ((i, j, n), (x, y, m)) in enumerate(zip(self.runs, self.runs[1:])):
-            same = _gap_equal(a[i + n : x], b[j + n : y])
+            same = gap_equal(a[i + n : x], b[j + n : y])
             apart = max(x - i - n, y - j - n) - same
             if apart > WIDE and apart > same:
                 self.wide.append((apart, at))
@@ -236,6 +254,16 @@ class Alignment:
             self._gained[run, step] = _extend(self.a, self.b, i + last, j + last, step)
         return self._gained[run, step]
 
+    def cut_short(self, before: bool, after: bool) -> bool:
+        """Whether an extension came as near to an end of ``b`` as it looks ahead, where
+        more words stand before or after ``b``."""
+        for (run, step), gained in self._gained.items():
+            i, j, n = self.runs[run]
+            end = gained[-1][1] if gained else j if step < 0 else j + n - 1
+            if before and step < 0 and end < AHEAD or after and step > 0 and end >= len(self.b) - AHEAD:
+                return True
+        return False
+
     def whole(self, first: int, last: int) -> Passage:
         """Runs ``first`` to ``last`` as one passage."""
         ahead, beyond = self._beyond(first, -1), self._beyond(last, 1)
@@ -276,7 +304,7 @@ class Alignment:
             out += [(i + d, j + d) for d in range(n)]
             if at < last:
                 x, y, _ = self.runs[at + 1]
-                out += [(i + n + c, j + n + d) for c, d in _common(self.a[i + n : x], self.b[j + n : y])]
+                out += [(i + n + c, j + n + d) for c, d in common(self.a[i + n : x], self.b[j + n : y])]
         return out + self._beyond(last, 1)
 
 
@@ -388,11 +416,12 @@ def _chained(matches: DataFrame) -> DataFrame:
     return map_batches(grouped, make, "doc long, other long, chains array<array<int>>", NESTED)
 
 
-def _with_held(chained: DataFrame, blobs: DataFrame) -> DataFrame:
-    """(doc, other, from, chain, held): each chain with the part of its holder's words
-    that alignment may look at, so that no whole text travels for a short match."""
+def _with_held(chained: DataFrame, blobs: DataFrame, margin: int) -> DataFrame:
+    """(doc, other, from, after, chain, held): each chain with its holder's words there and
+    ``margin`` more on both sides, so that no whole text travels for a short match, and
+    whether more words follow."""
     both = chained.join(blobs.withColumnRenamed("doc", "other"), "other").select("doc", "other", "chains", "blob")
-    names = ["doc", "other", "from", "chain", "held"]
+    names = ["doc", "other", "from", "after", "chain", "held"]
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         pack, opened = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
@@ -404,20 +433,22 @@ def _with_held(chained: DataFrame, blobs: DataFrame) -> DataFrame:
                 if last[0] != blob:
                     last = (blob, words(opened(blob)))
                 for flat in found:
-                    start = max(0, flat[1] - MARGIN)
-                    out.append((doc, other, start, flat, pack(b" ".join(last[1][start : flat[-1] + K + MARGIN]))))
-            columns = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+                    start, stop = max(0, flat[1] - margin), flat[-1] + K + margin
+                    out.append((doc, other, start, stop < len(last[1]), flat, pack(b" ".join(last[1][start:stop]))))
+            columns = list(zip(*out)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
         return apply
 
-    return map_batches(both, make, "doc long, other long, from int, chain array<int>, held binary", NESTED)
+    return map_batches(both, make, "doc long, other long, from int, after boolean, chain array<int>, held binary", NESTED)
 
 
-def _aligned(chained: DataFrame, blobs: DataFrame) -> DataFrame:
-    both = _with_held(chained, blobs).join(blobs, "doc").select("doc", "other", "from", "chain", "held", "blob")
-    names = ["doc", "start", "stop", "other", "other_start", "other_stop", "equal"]
+def _aligned(chained: DataFrame, blobs: DataFrame, margin: int) -> DataFrame:
+    """Passages of the chains, and for a chain whose passages may go on beyond the margin
+    one row with the chain as ``wider`` instead."""
+    both = _with_held(chained, blobs, margin).join(blobs, "doc").select("doc", "other", "from", "after", "chain", "held", "blob")
+    names = ["doc", "start", "stop", "other", "other_start", "other_stop", "equal", "wider"]
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor().decompress
@@ -425,20 +456,48 @@ def _aligned(chained: DataFrame, blobs: DataFrame) -> DataFrame:
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[tuple] = []
             last: tuple[bytes, list[bytes]] = (b"", [])
-            for doc, other, start, flat, held, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, other, start, after, flat, held, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if last[0] != blob:
                     last = (blob, words(opened(blob)))
                 chain = [(x, y - start) for x, y in zip(flat[::2], flat[1::2])]
-                for s, e, t, f, equal in Alignment(last[1], opened(held).split(), chain).parts():
-                    if e - s >= PIECE:
-                        out.append((doc, s, e, other, t + start, f + start, equal))
-            columns = list(zip(*out)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                found = Alignment(last[1], opened(held).split(), chain)
+                parts = found.parts()
+                if found.cut_short(start > 0, after):
+                    out.append((doc, None, None, other, None, None, None, flat))
+                    continue
+                out += [(doc, s, e, other, t + start, f + start, equal, None) for s, e, t, f, equal in parts if e - s >= PIECE]
+            columns = list(zip(*out)) or [()] * 8
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
         return apply
 
-    return map_batches(both, make, "doc long, start int, stop int, other long, other_start int, other_stop int, equal int", NESTED)
+    kinds = "doc long, start int, stop int, other long, other_start int, other_stop int, equal int, wider array<int>"
+    return map_batches(both, make, kinds, NESTED)
+
+
+def _all_aligned(chained: DataFrame, blobs: DataFrame, steps: Scratch) -> list[DataFrame]:
+    """Passages of all chains as written tables. Chains that the margin cut short are
+    aligned again with a wider one, up to the ends of their holders."""
+    tables, todo, margin = [], chained, MARGIN
+    while True:
+        found = steps.keep(_aligned(todo, blobs, margin))
+        tables.append(found)
+        again = found.filter("wider is not null")
+        if again.isEmpty():
+            return tables
+        todo, margin = again.select("doc", "other", F.array("wider").alias("chains")), margin * 8
+
+
+def _widest(spans: list[dict]) -> list[dict]:
+    """Without those that lie within another one of the same holder."""
+    reach: dict[int, int] = {}
+    out = []
+    for x in sorted(spans, key=lambda x: (x["start"], -x["stop"])):
+        if x["stop"] > reach.get(x["other"], -1):
+            reach[x["other"]] = x["stop"]
+            out.append(x)
+    return out
 
 
 def _long_runs(aligned: DataFrame) -> DataFrame:
@@ -448,7 +507,7 @@ def _long_runs(aligned: DataFrame) -> DataFrame:
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = [
-                [x[2] for x in _in_runs([(x["start"], x["stop"], x) for x in spans])] for spans in batch.column(1).to_pylist()
+                [x[2] for x in _in_runs([(x["start"], x["stop"], x) for x in _widest(spans)])] for spans in batch.column(1).to_pylist()
             ]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, batch.column(1).type)], ["doc", "spans"])
 
@@ -458,21 +517,28 @@ def _long_runs(aligned: DataFrame) -> DataFrame:
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, spans) of the texts that repeat passages of texts with a lesser key."""
+    """(doc, spans) of the texts that repeat passages of texts with a lesser key, as a
+    written table."""
     table = seed_table(df, key, text)
     first = table.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("f"), F.max("doc").alias("last")).filter("f.doc <> last")
     first = first.select("seed", F.col("f.doc").alias("other"), F.col("f.at").alias("other_at"))
     matches = table.join(first, "seed").filter("doc <> other").select("doc", "at", "other", "other_at")
-    chained = durable(_chained(matches))
+    steps = Scratch(df.sparkSession, "passages")
+    chained = steps.keep(_chained(matches))
     needed = chained.select("doc").union(chained.select("other")).distinct()
-    blobs = durable(_packed(df, key, text).join(needed, "doc", "left_semi").groupBy("doc").agg(F.min("blob").alias("blob")))
-    return _long_runs(_aligned(chained, blobs))
+    blobs = steps.keep(_packed(df, key, text).join(needed, "doc", "left_semi").groupBy("doc").agg(F.min("blob").alias("blob")))
+    tables = _all_aligned(chained, blobs, steps)
+    steps.drop(chained, blobs)
+    passages = reduce(DataFrame.unionAll, tables).filter("wider is null").drop("wider")
+    spans = steps.keep(_long_runs(passages))
+    steps.drop(*tables)
+    return spans
 
 
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per passage: the key, its words [start_word, end_word), the text that
     first holds it with the words there, and how many words are equal."""
-    rows = durable(repeated_spans(df, key, text)).select("doc", F.explode("spans").alias("s"))
+    rows = repeated_spans(df, key, text).select("doc", F.explode("spans").alias("s"))
     return rows.select(
         F.col("doc").alias(key), F.col("s.start").alias("start_word"), F.col("s.stop").alias("end_word"), F.col("s.other").alias(f"first_{key}"),
         F.col("s.other_start").alias("first_start_word"), F.col("s.other_stop").alias("first_end_word"), F.col("s.equal").alias("equal_words"),
@@ -503,7 +569,7 @@ def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     nothing left go; rows that repeat nothing stay as they are. A column ``n_chars``
     follows the text."""
     columns = df.columns
-    spans = durable(repeated_spans(df, key, text)).select(
+    spans = repeated_spans(df, key, text).select(
         F.col("doc").alias("__doc"), F.transform("spans", lambda s: F.array(s["start"], s["stop"])).alias("__spans")
     )
     joined = df.join(spans, F.col(f"`{key}`").cast("long") == F.col("__doc"), "left").drop("__doc").select(*[F.col(f"`{c}`") for c in columns], "__spans")

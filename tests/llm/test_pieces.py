@@ -249,3 +249,39 @@ def test_every_code_point_encodes_as_the_library(tokenizer):
         want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
         for got in (own.encode_batch(texts), words.batch(texts)):
             assert [np.frombuffer(x, "<u4").tolist() for x in got] == want, hex(points[s])
+
+
+def test_common_words_of_runs_of_any_length(monkeypatch):
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                keep = row[j]
+                row[j] = last + 1 if x == y else max(keep, row[j - 1])
+                last = keep
+        return row[-1]
+
+    rng = random.Random(21)
+    for bits in (1 << 27, 40, 3):  # the last ones halve runs again and again
+        monkeypatch.setattr(chaining, "LCS_BITS", bits)
+        for _ in range(150):
+            a, b = ([rng.choice([b"x", b"y", b"z", b"w"][: rng.randrange(1, 5)]) for _ in range(rng.randrange(30))] for _ in range(2))
+            pairs = chaining.common(a, b)
+            assert len(pairs) == chaining.gap_equal(a, b) == plain(a, b)
+            assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    core = [str(i).encode() for i in range(400)]
+    for n in (99, 105, 400):  # a run shifted in its middle is found whole at every length
+        shifted = core[: n // 2] + [b"new"] + core[n // 2 : n]
+        assert chaining.gap_equal(shifted, core[:n]) == n == len(chaining.common(core[:n], shifted))
+
+
+def test_extensions_say_when_they_are_cut_short():
+    core = [str(i).encode() for i in range(200)]
+    edited = [b"x" if i % 4 == 0 and i > 20 else w for i, w in enumerate(core)]
+    near = chaining.Alignment(edited, core[:80], [(5, 5)])
+    near.parts()
+    assert near.cut_short(False, True) and not near.cut_short(False, False)
+    whole = chaining.Alignment(edited[:60], core, [(5, 5)])  # the own text ends first
+    whole.parts()
+    assert not whole.cut_short(False, True)

@@ -217,3 +217,22 @@ def test_rows_without_shingles_all_stay(docs_of):
     kept = jaccard.keep_first(docs_of(texts, ids=[1, 1, 2, 2, 3, 3, None, None, 4, 4, 5, 5])).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept if r.text and r.text.strip(" \n\t")) == [(4, "a b"), (5, " ")]
     assert sorted(r.node for r in kept)[:8] == list(range(8)) and len(kept) == 10
+
+
+def test_edited_passages_far_beyond_their_seeds(docs_of):
+    """Forty equal words hold all seeds; hundreds of edited ones go on from there, on one
+    side or both, and are found whole, once."""
+    rng = random.Random(31)
+    fresh = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n)]
+    texts, want = [], {}
+    for at, (size, low) in enumerate(((300, 0), (300, 260), (700, 330), (1500, 0))):
+        passage = fresh(size)
+        edited = [f"new{at}x{k}" if not low <= k < low + 40 and (k - low) % 7 == 6 else w for k, w in enumerate(passage)]
+        texts += [" ".join(fresh(90) + passage + fresh(1200)), " ".join(fresh(30) + edited + fresh(30))]
+        want[2 * at + 1] = size
+    rows = chaining.repeated_passages(docs_of(texts)).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(want)
+    for r in rows:
+        first = 30
+        assert r.first_doc_id == r.doc_id - 1
+        assert first <= r.start_word <= first + 6 and first + want[r.doc_id] - 7 <= r.end_word <= first + want[r.doc_id]

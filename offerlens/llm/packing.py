@@ -135,7 +135,9 @@ class WordIds:
     known yet go through the library, many in one text, and their ids are told apart
     by the ends. So each word is encoded about once in a batch, not at each place."""
 
-    most, step, chars = 1_000_000, 4_096, 4 << 20  # words kept (0.2 GB), words and characters at once
+    # Words kept unless one run of texts has more, words and characters at once. A worker
+    # keeps its words between tasks and stages, so they count in whatever runs after.
+    most, step, chars = 200_000, 4_096, 2 << 20
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -197,9 +199,10 @@ class WordIds:
                 out[i] = self._encode([text])[0].tobytes()
         words = {c: self._words(c) for c in set().union(*cut.values())}
         needed = {w for ws in words.values() for w in ws}
-        if len(self._known) > self.most:
+        new = needed - self._known.keys()
+        if len(self._known) + len(new) > self.most:
             self._known = {w: self._known[w] for w in needed & self._known.keys()}
-        self._learn(list(needed - self._known.keys()))
+        self._learn(list(new))
         known = self._known.__getitem__
         ids = {c: known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws)) for c, ws in words.items()}
         for i, chunks in cut.items():
@@ -269,8 +272,8 @@ def pack_documents(
                 held += len(x) // 4 + 1
                 if held >= group_tokens:
                     out, sequence = flush(keys, ids, sequence, key_type)
-                    yield from out
                     keys, ids, held = [], [], 0
+                    yield from out
         if keys:
             out, sequence = flush(keys, ids, sequence, key_type)
             yield from out

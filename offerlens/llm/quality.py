@@ -144,13 +144,16 @@ class Rows:
 
     def times(self, w: np.ndarray) -> np.ndarray:
         """The product with a column of weights."""
-        products = np.concatenate([w[self.at] * self.values, [0.0]])
+        products = np.zeros(len(self.at) + 1)
+        np.multiply(w[self.at], self.values, out=products[:-1])
         total = np.add.reduceat(products, np.minimum(self.starts[:-1], len(products) - 1)) if len(self) else np.zeros(0)
         return np.where(np.diff(self.starts) > 0, total, 0.0)
 
     def back(self, error: np.ndarray, width: int) -> np.ndarray:
         """The product of the transposed rows with a column of errors."""
-        return np.bincount(self.at, self.values * np.repeat(error, np.diff(self.starts)), width)
+        shares = np.repeat(error, np.diff(self.starts))
+        shares *= self.values
+        return np.bincount(self.at, shares, width)
 
 
 def sample_features(documents: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> tuple[Rows, np.ndarray]:

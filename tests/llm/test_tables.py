@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,42 @@ def test_pipeline_runs_its_stages(spark, tmp_path):
     assert docs.count() == corpus_pipeline.run(spark, folder).count()
 
 
+def test_pipeline_sends_small_batches(spark, monkeypatch):
+    import corpus_pipeline
+    from offerlens.llm.arrow import BATCH_BYTES
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    monkeypatch.setattr(surrogates, "pseudonymize", lambda docs: docs.mapInArrow(sizes, "rows long, size long"))
+    before = spark.conf.get(setting, None)
+    try:
+        spark.conf.unset(setting)
+        got = dict(corpus_pipeline.STAGES)["pii"](spark, rows, "").collect()
+        assert sum(r.rows for r in got) == 3000 and max(r.size for r in got) < 2 * BATCH_BYTES  # 30 MB in one batch before
+        spark.conf.set(setting, "1m")  # a limit of the caller's own stays
+        got = dict(corpus_pipeline.STAGES)["pii"](spark, rows, "").collect()
+        assert sum(r.rows for r in got) == 3000 and max(r.size for r in got) < 2 << 20
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
+def test_words_kept_for_packing_are_bounded(tokenizer):
+    from tokenizers import Tokenizer
+
+    model = packing.WordIds(tokenizer)
+    fresh = map("".join, itertools.product("bcdfghjklm", "aeiou", "npqrstvwxz", "aeiou", "bcdfghjklm", "aeiouy", "st"))
+    texts = [" ".join(["the end", *itertools.islice(fresh, 25_000)]) for _ in range(12)]
+    ids = model.batch(texts)
+    assert len(model._known) <= 200_000  # all words of all texts before
+    library = Tokenizer.from_file(tokenizer)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids[::5]] == [library.encode(t, add_special_tokens=False).ids for t in texts[::5]]
+    assert model.batch(texts[:1]) == ids[:1]
+
+
 def test_passages_that_share_a_lone_seed(docs_of):
     rng = random.Random(12)
     fresh = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n)]

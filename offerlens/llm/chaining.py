@@ -23,6 +23,8 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.arrow import map_batches, raw_texts
+from offerlens.llm.arrow import lists, map_batches, raw_texts
 from offerlens.llm.scratch import Scratch
 from offerlens.llm.shingles import rolling, word_hashes, words
 
 K, WINDOW = 6, 16
 MARGIN = 64  # words of the holder beyond a chain that travel at first; where they don't do, more follow
+AT_ONCE = 32  # words that an extension compares at a time
 AHEAD = 8  # words beyond its end that an extension looks at
 LEAST, PIECE = 50, 20  # words of a reported run, and of a passage within it
 GAP = 0.1  # cost of a skipped word on either side, in matched words
@@ -50,10 +53,17 @@ def seeds(text: bytes, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np
     if len(tokens) < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     hashes = rolling(tokens, k)
-    span = min(window, len(hashes))
-    rows = np.lib.stride_tricks.sliding_window_view(hashes, span)
-    at = np.unique(rows.argmin(1) + np.arange(len(rows)))
-    return hashes[at], at
+    # The first least place of every window, from windows half as wide; places never fall.
+    span, width = min(window, len(hashes)), 1
+    at, least = np.arange(len(hashes)), hashes
+    while width < span:
+        step = min(width, span - width)
+        less = least[step:] < least[:-step]
+        at, least = np.where(less, at[step:], at[:-step]), np.where(less, least[step:], least[:-step])
+        width += step
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = at[1:] != at[:-1]
+    return least[fresh], at[fresh]
 
 
 def seed_table(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -102,6 +112,8 @@ def chains(matches: list[tuple[int, int]], k: int = K, gap: float = GAP) -> list
     cost ``gap`` a word on either side, a predecessor's worth at a match is its score
     plus ``gap`` times its place, less ``gap`` times the match's own place."""
     matches = sorted(set(matches))
+    if len(matches) == 1:
+        return [matches]
     ranks = sorted({y for _, y in matches})
     tree = Fenwick(len(ranks))
     score, before = [0.0] * len(matches), [-1] * len(matches)
@@ -197,17 +209,22 @@ def _extend(a: list[bytes], b: list[bytes], i: int, j: int, step: int) -> list[t
     lost one are passed where at least three equal words follow. Returns the pairs of equal words gained."""
     gained: list[tuple[int, int]] = []
     while True:
-        i2, j2 = i + step, j + step
-        if 0 <= i2 < len(a) and 0 <= j2 < len(b) and a[i2] == b[j2]:
-            i, j = i2, j2
-            gained.append((i, j))
+        if step > 0:
+            ahead = min(len(a) - i - 1, len(b) - j - 1, AT_ONCE)
+            unequal = list(map(ne, a[i + 1 : i + 1 + ahead], b[j + 1 : j + 1 + ahead]))
+        else:
+            ahead = min(i, j, AT_ONCE)
+            unequal = list(map(ne, a[i - ahead : i][::-1], b[j - ahead : j][::-1]))
+        same = (unequal.index(True) if True in unequal else ahead) * step
+        gained += zip(range(i + step, i + step + same, step), range(j + step, j + step + same, step))
+        i, j = i + same, j + same
+        if abs(same) == AT_ONCE:
             continue
         for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2), (3, 3), (4, 4)):
-            x, y = i2 + di * step, j2 + dj * step
-            run = 0
-            while run < 3 and 0 <= x + run * step < len(a) and 0 <= y + run * step < len(b) and a[x + run * step] == b[y + run * step]:
-                run += 1
-            if run == 3:
+            x, y = i + (1 + di) * step, j + (1 + dj) * step
+            u, v = x + step, y + step
+            last, other = u + step, v + step
+            if 0 <= last < len(a) and 0 <= other < len(b) and a[x] == b[y] and a[u] == b[v] and a[last] == b[other]:
                 i, j = x, y
                 gained.append((i, j))
                 break
@@ -399,10 +416,11 @@ def _chained(matches: DataFrame) -> DataFrame:
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             docs, others, found = [], [], []
-            for doc, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.column(1).flatten().flatten()))
+            for doc, count in zip(batch.column(0).to_pylist(), batch.column(1).value_lengths().to_pylist()):
                 by: dict[int, list[tuple[int, int]]] = {}
-                for r in rows:
-                    by.setdefault(r["other"], []).append((r["at"], r["other_at"]))
+                for other, at, other_at in islice(rows, count):
+                    by.setdefault(other, []).append((at, other_at))
                 for other, pairs in by.items():
                     # Also lone seeds: only alignment tells how long a passage is whose
                     # other words are edited too often for seeds.
@@ -429,7 +447,8 @@ def _with_held(chained: DataFrame, blobs: DataFrame, margin: int) -> DataFrame:
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[tuple] = []
             last: tuple[bytes, list[bytes]] = (b"", [])
-            for doc, other, found, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            columns = [lists(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+            for doc, other, found, blob in zip(*columns):
                 if last[0] != blob:
                     last = (blob, words(opened(blob)))
                 for flat in found:
@@ -456,7 +475,8 @@ def _aligned(chained: DataFrame, blobs: DataFrame, margin: int) -> DataFrame:
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[tuple] = []
             last: tuple[bytes, list[bytes]] = (b"", [])
-            for doc, other, start, after, flat, held, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            columns = [lists(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+            for doc, other, start, after, flat, held, blob in zip(*columns):
                 if last[0] != blob:
                     last = (blob, words(opened(blob)))
                 chain = [(x, y - start) for x, y in zip(flat[::2], flat[1::2])]
@@ -519,12 +539,13 @@ def _long_runs(aligned: DataFrame) -> DataFrame:
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, spans) of the texts that repeat passages of texts with a lesser key, as a
     written table."""
-    table = seed_table(df, key, text)
+    steps = Scratch(df.sparkSession, "passages")
+    table = steps.keep(seed_table(df, key, text))
     first = table.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("f"), F.max("doc").alias("last")).filter("f.doc <> last")
     first = first.select("seed", F.col("f.doc").alias("other"), F.col("f.at").alias("other_at"))
     matches = table.join(first, "seed").filter("doc <> other").select("doc", "at", "other", "other_at")
-    steps = Scratch(df.sparkSession, "passages")
     chained = steps.keep(_chained(matches))
+    steps.drop(table)
     needed = chained.select("doc").union(chained.select("other")).distinct()
     blobs = steps.keep(_packed(df, key, text).join(needed, "doc", "left_semi").groupBy("doc").agg(F.min("blob").alias("blob")))
     tables = _all_aligned(chained, blobs, steps)

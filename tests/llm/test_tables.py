@@ -292,3 +292,32 @@ def test_words_that_came_back_are_encoded_once(tokenizer):
     for text in ["alpha beta", "gamma, alpha", "delta epsilon zeta eta theta", "iota kappa", "alpha beta", "über-alpha ʼnever 𱍐x"]:
         assert np.frombuffer(model.batch([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     assert model.seen.count("alpha") == 1 and model.seen.count("beta") == 2  # what didn't come back is dropped first
+
+
+def test_seeds_are_made_once_and_are_the_leftmost_least(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    for size in (0, 5, 6, 7, 20, 21, 22, 23, 300):
+        text = " ".join(f"w{i}" for i in rng.integers(0, 4, size)).encode()
+        hashes = shingles.rolling(shingles.word_hashes(text), chaining.K) if size >= chaining.K else []
+        for window in (1, 3, 16, 21):
+            starts = range(max(1, len(hashes) - window + 1)) if len(hashes) else ()
+            want = sorted({s + int(np.argmin(hashes[s : s + window])) for s in starts})
+            got, at = chaining.seeds(text, window=window)
+            assert at.tolist() == want and got.tolist() == [hashes[i] for i in want]
+
+    long = " ".join(f"w{i}" for i in range(80))
+    marks = tmp_path / "marks"
+    marks.mkdir()
+
+    def marked(text, k=chaining.K, window=chaining.WINDOW, found=chaining.seeds):
+        (marks / os.urandom(8).hex()).touch()
+        return found(text, k, window)
+
+    monkeypatch.setattr(chaining, "seeds", marked)
+    try:
+        frame = spark.createDataFrame([(1, long), (2, "x " + long), (3, "of its own")], "doc_id long, text string").coalesce(1)
+        rows = chaining.repeated_passages(frame).collect()
+    finally:
+        monkeypatch.undo()
+    assert [(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in rows] == [(2, 1, 81, 1)]
+    assert len(list(marks.iterdir())) == 3  # twice as many before

@@ -206,7 +206,8 @@ class WordIds:
         """Special tokens, separators that only Python knows, letters whose lower case
         hangs on what stands around them, and code points that Python's tables don't
         know need the whole text."""
-        return not (unsettled(text) or "<|" in text or "\u03a3" in text or "\u0130" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"))
+        split_only = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return not (split_only or unsettled(text) or "<|" in text or "\u03a3" in text or "\u0130" in text)
 
     def _words(self, chunk: str) -> list[str]:
         """The words of a run without white space; most are letters and a stop."""

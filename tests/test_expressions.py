@@ -205,3 +205,28 @@ def test_an_address_taken_apart_once_gives_the_same_parts(spark):
     for r in got:
         a = r.a or (None, None, None)
         assert (a[0], a[1], a[2]) == (r.c, r.v, r.s)
+
+
+def test_addresses_by_steps_are_those_of_the_expression(spark):
+    """Columns made in steps hold what the one expression gives, odd addresses included."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from offerlens.functions import url as U
+
+    r = random.Random(3)
+    names = ["rafcid", "SCID", "variantId", "variant%49d", "variantid", "color", "a", "ta%67", "tag", "ref+", "x", "", "%zz", "é", "pf"]
+    values = ["1", "", "a%20b", "a+b", "x=y", "%E3%81", "é", "*~", "%", "1&&", "a;b"]
+
+    def query():
+        return "&".join(r.choice(names) + r.choice(["=", "=", "", "=="]) + r.choice(values) for _ in range(r.randint(0, 4)))
+
+    urls = [r.choice(["https://", "HTTP://", "//", "", " ftp+x://", "1a://"]) + r.choice(["ITEM.example.com:443", "u@h.com", "", "a:b@c:80"])
+            + r.choice(["/a/b", "/a/b/", "//a//b;x", "", "/a;b/c;d", "/é/ü"]) + r.choice(["", "?", "?" + query(), "?" + query(), "#f?x=1"]) for _ in range(3000)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, None, ""])], "i int, url string")
+    steps = U.with_clean_address(U.with_item_address(df, "a", "url"), "c", "url")
+    assert steps.columns == ["i", "url", "a", "c"]
+    both = steps.select("url", "a", U.item_address("url").alias("b"), "c", U.clean_tracking("url").alias("d"))
+    assert both.count() == 3002
+    assert both.filter(~(F.col("a").eqNullSafe(F.col("b")) & F.col("c").eqNullSafe(F.col("d")))).collect() == []

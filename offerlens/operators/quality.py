@@ -168,40 +168,42 @@ def field_checks(
 ) -> DataFrame:
     """One row per item with a boolean per required or optional field, from the
     item's latest snapshot, listing and detail observation."""
-    snap = latest_per_key(
-        snapshots.join(variants.select("variant_uid", "product_uid"), "variant_uid")
-        .select("product_uid", "fetched_at", "variant_uid", "price", "image_url"),
-        ["product_uid"], ["fetched_at", "variant_uid"],
-    ).select("product_uid", F.lit(True).alias("has_snap"), F.col("price").alias("s_price"), F.col("image_url").alias("s_image"))
-    lcols = ["observed_price", "point_count", "point_base_multiplier", "point_text_raw", "coupon_discount", "shipping_cost",
-             "delivery_text", "review_score", "review_count", "image_url"]
-    seen = latest_per_key(list_obs.select("product_uid", "observed_at", "seq", *lcols), ["product_uid"], ["observed_at", "seq"]).select(
-        "product_uid", F.lit(True).alias("has_list"), *[F.col(c).alias(f"l_{c}") for c in lcols]
-    )
-    dcols = ["price_min", "coupon_yen", "coupon_percent", "variant_data_json", "variant_count"]
-    detail = latest_per_key(detail_obs.select("product_uid", "observed_at", "seq", *dcols), ["product_uid"], ["observed_at", "seq"]).select(
-        "product_uid", F.lit(True).alias("has_detail"), *[F.col(c).alias(f"d_{c}") for c in dcols]
-    )
+    here = lambda name: F.col(name).isNotNull()
+    tests = {
+        "s": {"price": here("price"), "image_url": _truthy("image_url")},
+        "l": {**{n: here(n) for n in ("observed_price", "point_count", "point_base_multiplier", "coupon_discount", "shipping_cost", "review_score", "review_count")},
+              **{n: _truthy(n) for n in ("point_text_raw", "delivery_text", "image_url")}},
+        "d": {"price_min": here("price_min"), "coupon": here("coupon_yen") | here("coupon_percent"), "variant_count": here("variant_count"),
+              "variant_data": _truthy("variant_data_json") | F.coalesce(F.col("variant_count") == 0, F.lit(False))},
+    }
+
+    def last(rows, part, order):
+        """Only what is asked of a row goes into the fold, not its texts."""
+        flags = rows.select("product_uid", *order, *[t.alias(f"{part}_{n}") for n, t in tests[part].items()])
+        return latest_per_key(flags, ["product_uid"], order).drop(*order).withColumn(f"{part}_here", F.lit(True))
+
+    priced = snapshots.select("variant_uid", "fetched_at", "price", "image_url").join(variants.select("variant_uid", "product_uid"), "variant_uid")
+    snap = last(priced, "s", ["fetched_at", "variant_uid"])
+    seen = last(list_obs, "l", ["observed_at", "seq"])
+    detail = last(detail_obs, "d", ["observed_at", "seq"])
     own = variants.groupBy("product_uid").agg(F.bool_or(_truthy("jan_code")).alias("v_jan"), F.lit(True).alias("has_variant"))
     rows = items.select("product_uid", "shop_code", "item_code", "item_name", "canonical_url", "genre_id")
     for part in (snap, seen, detail, own):
         rows = rows.join(part, "product_uid", "left")
     yes = lambda name: F.coalesce(F.col(name), F.lit(False))
-    here = lambda name: F.col(name).isNotNull()
     tests = {
         "product_uid": _truthy("product_uid"), "shop_code": _truthy("shop_code"), "item_code": _truthy("item_code"),
         "item_name": _truthy("item_name"), "canonical_url": _truthy("canonical_url"),
-        "api_price": here("s_price"), "list_price": here("l_observed_price"), "detail_price_min": here("d_price_min"),
-        "point_count": here("l_point_count"), "point_base_multiplier": here("l_point_base_multiplier"),
-        "point_text_raw": _truthy("l_point_text_raw"),
-        "list_coupon": here("l_coupon_discount"), "detail_coupon": here("d_coupon_yen") | here("d_coupon_percent"),
-        "shipping_cost": here("l_shipping_cost"), "is_free_shipping": yes("has_list"), "delivery_text": _truthy("l_delivery_text"),
-        "review_score": here("l_review_score"), "review_count": here("l_review_count"),
+        "api_price": yes("s_price"), "list_price": yes("l_observed_price"), "detail_price_min": yes("d_price_min"),
+        "point_count": yes("l_point_count"), "point_base_multiplier": yes("l_point_base_multiplier"),
+        "point_text_raw": yes("l_point_text_raw"),
+        "list_coupon": yes("l_coupon_discount"), "detail_coupon": yes("d_coupon"),
+        "shipping_cost": yes("l_shipping_cost"), "is_free_shipping": yes("l_here"), "delivery_text": yes("l_delivery_text"),
+        "review_score": yes("l_review_score"), "review_count": yes("l_review_count"),
         "variant_exists": yes("has_variant"), "jan_code": yes("v_jan"),
-        "variant_data_json": yes("has_detail") & (_truthy("d_variant_data_json") | F.coalesce(F.col("d_variant_count") == 0, F.lit(False))),
-        "variant_count": here("d_variant_count"),
-        "is_super_deal": yes("has_list"), "is_39_shop": yes("has_detail"),
-        "image_url": _truthy("s_image") | _truthy("l_image_url"), "genre_id": _truthy("genre_id"),
+        "variant_data_json": yes("d_variant_data"), "variant_count": yes("d_variant_count"),
+        "is_super_deal": yes("l_here"), "is_39_shop": yes("d_here"),
+        "image_url": yes("s_image_url") | yes("l_image_url"), "genre_id": _truthy("genre_id"),
     }
     return rows.select(F.col("product_uid").alias("uid"), *[t.alias(n) for n, t in tests.items()])
 

@@ -111,3 +111,29 @@ def test_products_with_many_variants_come_in_parts(spark):
     assert [len(v) for _, v in big] == [500, 500, 500, 500, 300]
     assert sum((v for _, v in big), []) == [f"{i:05d}" for i in range(2300)]
     assert len(nested) == 205
+
+
+def test_latest_sends_each_row_once(spark):
+    """The fold's buffer holds the row, not the row and its order beside it."""
+    df = spark.createDataFrame([(1, 2, "a"), (1, 3, "b"), (2, None, "c"), (2, None, "d")], "k int, v int, t string")
+    folded = latest_per_key(df, ["k"], ["v"])
+    assert rows(folded) == [(1, 3, "b"), (2, None, "d")]
+    assert "max_by" not in folded._jdf.queryExecution().optimizedPlan().toString()
+    mapped = df.withColumn("m", F.create_map("t", "v"))
+    assert sorted(r["k"] for r in latest_per_key(mapped, ["k"], ["v"]).collect()) == [1, 2]
+
+
+def test_kept_rows_are_pressed_and_shuffles_go(spark, tmp_path):
+    """Rows cut off durably are a table by column; what a table cannot hold still works."""
+    import os
+
+    from offerlens.session import checkpoint_folder, durable
+
+    before = set(os.listdir(checkpoint_folder(spark).removeprefix("file:")))
+    df = spark.range(1000).select(F.col("id"), F.lit("the same long text over and over").alias("t")).repartition(4, "id")
+    kept = durable(df)
+    new = set(os.listdir(checkpoint_folder(spark).removeprefix("file:"))) - before
+    assert [n for n in new if n.startswith("kept-")]
+    assert kept.dtypes == df.dtypes and kept.count() == 1000
+    odd = durable(df.select("id", F.lit(None).alias("nothing")))
+    assert odd.dtypes[1][1] == "void" and odd.count() == 1000
